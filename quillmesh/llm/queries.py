@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import exact_dedup, line_dedup, mixing, packing
+from quillmesh.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, secrets, simhash, substring_dedup, token_files, toxicity
+from quillmesh.workspace import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,21 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_secrets(spark, sf_dir):
+    report = secrets.secret_report(documents(spark, sf_dir), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return report.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added", "n_live", "n_copied", "most_owners", "most_repositories")
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
+def op4_token_files(spark, sf_dir):
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,7 +47,23 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_packing": op5_packing, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_substring_dedup(spark, sf_dir):
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_secrets, op3_simhash, op4_token_files, op5_packing, op6_exact_dedup, op7_mixing, op8_fingerprints, op9_toxicity, op10_substring_dedup)
+}
 
 ORACLES = {
     "op1_line_dedup": r"""
