@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from quillmesh.plans import retrieval
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (retrieval,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
 
 
 def flagship(spark, sf_dir):
