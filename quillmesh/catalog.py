@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import retrieval
+from quillmesh.plans import chat, corpus, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval,):
+for _module in (retrieval, chat, corpus):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 
