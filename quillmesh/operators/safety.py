@@ -60,7 +60,7 @@ def _spans_lines(text: Column) -> Column:
     out = none
     for _, _, p in PATTERNS:
         found = F.regexp_extract_all(text, F.lit("(?i)(" + p + ")"), F.lit(1))
-        start = lambda m: F.size(F.split(F.substring_index(text, m, 1), "\n")) - 1
+        start = lambda m: F.size(F.split(F.call_function("substring_index", text, m, F.lit(1)), "\n")) - 1
         out = F.concat(out, F.flatten(F.transform(F.filter(found, lambda m: F.contains(m, F.lit("\n"))), lambda m: F.sequence(start(m), start(m) + F.size(F.split(m, "\n")) - 1))))
     return F.array_distinct(out)
 

@@ -11,8 +11,8 @@ from quillmesh.operators.paths import is_indexable, priority
 def read_files(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
     """``repo, path, size, sha, content`` of all files below a folder, on any file system that Spark reads."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/"
+    path = F.substring_index("path", base, -1)
     return rows.select(F.lit(repo).alias("repo"), path.alias("path"), F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha"), F.decode("content", "UTF-8").alias("content"))
 
 
