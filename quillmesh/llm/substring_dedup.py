@@ -9,8 +9,12 @@ bundle. Passes then split what has more than one member:
 1. bundles by their anchor: an anchor found once has no repeated window;
 2. by all bytes of the bundle: bundles found twice repeat as a whole;
 3. the rest by the bytes of the single windows. Groups of up to ``small``
-   different bundles are compared byte by byte in one place; larger ones are
-   taken apart into rows of one window each, so no group has to fit anywhere.
+   different bundles are compared byte by byte in one place, so that no larger
+   group has to fit anywhere;
+4. larger groups by octets, the windows of a bundle at eight places in a row
+   before the anchor: an octet that is found twice repeats as a whole, one whose
+   common bytes are found once has no repeated window;
+5. the octets that are left by single windows.
 
 Anchors, bundles and windows are counted by partial aggregation before the
 verdict is joined back, which adaptive execution splits where a string is
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from quillmesh.llm.tokens import steps
 from quillmesh.llm.windows import GRAM, WIDTH, bundles
@@ -140,24 +144,66 @@ def _ranges(out, kind):
     return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["id", "place", "low", "high"])
 
 
-def _windows(width: int):
-    """Single windows of bundles of large groups: one row each, with 128 bits of their bytes."""
+#: Windows in an octet.
+OCTET = 8
+
+
+def _octets(width: int):
+    """Octets of bundles of large groups: their windows, 128 bits of the bytes that all windows at an octet's places share, and of their own bytes."""
     from xxhash import xxh3_128_digest
 
     def run(batches):
         for batch in batches:
             ids, rows = [], []
             for i, (place, c, data) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("place", "c", "bytes")))):
-                for s in range((place >> 32) & 0xFF):
+                offset, count = (place >> 40) & 0xFF, (place >> 32) & 0xFF
+                for o in range((offset - count + 1) // OCTET, offset // OCTET + 1):
+                    low, high = max(0, offset - OCTET * o - OCTET + 1), min(count - 1, offset - OCTET * o)
+                    core = data[offset - OCTET * o : offset - OCTET * o - OCTET + 1 + width]
+                    own = data[low : high + width]
                     ids.append(i)
-                    rows.append((place, c, s, xxh3_128_digest(data[s : s + width])))
+                    rows.append((place, c, low, high, xxh3_128_digest(core, o), xxh3_128_digest(own, (o << 16) + ((offset - low) << 8) + offset - high), own))
             if rows:
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids)), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["id", "place", "c", "s", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids)), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.binary()) for c in columns[4:])], names=["id", "place", "c", "low", "high", "core", "own", "bytes"])
 
     return run
 
 
+def _windows(width: int):
+    """Single windows of octets: one row each, with 128 bits of their bytes."""
+    from xxhash import xxh3_128_digest
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for i, (place, single, low, data) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("place", "single", "low", "bytes")))):
+                for s in range(len(data) - width + 1):
+                    ids.append(i)
+                    rows.append((place, single, low + s, xxh3_128_digest(data[s : s + width])))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids)), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["id", "place", "single", "s", "w"])
+
+    return run
+
+
+def _large_groups(contents: DataFrame, id_field: StructField, width: int) -> DataFrame:
+    """``id, place, low, high``: repeated windows of bundles that were found once, by octets and then by windows."""
+    longs = lambda *names: [StructField(n, LongType()) for n in names]
+    binary = lambda *names: [StructField(n, BinaryType()) for n in names]
+    octets = stored(contents.mapInArrow(_octets(width), StructType([id_field, *longs("place", "c", "low", "high"), *binary("core", "own", "bytes")])), "octets")
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "low", "high", "bytes")).alias("one")
+    kinds = stored(octets.groupBy("core", "own").agg(F.count("*").alias("n"), F.max("c").alias("c"), one).select("core", "own", "n", ((F.col("n") == 1) & (F.col("c") == 1)).alias("single"), "one.id", "one.place", "one.low", "one.high", "one.bytes"), "octet-kinds")
+    whole = octets.where("c = 1").select("id", "place", "low", "high", "own").join(kinds.where("n > 1").select(F.col("own").alias("ko")), F.col("own") == F.col("ko"), "left_semi").select("id", "place", "low", "high")
+    undecided = kinds.groupBy("core").agg(F.count("*").alias("k"), F.max("single").alias("any")).where("k > 1 and any").select(F.col("core").alias("uc"))
+    rest = kinds.join(regrouped(undecided, "uc"), F.col("core") == F.col("uc")).select("id", "place", "single", "low", "bytes")
+    windows = stored(rest.mapInArrow(_windows(width), StructType([id_field, *longs("place"), StructField("single", BooleanType()), *longs("s"), *binary("w")])), "windows")
+    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("aw"))
+    far = windows.where("single").select("id", "place", "s", "w").join(regrouped(again, "aw"), F.col("w") == F.col("aw"), "left_semi")
+    return whole.unionByName(far.groupBy("id", "place").agg(F.min("s").alias("low"), F.max("s").alias("high")))
+
+
 def _removed(batches):
     """Cut the spans out of the texts."""
     for batch in batches:
@@ -208,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = stored(alive.groupBy("h", "d").agg(F.count("*").alias("c"), one).select("h", "d", "c", "one.id", "one.place"), "kinds")
     whole = alive.join(kinds.where("c > 1").select(F.col("h").alias("kh"), F.col("d").alias("kd")), (F.col("h") == F.col("kh")) & (F.col("d") == F.col("kd")))
     whole = whole.select("id", "place", F.lit(0).cast("long").alias("low"), (_count("place") - 1).alias("high"))
-    # pass 3: single windows, in groups of which some bundle was found once
+    # passes 3 to 5: single windows, in groups of which some bundle was found once
     mixed = kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select(F.col("h").alias("mh"), "k")
     wanted = stored(kinds.join(mixed, F.col("h") == F.col("mh")).select("id", "h", "place", "c", "k"), "wanted")
     key = lambda df: df.withColumn("ph", F.shiftrightunsigned("place", 48))
@@ -220,13 +266,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     range_schema = StructType([id_field, *longs("place", "low", "high")])
     near = contents(F.col("k") <= small).repartition("h").sortWithinPartitions("h").mapInArrow(_compare(width), range_schema)
-    single = contents(F.col("k") > small).mapInArrow(_windows(width), StructType([id_field, *longs("place", "c", "s"), StructField("w", BinaryType())]))
-    single = stored(single, "windows") if wanted.where(F.col("k") > small).take(1) else None
     found = whole.unionByName(near)
-    if single is not None:
-        again = single.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("aw"))
-        far = single.where("c = 1").join(regrouped(again, "aw"), F.col("w") == F.col("aw")).groupBy("id", "place").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-        found = found.unionByName(far)
+    if wanted.where(F.col("k") > small).take(1):
+        found = found.unionByName(_large_groups(contents(F.col("k") > small), id_field, width))
     start = _first("place") + F.col("low")
     spans = key(found).select(F.col("id").alias("sid"), "ph", F.struct(start.alias("a"), (start + F.col("high") - F.col("low") + width).alias("b")).alias("span"))
     spans = spans.groupBy("sid", "ph").agg(F.collect_list("span").alias("spans"))
