@@ -25,7 +25,13 @@ _N = np.array([0, *COUNTS, 1])
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits of each value; zero has none."""
+    """Bits of each value; zero has none. Small values, the usual ones, are looked up."""
+    if values.size and int(values.max()) < len(_SMALL):
+        return _SMALL[values]
+    return _bit_widths(values)
+
+
+def _bit_widths(values: np.ndarray) -> np.ndarray:
     high, out = values.copy(), np.zeros(values.shape, np.uint8)
     for step in (32, 16, 8, 4, 2, 1):
         over = high >= (np.uint64(1) << np.uint64(step))
@@ -34,6 +40,9 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return out + (high > 0).astype(np.uint8)
 
 
+_SMALL = _bit_widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A coded segment."""
     n = len(ids)
@@ -53,7 +62,10 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             step = min(reach, count - reach)
             widest = np.maximum(widest[:, :-step], widest[:, step:])
             reach += step
-        selector[widest[:, :block] <= 60 // count] = s
+        fits = widest[:, :block] <= 60 // count
+        if not fits.any():
+            break  # more values in a word leave fewer bits for wider ones
+        selector[fits] = s
     at, written, made = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
     open_ = np.flatnonzero(at < ends)
     while len(open_):

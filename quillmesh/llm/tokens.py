@@ -26,10 +26,14 @@ STEP_BYTES = 8 << 20
 _LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Any character about whose class libraries could disagree, and the start of an added token.
 _OTHER = re.compile(rf"<\||[^\t-\r\x20-~{_LETTER}\u00a1\u00a7\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac]")
+#: The same for ASCII text, and the pieces of such text.
+_OTHER_ASCII = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The pieces of the two kinds of pre-tokenizer, for words without _OTHER.
 _SPACED = re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _BARE = re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+_SPACED_ASCII = re.compile(rf"{_ENDINGS}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_BARE_ASCII = re.compile(rf"{_ENDINGS}|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Words with one leading space, and what else there is of white space.
 _WORDS = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: White space other than ASCII's, separators that some count as such, and added tokens: here words can affect each other.
@@ -76,18 +80,24 @@ class Encoder:
         self.cache.fresh = []
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _ids(self, word) -> list[int]:
-        """word: as _words makes them."""
+    def _ids(self, word, out: list[int]) -> None:
+        """Append the ids of a word, as _words makes them."""
         text = word[0] if isinstance(word, tuple) else word if isinstance(word, str) else word.decode() if self.lowers or word[:1] == b"\n" else " " + word.decode()
-        if isinstance(word, tuple) or _OTHER.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out, known = [], self.pieces
-        for piece in _BARE.findall(text.lower()) if self.lowers else _SPACED.findall(text):
+        plain = text.isascii()
+        if isinstance(word, tuple) or (_OTHER_ASCII if plain else _OTHER).search(text):
+            out += self.tokenizer.encode(text, add_special_tokens=False).ids
+            return
+        if self.lowers:
+            pieces = (_BARE_ASCII if plain else _BARE).findall(text.lower())
+        else:
+            pieces = (_SPACED_ASCII if plain else _SPACED).findall(text)
+        known = self.pieces
+        for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                known[piece] = ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+                shown = piece if plain and piece[0] > " " else piece.encode().decode("latin-1").translate(_BYTES)
+                known[piece] = ids = tuple([t.id for t in self.model.tokenize(shown)])  # the collector leaves tuples of numbers alone
             out += ids
-        return out
 
     def _words(self, text: str) -> list:
         """Bytes: a word, with a space before it where white space counts, or a newline and a word. Str: as it is. Tuple: a text for the whole tokenizer."""
@@ -117,10 +127,12 @@ class Encoder:
             got.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
             counts.append(len(words))
         if cache.fresh:
-            new = [self._ids(p) for p in cache.fresh]
+            flat, ends = [], []
+            for word in cache.fresh:
+                self._ids(word, flat)
+                ends.append(len(flat))
             cache.fresh = []
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            ids = np.fromiter((i for x in new for i in x), np.int32, int(lengths.sum()))
+            lengths, ids = np.diff(np.array(ends, np.int64), prepend=0), np.array(flat, np.int32)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, ids])
