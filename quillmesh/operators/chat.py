@@ -143,3 +143,9 @@ def variant_lines(reply: Column, query: Column, most: int = 4) -> Column:
     every = F.concat(F.array(query), lines)
     kept = F.filter(every, lambda x, i: F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1)
     return F.slice(kept, 1, most)
+
+
+def refined_query(reply: Column, most: int = 200) -> Column:
+    """The follow-up search that a model asks for: null where it finds the evidence sufficient or says nothing."""
+    text = trimmed(F.coalesce(reply, F.lit("")))
+    return F.when((text != "") & ~F.upper(text).startswith("SUFFICIENT"), F.substring(text, 1, most))

@@ -84,6 +84,18 @@ def python_graph(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", "content").mapInArrow(run, schema)
 
 
+def symbol_chunks(graph: DataFrame) -> DataFrame:
+    """``repo, id, path, language, node_type, name, code, start_line, end_line``: a chunk for each outermost symbol of a file.
+
+    graph: as ``python_graph`` makes it. Symbols inside another one are part of
+    its chunk; a file without symbols has none and is cut as text.
+    """
+    outer = F.filter("symbols", lambda s: ~F.exists("symbols", lambda o: (o["first_line"] <= s["first_line"]) & (o["last_line"] >= s["last_line"]) & ((o["first_line"] < s["first_line"]) | (o["last_line"] > s["last_line"]))))
+    rows = graph.select("repo", "path", F.explode(outer).alias("s"))
+    kind = F.when(F.col("s.kind") == "class", "class_definition").otherwise("function_definition")
+    return rows.select("repo", F.concat("path", F.lit("::"), "s.name").alias("id"), "path", F.lit("python").alias("language"), kind.alias("node_type"), F.col("s.name").alias("name"), F.col("s.code").alias("code"), F.col("s.first_line").alias("start_line"), F.col("s.last_line").alias("end_line"))
+
+
 def _folded(parts: Column) -> Column:
     """A path's segments with . and .. worked off."""
     step = lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
