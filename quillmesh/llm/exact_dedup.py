@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.workspace import stored
+from quillmesh.workspace import regrouped, stored
 
 #: ASCII white space, as a class of a regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -49,7 +49,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # smallest id first, null ids last: the pair names the group at the next level
         named = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "sha"))), F.min(F.struct("id", "sha")))
         groups = keyed.groupBy("bucket", "digit").agg(named.alias("next"), F.count("*").alias("n"))
-        level = keyed.join(groups, ["bucket", "digit"])
+        level = keyed.join(regrouped(groups, "digit"), ["bucket", "digit"])
         open_ = (F.col("n") > 1) & (F.length("rest") > 0)
         level = stored(level.select("id", "sha", F.col("next").alias("bucket"), "n", F.when(open_, F.col("rest")).alias("rest")), "radix")
         closed.append(level.where("rest is null").select("id", "sha", F.col("bucket.id").alias("keep_id"), "n"))

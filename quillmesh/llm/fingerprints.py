@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.workspace import stored
+from quillmesh.workspace import regrouped, stored
 
 SECTIONS = 4
 
@@ -55,39 +55,44 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", name: str = "fingerpr
     return docs.withColumn("__canon", canonical(F.col(text_col))).withColumn(name, digest(F.col("__canon"))).drop("__canon")
 
 
-def equal_groups(keyed: DataFrame) -> DataFrame:
-    """``k, group_id, group_size`` of the rows ``k, id, text, fp`` whose canonical text others share.
+def suspects(prints: DataFrame) -> DataFrame:
+    """``sk``: the keys of the rows ``k, fp`` whose whole digest is not alone. Narrow rows only."""
+    alone = prints.select("k", F.substring("fp", 1, 32).alias("d"))
+    shared = alone.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+    return alone.join(regrouped(shared, "d"), "d").select(F.col("k").alias("sk")).distinct()
+
 
-    Only documents whose whole digest is not alone are read again; their bytes
-    are compared by grouping on them, which Spark does with a partial
-    aggregation, so a large group of copies is combined where it is read.
+def equal_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``group_id, group_size`` of equal canonical texts; rows: ``id, fp, canon``, the last one null where the digest is alone.
+
+    Inside a digest that several documents share, grouping compares the bytes
+    themselves; it is a partial aggregation, so a large group of copies is
+    combined where it is read, and its rows are joined by the bytes' digest and
+    then by the bytes.
     """
-    alone = keyed.select("k", "id", F.substring("fp", 1, 32).alias("d"))
-    shared = alone.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
-    suspects = alone.join(shared, "d").select(F.col("k").alias("sk")).distinct()
-    rows = keyed.join(suspects, F.col("k") == F.col("sk")).select("k", "id", F.substring("fp", 1, 32).alias("d"), canonical(F.col("text")).alias("canon"))
-    rows = stored(rows.select("k", "id", "d", F.col("canon").cast("binary").alias("canon")), "suspects")
-    groups = rows.groupBy("d", "canon").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["d", "canon"]).select("k", "group_id", "group_size").distinct()
+    shared = rows.where("canon is not null").withColumn("d", F.substring("fp", 1, 32))
+    groups = shared.groupBy("d", "canon").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
+    same = shared.join(regrouped(groups, "d"), ["d", "canon"]).drop("d")
+    single = rows.where("canon is null").withColumns({"group_id": F.col("id"), "group_size": F.lit(1).cast("long")})
+    return single.unionByName(same)
 
 
-def _neighbours(keyed: DataFrame) -> DataFrame:
-    """``k, prev_k, prev_n``: the document before each in ascending order of ids; the last is before the first.
+def _neighbours(prints: DataFrame) -> DataFrame:
+    """``nk, fp, prev_k, prev_n``: the document before each in ascending order of ids; the last is before the first.
 
     Narrow rows only are sorted: ranges of ids are windows of their own, and one
     row for each range links it with the range before.
     """
-    narrow = keyed.select("k", "id", "n").distinct().repartitionByRange(F.col("id").asc_nulls_first(), "k")
+    narrow = prints.distinct().repartitionByRange(F.col("id").asc_nulls_first(), "k")
     ranged = stored(narrow.withColumn("part", F.spark_partition_id()), "order")
-    order = [F.col("id").asc_nulls_first(), F.col("k")]
-    inside = Window.partitionBy("part").orderBy(*order)
+    inside = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "k")
     ends = ranged.groupBy("part").agg(F.max_by(F.struct("k", "n"), F.struct(F.col("id").isNotNull(), "id", "k")).alias("last"))
     over, all_ = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lag("last").over(over), F.last("last").over(all_)).alias("before"))
     # one row for each range: as many as partitions
     rows = ranged.withColumn("prev", F.lag(F.struct("k", "n")).over(inside)).join(F.broadcast(ends), "part")
     prev = F.coalesce("prev", "before")
-    return rows.select(F.col("k").alias("nk"), prev["k"].alias("prev_k"), prev["n"].alias("prev_n"))
+    return rows.select(F.col("k").alias("nk"), "fp", prev["k"].alias("prev_k"), prev["n"].alias("prev_n"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,17 +112,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("k"), F.char_length(text).cast("long").alias("n"))
-    keyed = fingerprinted(rows, "text", "fp")
-    before = _neighbours(rows)
+    prints = stored(fingerprinted(rows, "text", "fp").select("k", "id", "n", "fp"), "prints")
+    before = stored(_neighbours(prints).join(suspects(prints), F.col("nk") == F.col("sk"), "left"), "neighbours")
+    # texts are shuffled by their key once: both sides below use the same columns of them, so that exchange is read twice
+    located = rows.select("k", "id", "text", "n").join(before, F.col("k") == F.col("nk"))
     # a document's head goes to the one before it, no longer than that one needs
-    heads = keyed.join(before, F.col("k") == F.col("nk")).select("prev_k", F.left("text", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.col("fp").alias("next_fp"), F.col("n").alias("next_n"))
-    heads = heads.groupBy("prev_k").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
-    joined = keyed.join(heads, F.col("k") == F.col("prev_k"))
+    heads = located.select("prev_k", F.struct(F.left("text", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), "fp", "id", "n").alias("next"))
+    heads = heads.groupBy("prev_k").agg(F.first("next").alias("next")).withColumnRenamed("prev_k", "hk")
     quarter = F.floor(F.col("n") / 4)
-    edited = joined.withColumn("edited", F.concat(F.left("text", (F.col("n") - quarter).cast("int")), "head"))
-    edited = fingerprinted(edited, "edited", "efp").select("k", "id", "n", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp", "next_fp")
-    grouped = edited.join(equal_groups(keyed).withColumnRenamed("k", "gk"), F.col("k") == F.col("gk"), "left")
+    edited = located.join(heads, F.col("k") == F.col("hk")).withColumn("edited", F.concat(F.left("text", (F.col("n") - quarter).cast("int")), F.col("next.head")))
+    edited = edited.withColumn("canon", F.when(F.col("sk").isNotNull(), canonical(F.col("text")).cast("binary")))
+    rows = stored(fingerprinted(edited, "edited", "efp").select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp", F.col("next.fp").alias("next_fp"), "canon"), "fingerprints")
+    grouped = equal_groups(rows)
     return grouped.select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "group_id", "group_size",
     )

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.workspace import stored
+from quillmesh.workspace import regrouped, stored
 
 #: Characters stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         store.add(narrow.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k), "id", "t")
     repeated = store.repeated()
     held = narrow.select("id", F.posexplode(F.transform(_lines(F.col("t")), lambda x: line_hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("id", "pos", F.unhex("h").alias("h"))
-    lost = held.join(repeated, "h").where((F.col("id") < F.col("max_id")) | (F.col("id").isNull() & F.col("max_id").isNotNull()))
+    lost = held.join(regrouped(repeated, "h"), "h").where((F.col("id") < F.col("max_id")) | (F.col("id").isNull() & F.col("max_id").isNotNull()))
     drops = lost.groupBy("id").agg(F.collect_set("pos").alias("__drops")).select(F.col("id").alias("__id"), "__drops")
     # the lines are made before the shuffle of the join, so they are read and not split again for every index
     rows = docs.drop("n_lines", "n_dropped").withColumn("__lines", _lines(F.col(text_col)))
