@@ -97,25 +97,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_dropped`` are replaced.
 
     Edge cases: a null or empty text is one empty line and stays null or empty;
-    a null id counts as smaller than every other; rows that repeat an id count
-    as one document for each row and lose the same lines; an empty table gives
-    an empty table; extra columns pass through.
+    a null id counts as smaller than every other; rows that repeat an id are
+    documents of their own, told apart by a hash of their texts, and all of them
+    keep a line of which theirs is the largest id; an empty table gives an empty
+    table; extra columns pass through.
     """
     spark = docs.sparkSession
     store = LineRuns(spark, min_docs, min_chars, fanout)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), text_key.alias("k"))
     for k in range(batches):
         store.add(narrow.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k), "id", "t")
     repeated = store.repeated()
-    held = narrow.select("id", F.posexplode(F.transform(_lines(F.col("t")), lambda x: line_hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("id", "pos", F.unhex("h").alias("h"))
+    held = narrow.select("id", "k", F.posexplode(F.transform(_lines(F.col("t")), lambda x: line_hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("id", "k", "pos", F.unhex("h").alias("h"))
     lost = held.join(regrouped(repeated, "h"), "h").where((F.col("id") < F.col("max_id")) | (F.col("id").isNull() & F.col("max_id").isNotNull()))
-    drops = lost.groupBy("id").agg(F.collect_set("pos").alias("__drops")).select(F.col("id").alias("__id"), "__drops")
+    drops = lost.groupBy("id", "k").agg(F.collect_set("pos").alias("__drops")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), "__drops")
     # the lines are made before the shuffle of the join, so they are read and not split again for every index
-    rows = docs.drop("n_lines", "n_dropped").withColumn("__lines", _lines(F.col(text_col)))
-    joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    rows = docs.drop("n_lines", "n_dropped").withColumns({"__lines": _lines(F.col(text_col)), "__text_key": text_key})
+    joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__k")), "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops"))
     kept = F.array_join(F.transform(stays, lambda i: F.get("__lines", i)), "\n")
     text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(kept)
     out = joined.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long")).withColumn(text_col, text)
     out = out.withColumn("n_dropped", F.when(F.col("__drops").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("long"))
-    return out.drop("__lines", "__drops", "__id")
+    return out.drop("__lines", "__drops", "__id", "__k", "__text_key")

@@ -82,8 +82,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
 
     A document of which any word of an epoch is taken is there whole for that
     epoch, so at most one document of a source exceeds the cut. Documents that
-    are not taken, such as those without words, go. Columns are those of ``docs``.
+    are not taken, such as those without words, go. Of rows that repeat an id,
+    each is there as often as the one taken most. Columns are those of ``docs``.
     """
-    taken = mix(docs, id_col, **options).where("taken > 0").select(F.col(id_col).alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
+    times = F.max(F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    taken = mix(docs, id_col, **options).where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(times.alias("__times"))
     joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
     return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__epoch")

@@ -63,6 +63,19 @@ def test_lines(odd, empty):
     assert set(odd.columns) <= set(out.columns) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    line = "A line of enough characters here"
+    rows = [(5, f"{line}\nfirst"), (5, f"second\n{line}"), (None, f"third\nkept\n{line}"), (None, f"{line}\nfourth\nkept"), (7, f"{line}\nfifth"), (7, f"{line}\nfifth")]
+    got = Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, "first", 1): 1, (5, "second", 1): 1, (None, "third\nkept", 1): 1, (None, "fourth\nkept", 1): 1, (7, f"{line}\nfifth", 0): 2})
+
+
+def test_mix_of_rows_that_repeat_an_id(spark):
+    rows = [(i // 2, " ".join(["w"] * (1 + i)), "s" if i % 3 else "r") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert max(Counter(mixing.mixed_documents(df).collect()).values()) <= 2
+
+
 def test_line_runs_stay_levelled_and_skip_what_is_decided(spark):
     store = line_dedup.LineRuns(spark, fanout=2)
     line = "the same long enough line in all of them"
