@@ -20,8 +20,10 @@ import pyarrow as pa
 
 #: Distinct words that a worker remembers before it starts anew; bounds its memory.
 CACHED_WORDS = 800_000
-#: Bytes of text that are encoded at once; bounds the arrays of one step.
+#: Bytes of text that a task takes at once; bounds the arrays of one step.
 STEP_BYTES = 8 << 20
+#: The same for encoding, which has some fifty bytes of lists and arrays for each byte of text.
+ENCODED_BYTES = 1 << 20
 
 _LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Any character about whose class libraries could disagree, and the start of an added token.
@@ -152,14 +154,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def steps(batch: pa.RecordBatch, text: str):
-    """Slices of a batch of about STEP_BYTES of text; a longer text stands alone."""
+def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES):
+    """Slices of a batch of about ``most`` bytes of text; a longer text stands alone."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > STEP_BYTES:
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -171,7 +173,7 @@ def encoded(batches, path: str, end_id: int, text: str = "text"):
     """For each step of the batches: the slice, all ids as uint32 with the end id after each text, and the numbers of ids."""
     enc = encoder(path)
     for batch in batches:
-        for part in steps(batch, text):
+        for part in steps(batch, text, ENCODED_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
             ids, counts = enc.encode(texts)
             counts = counts + 1
