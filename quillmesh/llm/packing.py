@@ -22,10 +22,14 @@ from quillmesh.llm.tokens import encoded
 from quillmesh.workspace import stored
 
 
+#: Distinct words that a worker remembers here; in a pipeline it shares its executor with what earlier stages have left.
+CACHED_WORDS = 250_000
+
+
 def _tokenised(path: str, end_id: int, out_schema: pa.Schema):
     def run(batches):
         part, at, row = TaskContext.get().partitionId(), 0, 0
-        for batch, ids, counts in encoded(batches, path, end_id):
+        for batch, ids, counts in encoded(batches, path, end_id, cached_words=CACHED_WORDS):
             ends = np.cumsum(counts)
             small = ids.astype("<u2" if len(ids) == 0 or ids.max() < 65536 else "<u4")
             width = small.dtype.itemsize

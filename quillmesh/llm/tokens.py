@@ -68,7 +68,8 @@ class Encoder:
     """Encodes texts with ``path``, a file of the tokenizers library of one of two kinds:
     byte-level with white space kept, or lower case with white space dropped."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -121,7 +122,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many belong to each."""
-        if len(self.cache) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
+        if len(self.cache) > self.cached_words or len(self.flat) > 16 * self.cached_words:
             self._reset()
         cache, got, counts = self.cache, [], []
         for text in texts:
@@ -147,10 +148,11 @@ class Encoder:
         return ids, np.diff(of_text)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> Encoder:
     """This worker's encoder of ``path``."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cached_words = cached_words
     return _encoders[path]
 
 
@@ -169,9 +171,9 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES):
         yield batch.slice(start)
 
 
-def encoded(batches, path: str, end_id: int, text: str = "text"):
+def encoded(batches, path: str, end_id: int, text: str = "text", cached_words: int = CACHED_WORDS):
     """For each step of the batches: the slice, all ids as uint32 with the end id after each text, and the numbers of ids."""
-    enc = encoder(path)
+    enc = encoder(path, cached_words)
     for batch in batches:
         for part in steps(batch, text, ENCODED_BYTES):
             texts = [x or "" for x in part.column(text).to_pylist()]
