@@ -33,7 +33,7 @@ def paired(vectors: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
         return vectors.crossJoin(F.broadcast(queries))
     blocks = -(-n * (dims * 8 + 64) // SENT_BYTES)
     dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(dealt, "__block").drop("__block")
+    return vectors.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").drop("__block")
 
 
 def hamming_search(vectors: DataFrame, queries: DataFrame, limit: int = COARSE, dims: int = 64) -> DataFrame:
