@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import line_dedup, mixing, packing, simhash, toxicity
+from quillmesh.llm import line_dedup, mixing, near_copies, packing, toxicity
 from quillmesh.workspace import stored
 
 
@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints links join: the one of the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group that links of a five-word Jaccard similarity of 0.8 or more join: the one of the smallest id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
