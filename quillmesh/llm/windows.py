@@ -57,11 +57,12 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
     return (_window_min(key, width - gram + 1) & _PLACE).astype(np.int64), h
 
 
-def bundles(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bundles(text: bytes, width: int = WIDTH, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``first, count, anchor_offset, anchor_hash, digest`` of the bundles of a text: its windows, cut where the anchor changes.
 
     The digest is of all bytes of the bundle's windows and of where the anchor
-    is among them. Long texts are taken in spans; a bundle ends there as well.
+    is among them; ``seed`` draws other digests. Long texts are taken in spans; a
+    bundle ends there as well.
     """
     from xxhash import xxh3_64_intdigest
 
@@ -77,6 +78,6 @@ def bundles(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(first, len(anchor)))
         place = anchor[first]
-        digest = np.array([xxh3_64_intdigest(text[at + a : at + a + c + width - 1], d) for a, c, d in zip(first.tolist(), count.tolist(), (place - first).tolist())], np.uint64)
+        digest = np.array([xxh3_64_intdigest(text[at + a : at + a + c + width - 1], d + (seed << 8)) for a, c, d in zip(first.tolist(), count.tolist(), (place - first).tolist())], np.uint64)
         out.append((first + at, count, place - first, h[place].view(np.int64), digest.view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out))
