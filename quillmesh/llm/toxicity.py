@@ -3,13 +3,14 @@
 Many weak voters look at a text: one for each entry of a lexicon, which a pass
 over labelled rows finds in whole words and in beginnings of words, and some
 for patterns of writing. A generative model of the votes, fitted by expectation
-maximisation, estimates how accurate each voter is and how voters hang together
-given the truth; the given label is a voter as well, so wrong labels are
-outvoted. Its posteriors are the soft labels on which a linear classifier is
-trained. Every text of the corpus is scored by that classifier.
-
-The models are fitted on at most ``max_rows`` labelled rows, taken by a hash of
-their ids; everything else covers all rows.
+maximisation, estimates how accurate each voter is and which voters hang
+together given the truth, by a factor for each voter and its parent in a tree;
+the given label is a voter as well, so wrong labels are outvoted. Its posteriors
+are the soft labels on which a linear classifier is trained. Every text of the
+corpus is scored by that classifier.
+
+The models are fitted on at most about ``max_rows`` labelled rows, taken by a
+hash of their ids; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillmesh.llm.tokens import steps
+from quillmesh.workspace import stored
 
 #: Insults that vote before any label has been seen.
 INSULTS = ("clown", "disgusting", "dumb", "filth", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -70,34 +72,66 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _joint(votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted counts of the votes -1, 0 and 1 of all pairs of voters: voters by voters by 3 by 3."""
+    on = np.concatenate([(votes == k).astype(np.float32) for k in (-1, 0, 1)], axis=1)
+    n = votes.shape[1]
+    return ((on * weights[:, None].astype(np.float32)).T @ on).astype(np.float64).reshape(3, n, 3, n).transpose(1, 3, 0, 2)
+
+
+def dependencies(votes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The voter that each voter depends on most, or -1, and how much all voters share given the truth (in nats).
+
+    The parents are a spanning tree of the largest mutual information given
+    the truth, so that what depends on each other is counted once.
+    """
+    n, shared = votes.shape[1], np.zeros((votes.shape[1],) * 2)
+    for w in (q, 1 - q):
+        joint = _joint(votes, w) + 1e-3
+        joint /= joint.sum(axis=(2, 3), keepdims=True)
+        alone = joint.sum(axis=3, keepdims=True) * joint.sum(axis=2, keepdims=True)
+        shared += w.mean() * (joint * np.log(joint / alone)).sum(axis=(2, 3))
+    np.fill_diagonal(shared, 0)
+    parent, best, at, inside = np.full(n, -1), np.full(n, -np.inf), 0, np.zeros(n, bool)
+    for _ in range(n - 1):  # Prim's tree, from the first voter
+        inside[at] = True
+        better = ~inside & (shared[at] > best)
+        best[better], parent[better] = shared[at][better], at
+        at = int(np.argmax(np.where(inside, -np.inf, best)))
+    return np.where(best > 1e-4, parent, -1), shared
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, accuracies and correlations of ``votes`` (rows by voters: 1, 0 abstains, -1) and noisy ``labels``.
 
-    Votes are independent given the truth but for what their residuals share:
-    a voter that moves with others counts for as much less.
+    A generative model with one factor for each voter and one for each voter
+    and the one it depends on: P(truth) times the product of P(vote | truth,
+    vote of its parent). It starts from the labels, which vote like all others,
+    with independent voters; the parents are found from the posteriors after a
+    third of the rounds and again after two thirds. Correlations are the mutual
+    information of two voters given the truth.
     """
     all_ = np.column_stack([votes, 2 * labels - 1]).astype(np.int8)
-    q = np.where(labels > 0, 0.9, 0.1)
-    damp = np.ones(all_.shape[1])
-    correlations = np.eye(all_.shape[1])
+    n = all_.shape[1]
+    q, parent, shared = np.where(labels > 0, 0.9, 0.1), np.full(n, -1), np.zeros((n, n))
     for step in range(rounds):
+        if step in (rounds // 3, 2 * rounds // 3):
+            parent, shared = dependencies(all_, q)
+        of = np.where(parent[None, :] >= 0, all_[:, np.maximum(parent, 0)], 0)
         p = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         odds = np.full(len(q), np.log(p / (1 - p)))
-        for k in (-1, 0, 1):
-            on = (all_ == k).astype(np.float64)
-            toxic, clean = (on.T @ q + 0.5) / (q.sum() + 1.5), (on.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1.5)
-            odds += on @ (damp * np.log(toxic / clean))
+        for b in (-1, 0, 1):
+            given = of == b
+            sums = [w @ given.astype(np.float32) + 1.5 for w in (q.astype(np.float32), (1 - q).astype(np.float32))]
+            for a in (-1, 0, 1):
+                on = (given & (all_ == a)).astype(np.float32)
+                if not on.any():
+                    continue
+                toxic, clean = ((w @ on + 0.5) / total for w, total in zip((q.astype(np.float32), (1 - q).astype(np.float32)), sums))
+                odds += on @ np.log(toxic / clean)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if step == rounds // 2:
-            active = (all_ > 0).astype(np.float64)
-            expected = np.outer(q, active.T @ q / max(q.sum(), 1e-9)) + np.outer(1 - q, active.T @ (1 - q) / max((1 - q).sum(), 1e-9))
-            rest = active - expected
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-            correlations = (rest.T @ rest) / len(q) / np.outer(scale, scale)
-            strong = np.abs(correlations) * (np.abs(correlations) > 0.1)
-            damp = 1 / np.maximum(1, strong.sum(axis=1) - np.diag(strong) + 1)
     agree, cast = ((all_ > 0) * q[:, None] + (all_ < 0) * (1 - q)[:, None]).sum(axis=0), (all_ != 0).sum(axis=0)
-    return q, agree / np.maximum(cast, 1), correlations
+    return q, agree / np.maximum(cast, 1), shared
 
 
 def linear_fit(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -138,14 +172,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the label model and the classifier on at most about ``max_rows`` labelled rows that aren't held out.
 
     An entry of the lexicon is in at least ``least`` toxic documents and far
-    more often in toxic than in clean ones; at most ``max_entries`` vote.
+    more often in toxic than in clean ones; at most ``max_entries`` vote, a
+    bound of the model's size as ``max_rows`` is. Labels other than 0 and 1 and
+    rows without an id teach nothing.
     """
-    own = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label")).where("lid is not null and label is not null").where(~held_out(F.col("lid"))).groupBy("lid").agg(F.max("label").alias("label"))
+    own = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("label")).where("lid is not null and label in (0, 1)").withColumn("label", F.col("label").cast("int")).where(~held_out(F.col("lid"))).groupBy("lid").agg(F.max("label").alias("label"))
     n = own.count()
     share = int(min(1.0, max_rows / max(n, 1)) * (1 << 20))
     # at most about max_rows rows of two numbers: small enough for every executor
     sample = F.broadcast(own.where(F.pmod(F.xxhash64("lid"), F.lit(1 << 20)) < share))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("lid")).select("text", "label")
+    # read three times below, so it is written once: the sampled rows only
+    texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("lid")).select("text", "label"), "sample")
     counts = texts.mapInArrow(_counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = texts.agg(F.sum("label"), F.count("*")).first()
     n_toxic, n_clean = int(totals[0] or 0), int((totals[1] or 0) - (totals[0] or 0))
@@ -183,19 +220,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(lexicon, weights, intercept, accuracies, correlations)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``extra`` of every row and its ``score``, from 0 to 1; a null text counts as empty."""
-    fields = [StructField(c, docs.schema[c].dataType, True) for c in extra]
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", extra: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``extra`` of every row and its score as column ``name``, from 0 to 1; a null text counts as empty."""
+    carried = list(dict.fromkeys([*extra, text_col]))
+    fields = [docs.schema[c] for c in carried]
+    shown, at = [f"c{i}" for i in range(len(extra))], f"c{carried.index(text_col)}"
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "__text"):
-                scores = [model.score(t or "") for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(f"c{i}") for i in range(len(extra))), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(extra))), "score"])
+            for part in steps(batch, at):
+                scores = [model.score(t or "") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*map(part.column, shown), pa.array(scores, pa.float64())], names=[*shown, "s"])
 
-    named = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(fields)] + [StructField("score", DoubleType())])
-    got = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(extra)), F.col(text_col).alias("__text")).mapInArrow(run, named)
-    return got.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(extra)), "score")
+    named = StructType([StructField(c, f.dataType, True) for c, f in zip(shown, fields)] + [StructField("s", DoubleType())])
+    got = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).mapInArrow(run, named)
+    return got.select(*(F.col(k).alias(c) for k, c in zip(shown, extra)), F.col("s").alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -213,6 +252,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns, whatever their names.
+
+    Edge cases as in ``toxicity``: null and empty texts have the score of a text
+    without hits, null and repeated ids are judged row by row by their texts,
+    and an empty table stays empty.
+    """
     model = train(docs, labels, id_col, text_col, **options)
-    return score(docs, model, text_col, tuple(docs.columns)).where("score < 0.5").drop("score")
+    name = "score"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return score(docs, model, text_col, tuple(docs.columns), name).where(F.col(name) < 0.5).drop(name)
