@@ -26,27 +26,39 @@ from quillmesh.workspace import regrouped, stored
 BITS, SEGMENTS = 64, 2
 
 
-def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text, as an unsigned integer."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; a text of fewer words is one shingle, one of none has none."""
     from xxhash import xxh64_intdigest
 
     parts = text.lower().split()  # of bytes: A-Z and ASCII white space only
     n = len(parts)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if n <= words:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts, stops = (ends - lengths)[: n - words + 1].tolist(), ends[words - 1 :].tolist()
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), 65536):  # bounds the arrays of a very long text
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255  # sums of 255 bits fit into a byte
-        votes += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * votes > len(starts)).tolist()))
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """In how many rows each bit is set; hashes: rows of one or more words of 64 bits."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros(bits.shape[1], np.int64)
+    for at in range(0, len(bits), 255):  # eight sums in a word, of at most 255 each
+        out += bits[at : at + 255].view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return out
+
+
+def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text, as an unsigned integer."""
+    h = shingle_hashes(text, words, seed)
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 65536):  # bounds the arrays of a very long text
+        total += votes(h[at : at + 65536, None])
+    return int(sum(1 << i for i in np.flatnonzero(2 * total > len(h)).tolist()))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:

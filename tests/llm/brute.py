@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
+from itertools import combinations
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -121,3 +122,24 @@ def edits(docs):
         k = len(t) // 4
         out[i] = (len(t), sha(t[: len(t) - k] + after[:k]))
     return out
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+
+def survivors(rows):
+    """The smallest id of each component of the pairs at 0.8 or more, of all pairs."""
+    own, root = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, x), (b, y) in combinations(own, 2):
+        if len(x & y) >= 0.8 * len(x | y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {find(i) for i in root}

@@ -2,37 +2,16 @@
 
 import random
 import sys
-from itertools import combinations
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
+from brute import shingles, survivors  # noqa: E402
 from oracle import SF  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 
 
-def shingles(text):
-    w = (text or "").encode().lower().split()
-    return {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-
-
-def survivors(rows):
-    """The smallest id of each component of the pairs at 0.8 or more, of all pairs."""
-    own, root = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for (a, x), (b, y) in combinations(own, 2):
-        if len(x & y) >= 0.8 * len(x | y):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-    return {find(i) for i in root}
-
-
 def planted(seed=7, n=200, words=300):
     """Documents and copies with two to seven words changed; ids of the pairs at 0.8 or more."""
     r, rows, pairs = random.Random(seed), [], []

@@ -30,7 +30,7 @@ def test_stages(spark):
     assert {i for i, _ in texts[1]} == {i for i, p in verdict.items() if not p}
     assert {i: brute.sha(t or "") for i, t in texts[2]} == {i: x[2] for i, x in brute.lines(texts[1]).items()}
     assert all(r.n_chars == len(r.text or "") for r in seen[2].collect())
-    assert {i for i, _ in texts[3]} == {c for _, c in brute.simhash(texts[2]).values()}
+    assert {i for i, _ in texts[3]} == brute.survivors(texts[2])
     sources = {r.doc_id: r.source for r in seen[3].collect()}
     size, total, target = brute.mixture(texts[3], sources)
     taken, times = Counter(), Counter(i for i, _ in texts[4])
