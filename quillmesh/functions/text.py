@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.words import EVIDENCE_STOP, EXPANSION_STOP, SEARCH_STOP, SUMMARY_STOP
@@ -29,6 +29,25 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
 
 
+def _split_case(t: Column) -> Column:
+    """An identifier in lower case, cut where camel case or snake case changes."""
+    return F.split(F.lower(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2")), "[_ ]+")
+
+
+def token_rows(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with a row for each search token in place of the column ``text``, named ``term``.
+
+    The tokens of ``code_tokens``, without lambdas: identifiers become rows
+    first, and what follows are plain columns in generated code. The outer
+    explode keeps the optimiser from tokenising once more to filter empty texts.
+    """
+    rest = [F.col(c) for c in df.columns if c != text]
+    ids = df.select(*rest, F.explode_outer(identifiers(F.col(text))).alias("__t")).where("__t is not null").withColumn("__w", F.lower("__t"))
+    parts = F.array_remove(F.array_remove(_split_case(F.col("__t")), F.lit("")), F.col("__w"))
+    tokens = F.when(F.col("__t").rlike("[a-z0-9][A-Z]|_"), F.concat(F.array("__w"), parts)).otherwise(F.array("__w"))
+    return ids.select(*rest, F.explode_outer(tokens).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*SEARCH_STOP))
+
+
 def code_tokens(text: Column) -> Column:
     """Search tokens: identifiers in lower case, then their camel-case and snake-case parts where they differ; no stop words, two characters at least."""
     parts = lambda t: F.filter(F.split(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2"), "[_ ]+"), lambda p: (p != "") & (F.lower(p) != F.lower(t)))

@@ -1,43 +1,71 @@
-"""BM25 as joins: an index of postings, document lengths and document counts, asked by many queries at once."""
+"""BM25 as joins: a stored index of postings, document lengths and document counts, asked by many queries at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import code_tokens
+from quillmesh.functions.text import token_rows
+from quillmesh.workspace import stored
 
 K1, B, LIMIT = 1.5, 0.75, 50
 
 
 @dataclass
 class Bm25Index:
-    """``postings(id, term, tf, dl)``, ``terms(term, df, total)`` and ``size(n, avgdl)``, one row."""
+    """``postings(id, term, tf)`` and ``documents`` of them, which all searches of an index share; the other tables follow."""
 
     postings: DataFrame
-    terms: DataFrame
-    size: DataFrame
+    documents: int
+
+    @property
+    def terms(self) -> DataFrame:
+        """``term, df, total``."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """``id, dl``: tokens of every document that has any."""
+        return self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+
+    @property
+    def size(self) -> DataFrame:
+        """``n, avgdl``, one row."""
+        mean = F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(self.documents, 1)))
+        return self.postings.agg(mean.alias("mean")).select(F.lit(self.documents).cast("long").alias("n"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)).alias("avgdl"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf, dl`` of every document that has tokens. The length is known before the tokens are spread, so it needs no second pass."""
-    tokens = docs.select(F.col(id_col).alias("id"), code_tokens(F.col(text_col)).alias("tokens"))
-    spread = tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return spread.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """``id, term, tf`` of every document that has tokens."""
+    return token_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Bm25Index:
-    postings = term_counts(docs, id_col, text_col)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    size = docs.select(F.size(code_tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Bm25Index(postings, terms, size.select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0)).alias("avgdl")))
+    """An index whose postings are stored once; every search and statistic reads those."""
+    return Bm25Index(stored(term_counts(docs, id_col, text_col), "postings"), docs.count())
+
+
+def save_index(index: Bm25Index, path: str, repo: str, sha: str) -> None:
+    """Write an index for a snapshot of a repository; later searches of the snapshot read it."""
+    index.postings.withColumn("documents", F.lit(index.documents).cast("long")).write.mode("overwrite").parquet(f"{path}/repo={repo}/sha={sha}")
+
+
+def load_index(spark: SparkSession, path: str, repo: str, sha: str) -> Bm25Index | None:
+    """The index of a snapshot; None if there is none, so another snapshot is never answered from it."""
+    at = f"{path}/repo={repo}/sha={sha}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    rows = spark.read.parquet(at)
+    return Bm25Index(rows.drop("documents"), rows.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0])
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``query_id, term, qtf`` of every query."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(code_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    rows = token_rows(queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("__text")), "__text")
+    return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def scores(index: Bm25Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -46,7 +74,7 @@ def scores(index: Bm25Index, terms: DataFrame, k1: float = K1, b: float = B) ->
     weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("query_id", "term", (idf * (1 + F.log(1 + F.col("qtf")))).alias("w"), "avgdl")
-    hit = index.postings.join(weighted, "term")
+    hit = index.postings.join(weighted, "term").join(index.lengths, "id")
     room = F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
     return hit.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / room).alias("score"))
 
@@ -57,7 +85,7 @@ def top(ranked: DataFrame, limit: int = LIMIT, *, key=("query_id",), by=None) ->
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= max(1, limit))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, limit: int = LIMIT) -> DataFrame:
-    """``query_id, id, score, rank``: the best documents of every query."""
-    found = scores(build_index(docs, doc_id, doc_text), query_terms(queries, query_id, query_text))
-    return top(found.where("score > 0"), limit)
+def bm25_search(docs: DataFrame | Bm25Index, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, limit: int = LIMIT) -> DataFrame:
+    """``query_id, id, score, rank``: the best documents of every query; ``docs`` can be an index that was built before."""
+    index = docs if isinstance(docs, Bm25Index) else build_index(docs, doc_id, doc_text)
+    return top(scores(index, query_terms(queries, query_id, query_text)).where("score > 0"), limit)

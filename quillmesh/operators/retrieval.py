@@ -25,15 +25,19 @@ SENT_BYTES = 64 << 20
 def paired(vectors: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
     """Every query with every vector: exact search against all rows.
 
-    The query table goes to every task if its size is proven to be small. If it
-    isn't, it is dealt into blocks and every block meets all vectors.
+    The query table goes to every task if its size is measured to be small. If
+    it isn't, queries are dealt into blocks and vectors into salts, and each
+    block meets each salt in a task of its own.
     """
     n = queries.count()
     if n * (dims * 8 + 64) <= SENT_BYTES:
         return vectors.crossJoin(F.broadcast(queries))
     blocks = -(-n * (dims * 8 + 64) // SENT_BYTES)
-    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return vectors.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").drop("__block")
+    salts = -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    spread = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).select("*", spread(salts, "__salt"))
+    # every vector once in each block, in one of its salts: blocks times salts tasks of about one split of vectors each
+    return vectors.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts))).select("*", spread(blocks, "__block")).join(dealt, ["__block", "__salt"]).drop("__block", "__salt")
 
 
 def hamming_search(vectors: DataFrame, queries: DataFrame, limit: int = COARSE, dims: int = 64) -> DataFrame:
@@ -87,18 +91,19 @@ def blend(expanded: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFr
     return rows.select("query_id", "id", (VECTOR_WEIGHT * cosine(F.col("v"), F.col("q")) + (1 - VECTOR_WEIGHT) * F.col("prior")).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, limit: int = 5, coarse: int = COARSE, dims: int = 64, quantised: bool = True, keywords: bool = True, rerank: bool = True) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, limit: int = 5, coarse: int = COARSE, dims: int = 64, quantised: bool = True, keywords: bool = True, rerank: bool = True, index: bm25.Bm25Index | None = None) -> DataFrame:
     """``query_id, id, score, rank``: sign bits and BM25, fused, expanded over the graph, reranked by the cosine.
 
     chunks: ``id, text, v``; queries: ``query_id, text, q``. The switches give
-    the configurations that an ablation compares.
+    the configurations that an ablation compares. ``index`` is a BM25 index of
+    the chunks that was built before.
     """
     vectors = chunks.select("id", "v", binarized(F.col("v")).alias("bits"))
     asked = queries.select("query_id", "q", binarized(F.col("q")).alias("qbits"))
     dense = hamming_search(vectors, asked, coarse, dims) if quantised else cosine_search(vectors, asked, coarse, dims)
     lists = [dense]
     if keywords:
-        lists.append(bm25.bm25_search(chunks, queries, "id", "text", "query_id", "text", coarse))
+        lists.append(bm25.bm25_search(index or chunks, queries, "id", "text", "query_id", "text", coarse))
     fused = top(fuse(*lists), coarse, by=fused_order(len(lists)))
     if edges is None:
         expanded = fused.select("query_id", "id", "score")
@@ -107,13 +112,13 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None
     return top(blend(expanded, vectors, asked) if rerank else expanded.select("query_id", "id", "score"), limit)
 
 
-def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None) -> DataFrame:
+def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None) -> DataFrame:
     """Hybrid search of every variant of a query in one job, fused over the variants and scored by the cosine to the first one.
 
     variants: ``query_id, variant, text, q``; variants are numbered from 0.
     """
     keyed = variants.select(F.struct("query_id", "variant").alias("query_id"), "text", "q")
-    paths = hybrid_search(chunks, keyed, edges, max(2 * limit, 10), coarse, dims)
+    paths = hybrid_search(chunks, keyed, edges, max(2 * limit, 10), coarse, dims, index=index)
     ranks = paths.select("query_id.query_id", "query_id.variant", "id", "rank")
     fused = ranks.groupBy("query_id", "id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
     kept = top(fused, coarse, by=[F.round("score", 12).desc(), F.col("first"), F.col("id")])
@@ -124,7 +129,8 @@ def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coa
 
 def keyword_search(docs: DataFrame, queries: DataFrame, limit: int = COARSE) -> DataFrame:
     """``query_id, id, score, rank``: how often the query's symbols occur as whole words; a symbol that is asked twice counts twice."""
-    occurrences = docs.select("id", F.explode(words(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    found = docs.select("id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("word")).where("word is not null")
+    occurrences = found.groupBy("id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     asked = queries.select("query_id", F.explode(query_symbols(F.col("text"), distinct=False)).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("asked"))
     return top(occurrences.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("asked")).alias("score")), limit)
 

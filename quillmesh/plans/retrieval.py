@@ -8,7 +8,8 @@ from quillmesh.functions.text import evidence_terms, query_symbols
 from quillmesh.functions.vectors import binarized, l2_normalized
 from quillmesh.functions.words import SEARCH_STOP, sql_list
 from quillmesh.operators import bm25, evaluation, evidence, retrieval
-from quillmesh.plans.tables import chunks, documents, table, text_queries, vector_queries, vectors
+from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries, texts, vector_queries, vectors
+from quillmesh.workspace import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +94,7 @@ ASKED = "asked AS (SELECT id AS query_id, v, label, w0, w1 FROM vec WHERE id % 1
 
 @query(f"SELECT id AS doc_id, term, count(*) AS tf FROM ({tokens_sql('documents', 'doc_id')}) GROUP BY ALL")
 def tokenize_terms(spark, sf_dir):
-    return bm25.term_counts(documents(spark, sf_dir), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
+    return bm25.term_counts(texts(spark, sf_dir), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query(f"""
@@ -101,13 +102,13 @@ WITH t AS (SELECT id, term, count(*) AS tf FROM ({tokens_sql('documents', 'doc_i
 s AS (SELECT (SELECT count(*) FROM documents) AS n, round((SELECT sum(tf) FROM t)::DOUBLE / (SELECT count(*) FROM documents), 6) AS avgdl)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, n, avgdl FROM t, s GROUP BY term, n, avgdl""")
 def bm25_index_stats(spark, sf_dir):
-    index = bm25.build_index(documents(spark, sf_dir), "doc_id", "text")
+    index = bm25.build_index(texts(spark, sf_dir), "doc_id", "text")
     return index.terms.crossJoin(F.broadcast(index.size)).select("term", "df", "total", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 'benchmark', 'item_id', 50)} SELECT query_id AS item_id, id AS doc_id, rank, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, sf_dir):
-    found = bm25.bm25_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    found = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -118,7 +119,7 @@ asked AS (SELECT item_id, lower(w) AS word, count(*) AS k FROM (SELECT item_id,
 s AS (SELECT item_id, doc_id, sum(n * k)::BIGINT AS score FROM occ JOIN asked USING (word) GROUP BY ALL)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50""")
 def keyword_match(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.keyword_search(docs, asked).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
@@ -161,8 +162,9 @@ def rrf_fusion(spark, sf_dir):
 
 
 STORE = f"""{DENSE},
-store AS (SELECT v.id, d.text, d.source, v.v, v.w0, v.w1 FROM vec v JOIN documents d ON d.doc_id = v.id),
-asked AS (SELECT b.item_id AS query_id, b.text, v.v, v.w0, v.w1 FROM benchmark b JOIN vec v ON v.id = b.item_id)"""
+n_vec AS (SELECT count(*) AS nv FROM vec),
+store AS (SELECT d.doc_id AS id, d.text, d.source, v.v, v.w0, v.w1 FROM documents d CROSS JOIN n_vec JOIN vec v ON v.id = d.doc_id % nv),
+asked AS (SELECT b.item_id AS query_id, b.text, v.v, v.w0, v.w1 FROM benchmark b CROSS JOIN n_vec JOIN vec v ON v.id = b.item_id % nv)"""
 HYBRID = f"""{STORE}, {bm25_sql('store', 'id', 'asked', 'query_id', 50)}, {dense_sql('store', 'asked')}, {fuse_sql('ham', 'bm25')},
 blended AS (SELECT f.query_id, f.id, 0.7::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - 0.7::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
   FROM fused f JOIN store s ON s.id = f.id JOIN asked a ON a.query_id = f.query_id),
@@ -179,7 +181,7 @@ def hybrid_search(spark, sf_dir):
 WITH {STORE},
 variants AS (
   SELECT query_id * 2 AS query_id, text, v, w0, w1 FROM asked UNION ALL
-  SELECT a.query_id * 2 + 1, substr(a.text, 1, (length(a.text) // 2)::BIGINT), n.v, n.w0, n.w1 FROM asked a JOIN vec n ON n.id = a.query_id + 1),
+  SELECT a.query_id * 2 + 1, substr(a.text, 1, (length(a.text) // 2)::BIGINT), n.v, n.w0, n.w1 FROM asked a CROSS JOIN n_vec JOIN vec n ON n.id = (a.query_id + 1) % nv),
 {bm25_sql('store', 'id', 'variants', 'query_id', 50)}, {dense_sql('store', 'variants')}, {fuse_sql('ham', 'bm25')},
 blended AS (SELECT f.query_id, f.id, 0.7::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - 0.7::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
   FROM fused f JOIN store s ON s.id = f.id JOIN variants a ON a.query_id = f.query_id),
@@ -190,7 +192,8 @@ final AS (SELECT k.query_id, k.id, {COS.format(a='s.v', b='a.v')} AS score FROM
 SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM final QUALIFY rank <= 5""")
 def multipath_search(spark, sf_dir):
     asked = text_queries(spark, sf_dir)
-    half = asked.select("query_id", F.expr("substring(text, 1, int(length(text) / 2))").alias("text")).join(vectors(spark, sf_dir).select((F.col("id") - 1).alias("query_id"), F.col("v").alias("q")), "query_id")
+    half = asked.select("query_id", (F.col("query_id") + 1).alias("after"), F.expr("substring(text, 1, int(length(text) / 2))").alias("text"))
+    half = numbered(spark, sf_dir, half, "after").select("query_id", "text", F.col("v").alias("q"))
     variants = asked.withColumn("variant", F.lit(0)).unionByName(half.withColumn("variant", F.lit(1)))
     found = retrieval.multipath_search(chunks(spark, sf_dir), variants)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -221,7 +224,7 @@ mixed AS (SELECT query_id, id, rank AS old, len(symbols) AS n, CASE WHEN len(sym
 SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 0 THEN 0 ELSE -round(score, 9) END, old) AS rank FROM mixed QUALIFY rank <= 5""")
 def preference_rerank(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    found = bm25.bm25_search(documents(spark, sf_dir), items, "doc_id", "text", "item_id", "text")
+    found = bm25.bm25_search(texts(spark, sf_dir), items, "doc_id", "text", "item_id", "text")
     rows = found.join(items.select(F.col("item_id").alias("query_id"), query_symbols(F.col("text")).alias("symbols")), "query_id")
     rows = rows.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("code")), "id").withColumn("definitions", F.array().cast("array<string>"))
     ranked = retrieval.preference_rerank(rows)
@@ -235,7 +238,7 @@ best AS (SELECT query_id, id, max(score) AS score FROM both_ GROUP BY ALL)
 SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM best QUALIFY rank <= 8""")
 def merge_refined(spark, sf_dir):
     first = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir))
-    second = bm25.bm25_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 5)
+    second = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 5)
     return retrieval.merge_refined(first, second).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -306,8 +309,9 @@ EVIDENCE = f"WITH {bm25_sql('documents', 'doc_id', 'benchmark', 'item_id', 10)},
 def _results(spark, sf_dir):
     """The ten best documents of every passage, with their texts."""
     docs = documents(spark, sf_dir)
-    found = bm25.bm25_search(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 10)
-    return found.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("code")), "id")
+    found = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 10)
+    # ten rows a query, which the queries below read more than once
+    return stored(found.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("code")), "id"), "results")
 
 
 def _terms(spark, sf_dir):
@@ -351,7 +355,7 @@ FROM (SELECT query_id AS item_id, source AS file, min(id) AS first_line, max(id)
   FROM bm25 JOIN documents ON doc_id = id GROUP BY query_id, source) QUALIFY rank <= 6""")
 def citations_by_file(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    found = bm25.bm25_search(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    found = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
     rows = found.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file")), "id").withColumns({"start_line": F.col("id"), "end_line": F.col("id")})
     out = evidence.by_file(rows)
     return out.select(F.col("query_id").alias("item_id"), "file", "first_line", "last_line", F.round("score", 6).alias("score"), "n", F.col("rank").cast("long").alias("rank"))

@@ -22,12 +22,24 @@ def vector_queries(spark, sf_dir):
     return vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
 
 
+def texts(spark, sf_dir):
+    """The documents, dealt out where the file has fewer splits than there are cores."""
+    docs, cores = documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def numbered(spark, sf_dir, rows, id_col):
+    """``rows`` with the vector ``v`` whose number is the row's, counted around: every row has one. The pairing is synthetic."""
+    store = vectors(spark, sf_dir).select(F.col("id").alias("__v"), "v")
+    return rows.join(store, F.pmod(F.col(id_col), F.lit(store.count())) == F.col("__v")).drop("__v")
+
+
 def chunks(spark, sf_dir):
-    """Documents with the vector of the same number; the pairing is synthetic."""
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source").join(vectors(spark, sf_dir).select("id", "v"), "id")
+    """All documents with their vectors."""
+    return numbered(spark, sf_dir, texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source"), "id")
 
 
 def text_queries(spark, sf_dir):
-    """Every benchmark passage asks, with the vector of the same number."""
+    """Every benchmark passage asks, with its vector."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return items.join(vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return numbered(spark, sf_dir, items, "query_id").withColumnRenamed("v", "q")
