@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from urllib.parse import quote
 
@@ -34,6 +35,13 @@ def normalized(chats: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.select(key, F.slice("messages", F.greatest(F.lit(1), F.size("messages") - MOST_MESSAGES + 1), MOST_MESSAGES).alias("messages"))
 
 
+@functools.lru_cache(maxsize=256)
+def _names(paths: tuple[str, ...]) -> re.Pattern:
+    """Any of the paths, the longest first, with or without ticks; rows of one repository share it."""
+    names = "|".join(re.escape(p) for p in sorted(set(paths), key=len, reverse=True))
+    return re.compile(f"(`?)({names})(`?)")
+
+
 _KEPT = re.compile(r"```[\s\S]*?```|\[[^\]]*\]\([^)]*\)")
 
 
@@ -41,8 +49,7 @@ def linked(text: str, paths: list[str], owner: str, repo: str, ref: str) -> str:
     """A text with links for the paths it names, the longest first, outside code blocks and links."""
     if not (text and paths and owner and repo and ref):
         return text
-    names = "|".join(re.escape(p) for p in sorted(set(paths), key=len, reverse=True))
-    found = re.compile(f"(`?)({names})(`?)")
+    found = _names(tuple(paths))
 
     def link(m):
         tick = "`" if m[1] and m[3] else ""

@@ -60,8 +60,11 @@ def page_index(chunks: DataFrame) -> DataFrame:
     ).where("n_chunks > 0")
     files = files.select("repo", F.lit(2).alias("level"), "path", directory(F.col("path"), "").alias("parent"), F.coalesce(F.substring("own", 1, FILE_CHARS), F.substring("first", 1, FIRST_CHARS)).alias("summary"), "n_chunks", "ord")
     name = F.substring_index("path", "/", -1)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", name.alias("name")))), lambda x: x["name"]), ", ")
-    dirs = files.groupBy("repo", "parent").agg(F.substring(F.concat(F.lit("Contains: "), listed), 1, DIR_CHARS).alias("summary"), F.sum("n_chunks").alias("n_chunks"), F.min("ord").alias("ord"))
+    # every name takes a character at least, so more than DIR_CHARS names are never shown: the rest leave before the list is made
+    ranked = files.withColumn("name", name).withColumn("n", F.row_number().over(Window.partitionBy("repo", "parent").orderBy("ord", "name"))).where(F.col("n") <= DIR_CHARS)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), ", ")
+    lists = ranked.groupBy("repo", "parent").agg(F.substring(F.concat(F.lit("Contains: "), listed), 1, DIR_CHARS).alias("summary"))
+    dirs = files.groupBy("repo", "parent").agg(F.sum("n_chunks").alias("n_chunks"), F.min("ord").alias("ord")).join(lists, ["repo", "parent"])
     dirs = dirs.select("repo", F.lit(1).alias("level"), F.col("parent").alias("path"), F.lit("").alias("parent"), "summary", "n_chunks", "ord")
     shown = dirs.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("ord")))
     line = F.concat("path", F.lit(": "), F.substring("summary", 1, ROOT_PART))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def save(chunks: DataFrame, path: str, repo: str, sha: str, model: str) -> None:
-    """Replace a repository's chunks; other repositories stay."""
+    """Replace a repository's chunks; other repositories stay. Without chunks the repository goes."""
+    if chunks.isEmpty():
+        clear(chunks.sparkSession, path, repo)
+        return
     rows = chunks.drop("repo", "sha", "model", "saved").withColumns({"repo": F.lit(repo), "sha": F.lit(sha), "model": F.lit(model), "saved": F.current_timestamp()})
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
 

@@ -15,6 +15,20 @@ print("ROWS", q["text_chunks"](spark, "/root/testdata/sf0.001").count())
 """
 
 
+MISSING = """
+import sys; sys.path.insert(0, {root!r})
+sys.modules["public_tokenizers"] = None
+import __spark_entry__ as e
+assert "bm25_topk" in e.queries() and not any(q.startswith("op") for q in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+print("WITHOUT")
+"""
+
+
+def test_a_missing_library_leaves_the_training_data_operators_out(tmp_path):
+    out = subprocess.run([sys.executable, "-c", MISSING.format(root=str(ROOT))], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "WITHOUT" in out.stdout, out.stderr[-2000:]
+
+
 def test_workers_get_the_package_wherever_the_driver_runs(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", CODE.format(root=str(ROOT))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
