@@ -59,7 +59,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ordered among themselves by size, and equal rows are interchangeable; an
     empty table gives no rows; other columns are not read.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # rows without an id are spread by their texts, so that they don't share one range of keys
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))))
     narrow = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix")
     ranges = max(1, min(65536, -(-narrow.count() // rows_per_range)))
     ranged = narrow.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("long"))
@@ -83,9 +84,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     A document of which any word of an epoch is taken is there whole for that
     epoch, so at most one document of a source exceeds the cut. Documents that
     are not taken, such as those without words, go. Of rows that repeat an id,
-    each is there as often as the one taken most. Columns are those of ``docs``.
+    each is there as often as the one taken most. Columns are those of ``docs``,
+    whatever their names. Rows are in a hash-random order of document and epoch,
+    so the epochs of a document lie apart.
+
+    Edge cases as in ``mix``: rows without words go, null ids and null sources
+    count like others, and an empty table stays empty.
     """
     times = F.max(F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    taken = mix(docs, id_col, **options).where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(times.alias("__times"))
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__epoch")
+    taken = mix(docs, id_col, **options).where("taken > 0").groupBy(F.col(id_col).alias("id")).agg(times.alias("times")).alias("taken")
+    own = docs.alias("docs")
+    joined = own.join(taken, F.col(f"docs.`{id_col}`").eqNullSafe(F.col("taken.id")))
+    epochs = joined.select(F.struct("docs.*").alias("doc"), F.explode(F.sequence(F.lit(1), F.col("taken.times"))).alias("epoch"))
+    spread = F.xxhash64(F.col(f"doc.`{id_col}`").cast("string"), "epoch")
+    return epochs.withColumn("spread", spread).repartition("spread").sortWithinPartitions("spread").select("doc.*")
