@@ -20,7 +20,9 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_secrets(spark, sf_dir):
-    report = secrets.secret_report(documents(spark, sf_dir), F.col("source"), F.concat_ws("/", "source", "lang"))
+    # a document's source stands for the owner, its source and language for the repository; nulls are values of their own
+    known = [F.coalesce(c, F.lit("\0")) for c in ("source", "lang")]
+    report = secrets.secret_report(documents(spark, sf_dir), F.col("source"), F.concat(known[0], F.lit("/"), known[1]))
     return report.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added", "n_live", "n_copied", "most_owners", "most_repositories")
 
 

@@ -3,9 +3,10 @@
 A scan of every text finds the base kinds by their patterns and, beside them,
 other long tokens that look random. Every finding's value is hashed, and the
 hashes are counted over the corpus by the distinct owners and repositories that
-hold them. A value in the hands of many owners is a copied example; one that a
-few owners hold looks live. Base findings are reported in any case; a token of
-no base kind is added only if it looks live.
+hold them. A value in the hands of many owners, or in very many repositories, is
+a copied example; one that a few owners hold in a few repositories looks live.
+Base findings are reported in any case; a token of no base kind is added only if
+it looks live.
 """
 
 from __future__ import annotations
@@ -75,12 +76,13 @@ def _findings(id_type: pa.DataType):
     return run
 
 
-def secret_report(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", wide_owners: int = 3) -> DataFrame:
+def secret_report(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", wide_owners: int = 3, wide_repositories: int = 6) -> DataFrame:
     """One row per input row: counts, spans and how widely the values are held.
 
     ``id_col, n_assign, n_access, n_hex, n_added, base_spans, spans, n_live,
     n_copied, most_owners, most_repositories``. A value is live if fewer than
-    ``wide_owners`` distinct owners hold it, else copied. Spans are
+    ``wide_owners`` distinct owners and fewer than ``wide_repositories`` distinct
+    repositories hold it, else copied. Spans are
     ``kind:start:end`` in code points, end exclusive, by start and then kind.
 
     Edge cases: a null text has no findings; a null owner or repository counts
@@ -100,7 +102,7 @@ def secret_report(docs: DataFrame, owner: Column, repository: Column, id_col: st
     owners = held.select("h", "owner").distinct().groupBy("h").agg(F.count("*").alias("owners"))
     places = held.groupBy("h").agg(F.count("*").alias("repositories"))
     judged = each.join(regrouped(owners.join(places, "h").where("owners >= 2 or repositories >= 2"), "h"), "h", "left")
-    judged = judged.withColumn("owners", F.coalesce("owners", F.lit(1))).withColumn("repositories", F.coalesce("repositories", F.lit(1))).withColumn("live", F.col("owners") < wide_owners)
+    judged = judged.withColumn("owners", F.coalesce("owners", F.lit(1))).withColumn("repositories", F.coalesce("repositories", F.lit(1))).withColumn("live", (F.col("owners") < wide_owners) & (F.col("repositories") < wide_repositories))
     span = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("kind") + 1).cast("int")), "start", "end")
     kept = judged.where((F.col("kind") < 3) | F.col("live")).select("row", F.struct("start", "kind", "end").alias("key"), span.alias("span"), "kind", "live", "owners", "repositories")
     joined = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("key", "span")))), lambda x: x["span"]), ",")
