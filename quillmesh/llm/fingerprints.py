@@ -3,8 +3,9 @@
 The canonical form of a text is its Unicode NFC form, case-folded, normalised
 again, with each run of white space folded into one space and none at the ends.
 The fingerprint is wide: two xxhash64 values of the whole canonical text, which
-name the document, and one value for each of four sections of it, which tell
-how much of two documents that differ is the same. Documents are grouped by the
+name the document, and one value for each of four sections of it and of the
+first sections of half that length, which tell how much of two documents that
+differ is the same, even if one is so much shorter that its sections are. Documents are grouped by the
 whole digest, and inside a digest that several documents share the canonical
 bytes themselves are compared.
 """
@@ -33,21 +34,26 @@ def canonical(text: Column) -> Column:
 
 
 def digest(canon: Column) -> Column:
-    """96 hex digits of a canonical text: 32 of the whole, 16 of each section.
+    """144 hex digits of a canonical text: 32 of the whole, 16 of each section.
 
     A section is the largest power of two that fits into a text four times; the
     last one takes the rest. An edit then leaves the sections before it alone.
+    The first three sections of half that length follow.
     """
     hex_ = lambda *x: F.lower(F.lpad(F.hex(F.xxhash64(*x)), 16, "0"))
     part = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.char_length(canon), F.lit(4)) / 4))).cast("int"))
     sections = [hex_(F.lit(2 + k), F.substr(canon, k * part + 1, part) if k < SECTIONS - 1 else F.substr(canon, k * part + 1)) for k in range(SECTIONS)]
-    return F.concat(hex_(canon), hex_(F.lit(1), canon), *sections)
+    half = F.floor(part / 2).cast("int")
+    halves = [hex_(F.lit(2 + k), F.substr(canon, k * half + 1, half)) for k in range(SECTIONS - 1)]
+    return F.concat(hex_(canon), hex_(F.lit(1), canon), *sections, *halves)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else the part of the sections that are equal."""
-    same = sum((F.substring(a, 33 + 16 * k, 16) == F.substring(b, 33 + 16 * k, 16)).cast("int") for k in range(SECTIONS))
-    return F.when(a == b, F.lit(1.0)).otherwise(same / F.lit(float(SECTIONS)))
+    """1 for equal fingerprints, else the part of the sections that are equal, at the best of the lengths that both can have."""
+    at = lambda x, k: F.substring(x, 33 + 16 * k, 16)
+    same = lambda n, i, j: sum((at(a, i + k) == at(b, j + k)).cast("int") for k in range(n))
+    best = F.greatest(same(SECTIONS, 0, 0), same(SECTIONS - 1, SECTIONS, 0), same(SECTIONS - 1, 0, SECTIONS))
+    return F.when(a == b, F.lit(1.0)).otherwise(best / F.lit(float(SECTIONS)))
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
