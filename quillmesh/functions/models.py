@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quillmesh.functions.vectors import hash_vector
+
 
 class LlmClient(Protocol):
     def complete(self, prompt: str) -> str: ...
@@ -24,10 +27,10 @@ class StubClient:
 
 
 def completion(make: Callable[[], LlmClient]):
-    """A column function; a client is made once for each batch iterator, and a failing call gives null."""
+    """A column function; a client is made once for each task, and a failing call gives null."""
 
     @F.pandas_udf("string")
-    def run(batches: "pd.Series") -> "pd.Series":
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = make()
 
         def one(prompt):
@@ -36,7 +39,35 @@ def completion(make: Callable[[], LlmClient]):
             except Exception:
                 return None
 
-        return batches.map(one)
+        for prompts in batches:
+            yield prompts.map(one)
+
+    return run
+
+
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class HashEmbedder:
+    """The deterministic stand-in: vectors made of digests of the texts."""
+
+    def __init__(self, dims: int = 384):
+        self.dims = dims
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.array([hash_vector(t, self.dims) for t in texts])
+
+
+def embedding(make: Callable[[], Embedder], batch: int = 8):
+    """A column function of texts; a model is loaded once for each task and called for ``batch`` texts at a time."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            rows = texts.fillna("").tolist()
+            yield pd.Series([v.tolist() for at in range(0, len(rows), batch) for v in model.embed(rows[at : at + batch])], dtype=object)
 
     return run
 

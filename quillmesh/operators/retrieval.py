@@ -187,5 +187,10 @@ def claim_evidence(answers: DataFrame, chunks: DataFrame, embed, most: int = 3,
     return claims.join(joined.select("query_id.answer_id", "query_id.n", "evidence"), ["answer_id", "n"]).select("answer_id", "claim", "evidence")
 
 
+def embed_chunks(chunks: DataFrame, embed, text_col: str = "text", as_: str = "v") -> DataFrame:
+    """``chunks`` with a vector for each, of its code alone; ``embed`` is a column function such as ``functions.models.embedding`` makes."""
+    return chunks.withColumn(as_, embed(F.col(text_col)))
+
+
 def with_vectors(df: DataFrame, id_col: str, vector_col: str, id_as: str, as_: str) -> DataFrame:
     return df.select(F.col(id_col).alias(id_as), doubles(F.col(vector_col)).alias(as_))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions.models import HashEmbedder, StubClient, completion, embedding
 from quillmesh.functions.text import evidence_terms, query_symbols
 from quillmesh.functions.vectors import binarized, l2_normalized
 from quillmesh.functions.words import SEARCH_STOP, sql_list
+from quillmesh.operators import ask as ask_operator
 from quillmesh.operators import bm25, evaluation, evidence, retrieval
 from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries, texts, vector_queries, vectors
 from quillmesh.workspace import stored
@@ -294,6 +296,17 @@ def ablation_summary(spark, sf_dir):
     return each.groupBy("config").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 5).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 
+@query()
+def ask(spark, sf_dir):
+    """Every benchmark passage as a question, with the stand-ins of a model and of an embedder."""
+    embed = embedding(lambda: HashEmbedder(64))
+    rows = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("source").alias("name"), F.lit("text_chunk").alias("node_type"), "text")
+    store = stored(retrieval.embed_chunks(rows, embed), "embedded")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    replies = completion(lambda: StubClient({"Answer from": "The code says so in its files.", "numbered": "1. The code says so in its files."}))
+    return ask_operator.ask(store, questions, embed, replies).withColumnRenamed("query_id", "item_id")
+
+
 from quillmesh.functions.words import EVIDENCE_STOP  # noqa: E402
 
 TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9._/-]+'), lambda t: length(t) >= 3 AND t NOT IN ({sql_list(EVIDENCE_STOP)})))"
