@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import chat, corpus, retrieval
+from quillmesh.plans import chat, corpus, retrieval, steps
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, chat, corpus):
+for _module in (retrieval, chat, corpus, steps):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 

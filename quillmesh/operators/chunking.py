@@ -185,8 +185,11 @@ def window_lines(text: str, least: int = 500, most: int = 700, overlap: int = 60
     out, held = [], ""
     for line in text.split("\n"):
         held += line + "\n"
-        if len(held) >= least:
+        while len(held) > most:  # a long line fills windows of its own
             out.append(held[:most])
+            held = held[most - overlap :]
+        if len(held) >= least:
+            out.append(held)
             held = held[-overlap:]
     if held.strip():
         out.append(held[:most])
