@@ -143,3 +143,46 @@ def survivors(rows):
             low, high = sorted((find(a), find(b)))
             root[high] = low
     return {find(i) for i in root}
+
+
+def fingerprints(docs):
+    """Canonical digests of all texts, of their edited texts, and how alike they are."""
+    import unicodedata
+
+    import regex
+    import xxhash
+
+    x64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    number = lambda k: x64(k.to_bytes(4, "little"))
+
+    def canonical(t):
+        nfc = lambda s: unicodedata.normalize("NFC", s)
+        return regex.sub(r"[ \t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]+", " ", nfc(nfc(t).casefold())).strip(" ")
+
+    def digest(t):
+        c = canonical(t)
+        part = 1
+        while part * 8 <= len(c):
+            part *= 2
+        cuts = [c[k * part : (k + 1) * part] if k < 3 else c[3 * part :] for k in range(4)] + [c[k * (part // 2) : (k + 1) * (part // 2)] for k in range(3)]
+        return [x64(c.encode()), x64(c.encode(), number(1))] + [x64(s.encode(), number(2 + k % 4)) for k, s in enumerate(cuts)]
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        same = lambda n, i, j: sum(a[2 + i + k] == b[2 + j + k] for k in range(n))
+        return max(same(4, 0, 0), same(3, 4, 0), same(3, 0, 4)) / 4
+
+    ordered, out = sorted(docs), {}
+    own = [digest(t or "") for _, t in ordered]
+    canons = Counter(canonical(t or "") for _, t in ordered)
+    first = {}
+    for i, t in ordered:
+        first.setdefault(canonical(t or ""), i)
+    hex_ = lambda d: "".join(f"{x:016x}" for x in d)
+    for n, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(n + 1) % len(ordered)][1] or ""
+        k = len(t) // 4
+        edited = digest(t[: len(t) - k] + after[:k])
+        out[i] = (hex_(own[n]), hex_(edited), like(own[n], edited), like(own[n], own[(n + 1) % len(own)]), first[canonical(t)], canons[canonical(t)])
+    return out

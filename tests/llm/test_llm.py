@@ -221,6 +221,7 @@ def test_fingerprints(spark, small, odd, empty):
     for docs, df in ((small, spark.read.parquet(f"{SF}/documents.parquet")), (ODD, odd)):
         got = fingerprints.fingerprint_edits(df).collect()
         assert held(got, "n_chars", "edited_sha256") == brute.edits(docs)
+        assert held(got, "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size") == brute.fingerprints(docs)
         text, fp = dict(docs), {r.doc_id: r.fingerprint for r in got}
         by = {}
         assert all(by.setdefault(text[i] or "", f) == f for i, f in fp.items())
@@ -255,6 +256,58 @@ def test_label_model_outvotes_wrong_labels():
     assert ((q > 0.5) == truth).mean() > 0.97 > (labels == truth).mean() and abs(accuracies[:6] - 0.9).max() < 0.05 and correlations.shape == (7, 7)
 
 
+def test_toxic_rows_of_odd_tables_go(spark, odd, empty):
+    """Clashing columns, labels other than 0 and 1, empty tables: toxic rows go, all others stay as they are."""
+    none = spark.createDataFrame([(1, 2), (3, -1), (4, None), (None, 1)], "doc_id long, toxic int")
+    toxic = odd.limit(1).withColumns({"text": F.lit("idiot moron scum idiot"), "doc_id": F.lit(99).cast("long")})
+    docs = odd.unionByName(toxic)
+    out = toxicity.drop_toxic(docs, none)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(i for i, _ in ODD)
+    assert toxicity.drop_toxic(empty, none).count() == 0
+
+
+def test_rows_that_stay_of_empty_tables(spark, empty):
+    from quillmesh.llm import near_copies
+
+    assert exact_dedup.drop_copies(empty).count() == simhash.drop_near_copies(empty).count() == near_copies.drop_near_copies(empty).count() == mixing.mixed_documents(empty).count() == 0
+    assert packing.sequences(packing.pack(empty, BYTE, 0)).count() == 0
+
+
+def test_values_in_many_repositories_are_copied(spark):
+    value = "Zx9Kq2LmP0aB7cD4eF6g"
+    df = spark.createDataFrame([(i, f"see {value} here", "one", f"r{i % 7}") for i in range(9)], "doc_id long, text string, o string, r string")
+    got = secrets.secret_report(df, F.col("o"), F.col("r")).collect()
+    assert {(r.n_added, r.spans) for r in got} == {(0, "")}
+    few = secrets.secret_report(df.where("doc_id < 3"), F.col("o"), F.col("r")).collect()
+    assert {(r.n_added, r.n_live, r.most_owners, r.most_repositories) for r in few} == {(1, 1, 1, 3)}
+
+
+def test_dependent_voters_count_once():
+    """Ten copies of a weak voter don't outvote three good ones."""
+    r = np.random.default_rng(1)
+    truth = (r.random(4000) < 0.5).astype(float)
+    vote = lambda right: np.where(r.random(4000) < right, 2 * truth - 1, 1 - 2 * truth)
+    weak = vote(0.6)
+    votes = np.column_stack([*(vote(0.85) for _ in range(3)), *(weak for _ in range(10))]).astype(np.int8)
+    labels = np.where(r.random(4000) < 0.15, 1 - truth, truth)
+    q, _, shared = toxicity.label_model(votes, labels)
+    assert ((q > 0.5) == truth).mean() > 0.93 and shared[3, 4] > 0.3 > shared[0, 1]
+
+
+def test_long_texts(spark):
+    """A text of 1.5 MB goes through whole."""
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghij klmnop\n") for _ in range(1_500_000))
+    docs = [(1, text), (2, "short"), (3, text[700_000:701_000])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x for x in substring_dedup.remove_repeats(df).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [1000, 0, 1000] and got[1].n_bytes == len(text)
+    ids = brute.tokens(docs, BYTE, 0)
+    pieces = packing.pack(df, BYTE, 0).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert {x.doc_id: x.n for x in pieces} == {i: len(v) for i, v in ids.items()}
+    assert held(simhash.near_groups(df).collect(), "fingerprint", "component_id") == brute.simhash(docs)
+
+
 def test_toxicity_without_labels_or_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.toxicity(odd.unionByName(odd.limit(1).withColumn("text", F.lit("idiot moron scum")).withColumn("doc_id", F.lit(99).cast("long"))), none).collect()}

@@ -10,6 +10,7 @@ from brute import shingles, survivors  # noqa: E402
 from oracle import SF  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from quillmesh.llm import near_copies  # noqa: E402
 
 
 def planted(seed=7, n=200, words=300):
@@ -49,3 +50,22 @@ def test_odd_rows(spark):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 4), (False, 7), (True, None)]
+
+
+def test_many_copies_of_one_text_join_through_it(spark, monkeypatch):
+    """Copies that are alike to their text and less so to each other; the pairs that are looked at don't grow with their square."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(50_000)}" for _ in range(300)]
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        copy = list(base)
+        for p in r.sample(range(0, 300, 7), 6):
+            copy[p] = f"x{r.randrange(50_000)}"
+        rows.append((i, " ".join(copy)))
+    looked = []
+    kept = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *a: looked.append(pairs.distinct().count()) or kept(pairs, *a))
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    got = {x.doc_id for x in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert got == survivors(rows) and len(got) < 5
+    assert sum(looked) < 150 * 40
