@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators.extract import outer_symbols
 from quillmesh.operators.paths import extension, language
 
 #: Limits, in characters: a file, a chunk of text, a sampled field, all samples; how many samples, and their seed.
@@ -163,6 +164,9 @@ def _chunked(batches):
             if large:
                 code, lines = summarise(path, text, lang)
                 rows.append((f"{path}::large_file_summary", path, lang or "text", "file_summary", "large_file_summary", code, 1, lines))
+            elif symbols := outer_symbols(text, lang):
+                lines = text.split("\n")
+                rows += [(f"{path}::{name}", path, lang, kind, name, "\n".join(lines[a - 1 : b]), a, b) for name, kind, a, b in symbols]
             else:
                 rows += [(f"{path}::chunk_{i}", path, lang or "text", "text_chunk", f"chunk_{i}", *c) for i, c in enumerate(chunk_text(text))]
         if rows:
@@ -170,7 +174,7 @@ def _chunked(batches):
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks of every file ``path, content``: cut text, or one summary of a file that is too large.
+    """Chunks of every file ``path, content``: its outermost definitions, or cut text where it has none, or one summary of a file that is too large.
 
     A null content has no chunks. Lines are those of the file.
     """

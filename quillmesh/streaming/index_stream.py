@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillmesh.operators.incremental import apply_changes, operations
+from quillmesh.operators.incremental import operations
 from quillmesh.operators.metrics import totals
 
 
@@ -20,17 +22,45 @@ def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "type", width
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), kind).agg(F.count("*").alias("n")).select("w.start", "w.end", kind, "n")
 
 
-def follow_changes(changes: DataFrame, base: DataFrame, read_fresh, path: str, checkpoint: str) -> StreamingQuery:
-    """Apply every batch of changes to the index at ``path``: a version of the table for each batch.
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions below a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+
+def current(spark: SparkSession, path: str, upto: int | None = None, path_col: str = "path") -> DataFrame:
+    """The index at ``path`` after batch ``upto``, or after the last one: the newest whole table and the changes since."""
+    within = lambda versions: [v for v in versions if upto is None or v <= upto]
+    base = within(_versions(spark, f"{path}/base"))[-1]
+    index = spark.read.parquet(f"{path}/base/v={base}")
+    since = [v for v in within(_versions(spark, f"{path}/touched")) if v > base]
+    if not since:
+        return index
+    read = lambda name: reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/{name}/v={v}").withColumn("__v", F.lit(v)) for v in since))
+    last = read("touched").groupBy(path_col).agg(F.max("__v").alias("__v"))
+    return index.join(last.select(path_col), path_col, "left_anti").unionByName(read("rows").join(last, [path_col, "__v"]).select(index.columns))
+
+
+def follow_changes(changes: DataFrame, base: DataFrame, read_fresh, path: str, checkpoint: str, merge_every: int = 16) -> StreamingQuery:
+    """Keep the index at ``path`` up to date with a stream of changes; ``current`` reads it.
 
-    ``read_fresh(spark, ops)`` gives the rows of added paths. A batch that runs
-    again writes the same version again.
+    A batch writes the paths that it touches and the rows of those that it adds,
+    which ``read_fresh(spark, ops)`` gives; after every ``merge_every`` batches
+    the whole table is written once. A batch that runs again writes the same
+    again. What is older than the newest whole table can be deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        index = base if number == 0 else spark.read.parquet(f"{path}/v={number - 1}")
+        if not _versions(spark, f"{path}/base"):
+            base.write.mode("overwrite").parquet(f"{path}/base/v=-1")
         ops = operations(batch)
-        apply_changes(index, ops, read_fresh(spark, ops)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        ops.select("path").distinct().write.mode("overwrite").parquet(f"{path}/touched/v={number}")
+        added = ops.where("op = 'add'").select("path").distinct()
+        read_fresh(spark, ops).join(added, "path", "left_semi").write.mode("overwrite").parquet(f"{path}/rows/v={number}")
+        if number % merge_every == merge_every - 1:
+            current(spark, path, number).write.mode("overwrite").parquet(f"{path}/base/v={number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

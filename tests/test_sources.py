@@ -28,8 +28,10 @@ def test_store(spark, tmp_path):
     index_store.save(one.where("id = 'b'"), path, "r1", "s2", "m")
     assert [r.id for r in index_store.load(spark, path, "r1", "s2", "m").collect()] == ["b"] and index_store.load(spark, path, "r2").count() == 1
     assert index_store.load(spark, path, "r1", "s1").count() == 0 and index_store.load(spark, path, "r1", model="other").count() == 0
+    index_store.save(one.where("id = 'z'"), path, "r2", "s10", "m")
+    assert index_store.load(spark, path, "r2").count() == 0 and index_store.load(spark, path, "r1").count() == 1
     index_store.clear(spark, path, "r1")
-    assert index_store.load(spark, path, "r1").count() == 0
+    assert len(index_stream._versions(spark, path)) == 0
     done = one.select(F.col("id").alias("path")).limit(1)
     assert index_store.pending(one.withColumnRenamed("id", "path"), done).count() == 1
     assert index_store.same_model("m", "m") and not index_store.same_model(None, "m")
@@ -66,7 +68,16 @@ def test_change_stream(spark, tmp_path):
     fresh = lambda s, ops: s.createDataFrame([("a.ts", "1x"), ("c.ts", "3"), ("d.ts", "4")], "path string, sha string")
     stream = spark.readStream.schema(schema).json(src)
     index_stream.follow_changes(stream, base, fresh, str(tmp_path / "index"), str(tmp_path / "ck")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "index/v=0")).collect()} == {("a.ts", "1x"), ("c.ts", "3")}
+    index = str(tmp_path / "index")
+    assert {tuple(r) for r in index_stream.current(spark, index).collect()} == {("a.ts", "1x"), ("c.ts", "3")}
+    # more batches, one of them merged into a whole table
+    later = lambda s, ops: s.createDataFrame([("a.ts", "2x"), ("c.ts", "4")], "path string, sha string")
+    for change in [("a.ts", "modified", None), ("c.ts", "removed", None)]:
+        spark.createDataFrame([change], schema).coalesce(1).write.mode("append").json(src)
+        index_stream.follow_changes(stream, base, later, index, str(tmp_path / "ck"), merge_every=2).awaitTermination()
+    assert {tuple(r) for r in index_stream.current(spark, index).collect()} == {("a.ts", "2x")}
+    assert {tuple(r) for r in index_stream.current(spark, index, 0).collect()} == {("a.ts", "1x"), ("c.ts", "3")}
+    assert index_stream._versions(spark, f"{index}/base") == [-1, 1]
 
 
 def test_event_stream(spark, tmp_path):
