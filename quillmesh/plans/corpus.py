@@ -63,12 +63,13 @@ def page_index_nodes(spark, sf_dir):
     return summaries.page_index(index_chunks(spark, sf_dir)).drop("repo")
 
 
-@query(f"""
-WITH {PAGES}, q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda t: length(t) > 1 AND t NOT IN ({sql_list(SUMMARY_STOP)})) AS tokens FROM benchmark),
-d AS (SELECT item_id, tokens, path, row_number() OVER (PARTITION BY item_id ORDER BY len(list_filter(tokens, lambda t: contains(lower(summary), t))) DESC, ord, path) AS nd FROM dr, q QUALIFY nd <= 3),
-f AS (SELECT item_id, fl.path, len(list_filter(tokens, lambda t: contains(lower(summary), t)))::BIGINT AS hits, row_number() OVER (PARTITION BY item_id, parent ORDER BY len(list_filter(tokens, lambda t: contains(lower(summary), t))) DESC, ord, fl.path) AS nf
-  FROM fl JOIN d ON d.path = fl.parent QUALIFY nf <= 2)
-SELECT item_id, path, hits FROM f""")
+PAGE_SEARCH = f"""{PAGES}, pq AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda t: length(t) > 1 AND t NOT IN ({sql_list(SUMMARY_STOP)})) AS tokens FROM benchmark),
+pd AS (SELECT item_id, tokens, path, row_number() OVER (PARTITION BY item_id ORDER BY len(list_filter(tokens, lambda t: contains(lower(summary), t))) DESC, ord, path) AS nd FROM dr, pq QUALIFY nd <= 3),
+pf AS (SELECT item_id, fl.path, len(list_filter(tokens, lambda t: contains(lower(summary), t)))::BIGINT AS hits, row_number() OVER (PARTITION BY item_id, parent ORDER BY len(list_filter(tokens, lambda t: contains(lower(summary), t))) DESC, ord, fl.path) AS nf
+  FROM fl JOIN pd ON pd.path = fl.parent QUALIFY nf <= 2)"""
+
+
+@query(f"WITH {PAGE_SEARCH} SELECT item_id, path, hits FROM pf")
 def page_index_search(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("repo").alias("repo"), "text")
     return summaries.page_index_search(summaries.page_index(index_chunks(spark, sf_dir)), asked).select(F.col("query_id").alias("item_id"), "path", "hits")

@@ -28,9 +28,9 @@ def texts(spark, sf_dir):
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
-def numbered(spark, sf_dir, rows, id_col):
-    """``rows`` with the vector ``v`` whose number is the row's, counted around: every row has one. The pairing is synthetic."""
-    store = vectors(spark, sf_dir).select(F.col("id").alias("__v"), "v")
+def numbered(spark, sf_dir, rows, id_col, *columns):
+    """``rows`` with the vector ``v``, or the columns asked for, whose number is the row's, counted around: every row has one. The pairing is synthetic."""
+    store = vectors(spark, sf_dir).select(F.col("id").alias("__v"), *(columns or ("v",)))
     return rows.join(store, F.pmod(F.col(id_col), F.lit(store.count())) == F.col("__v")).drop("__v")
 
 
