@@ -146,6 +146,7 @@ def summarise(path: str, text: str, lang: str | None) -> tuple[str, int]:
     shown = json.dumps(payload, indent=2, ensure_ascii=False)
     shown = shown if len(shown) <= SAMPLES_CHARS else shown[:SAMPLES_CHARS] + "\n...(truncated)"
     bullets = lambda rows: [f"- {r}" for r in rows]
+    # fixed values: the lines of this summary are output text that has to match
     parts = [
         "[LARGE_FILE_SUMMARY]", f"path: {path}", f"language: {lang or 'text'}", "reason: exceeded chunking guardrails; full payload omitted", "", "known:", *bullets(known), "", "inferred:", *bullets(inferred or ["none"]),
         "", "unknown:", *bullets(unknown), "", "evidence:", *bullets(evidence), "", "samples:", shown, "", "confidence: medium",

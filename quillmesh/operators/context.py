@@ -43,6 +43,7 @@ def _files(blocks: DataFrame, limits: dict) -> DataFrame:
     by = Window.partitionBy("query_id", "file")
     rows = blocks.withColumns({"total": F.sum(F.length("code")).over(by), "n": F.count("*").over(by), "place": F.row_number().over(by.orderBy(F.desc("score"), "ord"))})
     sample = F.substring("code", 1, limits["snippet"])
+    # fixed values: the lines of this summary and of the two below are output text that has to match
     code = _lines(
         "[FILE_COMPACTION_SUMMARY]", _one("file: ", F.col("file")), "", "known:", _one("- chunk_count_in_context: ", F.col("n")), _one("- total_chars_in_context: ", F.col("total")), "", "inferred:",
         "- file may contain broad or verbose content; summarized to stay in budget", "", "unknown:", "- omitted file sections not shown in this compact view", "", "evidence:", _one("- retained_top_snippet_chars: ", F.length(sample)),

@@ -32,6 +32,7 @@ def directory_summaries(files: DataFrame, limits: dict = DIRECTORY_LIMITS) -> Da
     joined = over.join(tops, ["repo", "dir"])
     omitted = F.col("file_count") - F.size("top")
     none = F.array().cast("array<string>")
+    # fixed values: the lines of this summary are output text that has to match
     parts = F.concat(
         F.array(F.lit("[DIRECTORY_SUMMARY]"), F.concat(F.lit("directory: "), "dir"), F.lit(""), F.lit("known:"), F.concat(F.lit("- file_count: "), F.col("file_count").cast("string")), F.concat(F.lit("- total_chars: "), F.col("total_chars").cast("string")),
                 F.concat(F.lit("- overflow_reason: "), F.when(F.col("file_count") > limits["files"], "too many files").otherwise("too many chars")),
