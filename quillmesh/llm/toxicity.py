@@ -106,17 +106,19 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tupl
 
     A generative model with one factor for each voter and one for each voter
     and the one it depends on: P(truth) times the product of P(vote | truth,
-    vote of its parent). It starts from the labels, which vote like all others,
-    with independent voters; the parents are found from the posteriors after a
-    third of the rounds and again after two thirds. Correlations are the mutual
+    vote of its parent). It starts from the labels, which vote like all others;
+    parents are found from those, and from the posteriors after half of the
+    rounds. The labels have no parent:
+    who gave them didn't look at the voters. Correlations are the mutual
     information of two voters given the truth.
     """
     all_ = np.column_stack([votes, 2 * labels - 1]).astype(np.int8)
     n = all_.shape[1]
     q, parent, shared = np.where(labels > 0, 0.9, 0.1), np.full(n, -1), np.zeros((n, n))
     for step in range(rounds):
-        if step in (rounds // 3, 2 * rounds // 3):
-            parent, shared = dependencies(all_, q)
+        if step in (0, rounds // 2):
+            tree, shared[:-1, :-1] = dependencies(all_[:, :-1], q)
+            parent = np.append(tree, -1)
         of = np.where(parent[None, :] >= 0, all_[:, np.maximum(parent, 0)], 0)
         p = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         odds = np.full(len(q), np.log(p / (1 - p)))
