@@ -3,9 +3,10 @@
 Here pairs count by the Jaccard similarity of their sets of word shingles. Two
 sets of a similarity of 0.8 have a cosine of 0.889, so a bit of a fingerprint
 differs with a probability of acos(0.889) / pi = 0.15: far more than the bits of
-``simhash.near_groups``. The fingerprint has therefore a word of 64 bits, whose
-whole distance is verified, and as many segments more as find 0.995 of such
-pairs. In a segment the small ball around its value is enumerated over the bits
+``simhash.near_groups``. The fingerprint has therefore 1,024 bits or more, with as
+many segments as find 0.995 of such pairs. Distances are verified over a word of
+64 bits where every bucket is gone through, and over 1,024 bits where pairs of a
+bucket are, so that texts which are less alike don't become pairs. In a segment the small ball around its value is enumerated over the bits
 that the fewest shingles decided, as those are the ones that differ, and two
 texts meet where their balls do. Segments are three bits wider than the number
 of texts, so what meets by chance stays a part of the texts at every size, and
@@ -40,6 +41,9 @@ from quillmesh.workspace import regrouped, stored
 FLIPPED = 4
 #: Bits of the verified word that differ at most: at a similarity of 0.8, 9.7 in the mean with a deviation of 2.9.
 MOST = 21
+#: Words of 64 bits whose whole distance is verified, and bits of them that differ at most: three and a half deviations above the mean.
+WIDE = 16
+MOST_WIDE = math.floor(64 * WIDE * 0.1515 + 3.5 * math.sqrt(64 * WIDE * 0.1515 * 0.8485))
 #: Classes in a bucket from which its head is the one in the middle.
 CROWDED = 8
 #: Widths of a segment: below the narrowest, few texts need no fewer; the widest leaves room for the segment's number.
@@ -65,38 +69,38 @@ def _words(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(hashes: np.ndarray, width: int, segments: int) -> tuple[int, np.ndarray]:
-    """The verified word, signed, of a set of shingles that isn't empty, and the keys of the balls of its segments."""
-    k = 1 + -(-width * segments // 64)
+def fingerprint(hashes: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The verified words, signed, of a set of shingles that isn't empty, and the keys of the balls of its segments."""
+    k = max(WIDE, 1 + -(-width * segments // 64))
     total = np.zeros(64 * k, np.int64)
     for at in range(0, len(hashes), 8192):  # bounds the arrays of a very long text
         total += votes(_words(hashes[at : at + 8192], k))
     margin = 2 * total - len(hashes)
-    word = int(np.packbits(margin[:64] > 0, bitorder="little").view("<i8")[0])
+    wide = np.packbits(margin[: 64 * WIDE] > 0, bitorder="little").view("<i8")
     margin = margin[64 : 64 + width * segments].reshape(segments, width)
     value = (margin > 0).astype(np.int64) @ (np.int64(1) << np.arange(width))
     ball = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :FLIPPED]
     values = np.column_stack([value, value[:, None] ^ (np.int64(1) << ball)])
-    return word, (values | (np.arange(segments)[:, None] << WIDEST)).ravel()
+    return wide, (values | (np.arange(segments)[:, None] << WIDEST)).ravel()
 
 
 def prints(texts: DataFrame, words: int, width: int, segments: int) -> DataFrame:
-    """``id, r, p, set, n, fp, keys``: a digest of the set of shingles and its size, the verified word, the segments' keys."""
+    """``id, r, p, set, n, fp, wide, keys``: a digest of the set of shingles and its size, the first of the verified words and all of them, the segments' keys."""
     from xxhash import xxh3_128_digest
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text", 1 << 20):
                 found = [np.unique(shingle_hashes(t or b"", words, 42)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                made = [fingerprint(h, width, segments) if len(h) else (0, []) for h in found]
+                made = [fingerprint(h, width, segments) if len(h) else (np.zeros(WIDE, np.int64), []) for h in found]
                 columns = [
                     *(part.column(c) for c in ("id", "r", "p")), pa.array([xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([len(h) for h in found], pa.int64()),
-                    pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())),
+                    pa.array([int(m[0][0]) for m in made], pa.int64()), *(pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (0, 1)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "r", "p", "set", "n", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "r", "p", "set", "n", "fp", "wide", "keys"])
 
     long_ = lambda n: StructField(n, LongType())
-    return texts.mapInArrow(run, StructType([texts.schema["id"], long_("r"), long_("p"), StructField("set", BinaryType()), long_("n"), long_("fp"), StructField("keys", ArrayType(LongType()))]))
+    return texts.mapInArrow(run, StructType([texts.schema["id"], long_("r"), long_("p"), StructField("set", BinaryType()), long_("n"), long_("fp"), StructField("wide", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))]))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -141,7 +145,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = keyed(docs, id_col, text_col)
     width, segments = layout(docs.count())
     rows = stored(prints(texts, words, width, segments), "prints")
-    classes = stored(rows.select("r", "p", "set", "n", "fp", "keys").dropDuplicates(["set"]).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stored(rows.select("r", "p", "set", "n", "fp", "wide", "keys").dropDuplicates(["set"]).withColumn("node", F.monotonically_increasing_id()), "classes")
     member = classes.select("node", "n", "fp", F.explode("keys").alias("key"))
     heads = member.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("hfp"), F.min_by("n", "node").alias("hn"), F.count("*").alias("held")).where("held > 1").withColumnRenamed("key", "hk")
     shared = stored(member.join(regrouped(heads, "hk"), F.col("key") == F.col("hk")).select("node", "n", "fp", "key", "head", "hfp", "hn", "held"), "buckets")
@@ -158,10 +162,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # buckets that are not joined to one component: what is outside the largest one meets all others
     counts = at.groupBy("key", "root").agg(F.count("*").alias("c"))
     split = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select(F.col("key").alias("hk"), "major")
-    left = stored(at.join(regrouped(split, "hk"), F.col("key") == F.col("hk")).select("node", "n", "fp", "key", "root", "major"), "unjoined")
-    one = left.where("root <> major").select("key", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
-    other = left.select("key", F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("fp").alias("fb"), F.col("root").alias("rb"))
-    cross = one.join(other, "key").where((F.col("ra") != F.col("rb")) & close("fa", "fb") & sized("sa", "sb")).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    left = at.join(regrouped(split, "hk"), F.col("key") == F.col("hk")).select("node", "n", "key", "root", "major")
+    left = stored(left.join(classes.select(F.col("node").alias("x"), "wide"), F.col("node") == F.col("x")).drop("x"), "unjoined")
+    one = left.where("root <> major").select("key", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("wide").alias("wa"), F.col("root").alias("ra"))
+    other = left.select("key", F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("wide").alias("wb"), F.col("root").alias("rb"))
+    differ = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+    cross = one.join(other, "key").where((F.col("ra") != F.col("rb")) & sized("sa", "sb") & (differ <= MOST_WIDE)).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     roots = connected(first.unionByName(_alike(cross, classes, texts, words, least)))
     named = classes.select("set", "node").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set").alias("s"), F.coalesce("root", "node").alias("root"))
     ids = stored(rows.select("id", "set").join(regrouped(named, "s"), F.col("set") == F.col("s")).select("id", "root"), "ids")
