@@ -3,9 +3,9 @@
 Here pairs count by the Jaccard similarity of their sets of word shingles. Two
 sets of a similarity of 0.8 have a cosine of 0.889, so a bit of a fingerprint
 differs with a probability of acos(0.889) / pi = 0.15: far more than the bits of
-``simhash.near_groups``. The fingerprint has therefore 1,024 bits or more, with as
+``simhash.near_groups``. The fingerprint has therefore 1,536 bits or more, with as
 many segments as find 0.995 of such pairs. Distances are verified over a word of
-64 bits where every bucket is gone through, and over 1,024 bits where pairs of a
+64 bits where every bucket is gone through, and over 1,536 bits where pairs of a
 bucket are, so that texts which are less alike don't become pairs. In a segment the small ball around its value is enumerated over the bits
 that the fewest shingles decided, as those are the ones that differ, and two
 texts meet where their balls do. Segments are three bits wider than the number
@@ -42,7 +42,7 @@ FLIPPED = 4
 #: Bits of the verified word that differ at most: at a similarity of 0.8, 9.7 in the mean with a deviation of 2.9.
 MOST = 21
 #: Words of 64 bits whose whole distance is verified, and bits of them that differ at most: three and a half deviations above the mean.
-WIDE = 16
+WIDE = 24
 MOST_WIDE = math.floor(64 * WIDE * 0.1515 + 3.5 * math.sqrt(64 * WIDE * 0.1515 * 0.8485))
 #: Classes in a bucket from which its head is the one in the middle.
 CROWDED = 8
