@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, secrets, simhash, substring_dedup, token_files, toxicity
+from quillmesh.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, quality, search, secrets, simhash, spelling, substring_dedup, token_files, toxicity
 from quillmesh.workspace import new_path
 
 
@@ -62,10 +62,24 @@ def op10_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_search(spark, sf_dir):
+    return search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_secrets, op3_simhash, op4_token_files, op5_packing, op6_exact_dedup, op7_mixing, op8_fingerprints, op9_toxicity, op10_substring_dedup)
-}
+    for f in (
+        op1_line_dedup, op2_secrets, op3_simhash, op4_token_files, op5_packing, op6_exact_dedup, op7_mixing, op8_fingerprints, op9_toxicity, op10_substring_dedup, op11_quality, op12_spelling, op13_search,
+    )
+}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -117,5 +131,21 @@ SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
     + greatest(0, least(size, budget - budget // source_size * source_size - before)) END)::BIGINT AS taken
 FROM p
+""",
+    "op13_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, term, any_value(n)::BIGINT AS n, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+r AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
 """,
 }

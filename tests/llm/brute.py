@@ -186,3 +186,74 @@ def fingerprints(docs):
         edited = digest(t[: len(t) - k] + after[:k])
         out[i] = (hex_(own[n]), hex_(edited), like(own[n], edited), like(own[n], own[(n + 1) % len(own)]), first[canonical(t)], canons[canonical(t)])
     return out
+
+
+def quality_counts(docs):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    out = []
+    for i, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if x.strip(WS)]
+        windows = Counter(tuple(words[j : j + 8]) for j in range(len(words) - 7))
+        covered = {k for j in range(len(words) - 7) if windows[tuple(words[j : j + 8])] > 1 for k in range(j, j + 8)}
+        n = len(words)
+        out.append((i, n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n))
+    return out
+
+
+def spelling(docs, least=5, every=199):
+    """word: (form, root, n, n_near, form_n)."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = Counter()
+    for i, t in docs:
+        for word in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            word = word.translate(low)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % every == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            n[word] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 6 and c >= least}
+    without = defaultdict(set)  # words that can be made equal by an edit share a string with at most one character less
+    for w in n:
+        for s in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))}:
+            without[s].add(w)
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) - len(a) == 1 and any(b[:j] + b[j + 1 :] == a for j in range(len(b)))
+
+    form, count = {}, {}
+    for w in n:
+        met = {v for s in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))} for v in without[s] if v != w and near(w, v)}
+        count[w] = len(met)
+        best = min(met, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, n[w], count[w], n.get(form[w]))
+    return out
+
+
+def search(docs, items, most=50):
+    """(item, rank, doc, score) of rows of documents and items."""
+    import math
+
+    split = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = [(i, Counter(split.findall((t or "").translate(low)))) for i, t in docs]
+    size = [sum(c.values()) for _, c in held]
+    n, total, df = sum(s > 0 for s in size), sum(size), Counter(t for _, c in held for t in c)
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(split.findall((t or "").translate(low)))
+    out = []
+    for item, terms in asked.items():
+        w = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in terms if df[t]}
+        scores = [(-sum(w[t] * (10**9 * c[t] // (1000 * c[t] + 20 * (50 + 50 * s * n // total))) for t in w if t in c), i is None, i or 0) for (i, c), s in zip(held, size)]
+        out += [(item, rank, None if none else i, -score) for rank, (score, none, i) in enumerate(sorted(x for x in scores if x[0])[:most], 1)]
+    return out
