@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import evidence_terms, query_symbols
+from quillmesh.functions.text import evidence_terms
 from quillmesh.operators import bm25, chat, context, evidence, retrieval, safety
 from quillmesh.operators.messages import picked
 from quillmesh.workspace import stored
@@ -104,38 +104,70 @@ def verified_answers(answers: DataFrame, chunks: DataFrame, embed, complete, dim
     return revised.select("query_id", F.when(changed, F.col("reply")).otherwise(F.col("answer")).alias("answer"), F.size("claims").alias("claims"), changed.alias("changed"))
 
 
-def ask(chunks: DataFrame, queries: DataFrame, embed, complete, turns: DataFrame | None = None, limit: int = 8, limits: dict = context.LIMITS["mlc"], dims: int = 64, strict: bool = False, verify: bool = True, index: bm25.Bm25Index | None = None) -> DataFrame:
-    """One row per query: ``query_id, answer, blocked, level, matched, missing, stage, citations, claims, changed``.
+def plain_variants(queries: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """``query_id, variant, text`` without a model: the query, after a follow-up with terms of the turns before, and a variant of its code symbols.
+
+    queries: ``query_id, text``; turns: ``query_id, turn, role, text`` of the conversation before.
+    """
+    text = queries.select("query_id", chat.trimmed(F.coalesce("text", F.lit(""))).alias("text"))
+    if turns is not None:
+        own = turns.select(F.col("query_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+        asked = text.select(F.col("query_id").alias("conv_id"), F.lit((1 << 62) + 1).alias("turn"), F.lit("user").alias("role"), "text")
+        text = chat.contextual_queries(own.unionByName(asked)).select(F.col("conv_id").alias("query_id"), F.col("query").alias("text"))
+    return text.select("query_id", F.posexplode(chat.expanded(F.col("text"))).alias("variant", "text"))
 
-    chunks: ``id, file, name, node_type, text, v``; queries: ``query_id, text``.
-    The query is searched in several phrasings, weak results are searched once
-    more, results are reranked by the query's symbols, scanned for instructions
-    and made safe, and what fits the budget goes to the model. A question for a
-    fact with hardly any evidence is ``blocked`` and has no answer, as has, with
-    ``strict``, one whose results give orders. The answer's claims are checked.
+
+def retrieved(chunks: DataFrame, queries: DataFrame, embed, complete=None, turns: DataFrame | None = None, limit: int = 5, most: int = 8, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None) -> DataFrame:
+    """``query_id, id, score, file, name, node_type, code, rank``: what a question finds before anything is asked about it.
+
+    With a model the query is searched in the phrasings that it adds, and weak
+    results are searched once more; without one in those of ``plain_variants``.
+    Every search fuses its variants and ranks them by preference, so the scores
+    that are merged, and judged as weak, are on one scale. A question for an
+    overview gets the usual introductory files behind its results.
     """
     index = index or bm25.build_index(chunks, "id", "text")
-    variants = query_variants(queries, complete, turns)
-    first = retrieval.multipath_search(chunks, variants.withColumn("q", embed(F.col("text"))), limit, dims=dims, index=index)
+    variants = plain_variants(queries, turns) if complete is None else query_variants(queries, complete, turns)
+    search = lambda v: retrieval.multipath_search(chunks, v.withColumn("q", embed(F.col("text"))), limit, dims=dims, edges=edges, index=index)
     texts = chunks.select("id", "file", "name", "node_type", F.col("text").alias("code"))
-    found = stored(first.join(texts, "id"), "found")
-    better = refined_queries(queries, found, complete)
-    again = retrieval.hybrid_search(chunks, better.withColumn("q", embed(F.col("text"))), limit=limit, dims=dims, index=index)
-    merged = retrieval.merge_refined(found, again, limit)
-    symbols = queries.select("query_id", query_symbols(F.col("text")).alias("symbols"))
-    rows = merged.join(texts, "id").join(symbols, "query_id").withColumn("definitions", F.array().cast("array<string>"))
-    ranked = retrieval.preference_rerank(rows, limit)
-    results = stored(ranked.join(texts, "id"), "ranked")
+    found = stored(search(variants).join(texts, "id"), "found")
+    results = found.select("query_id", "id", "score")
+    if complete is not None:
+        better = stored(refined_queries(queries, found, complete), "better")
+        merged = retrieval.merge_refined(found.join(better.select("query_id"), "query_id", "left_semi"), search(better.withColumn("variant", F.lit(0))), most)
+        results = found.join(better.select("query_id"), "query_id", "left_anti").select(results.columns).unionByName(merged.select(results.columns))
+    wanted = queries.where(chat.matches_any(F.coalesce("text", F.lit("")), chat.OVERVIEW)).select("query_id")
+    files = chunks.select("id", "file", (F.col("ord") if "ord" in chunks.columns else F.col("id")).alias("ord"))
+    every = retrieval.inject_baseline(results.join(files.select("id", "file"), "id").select("query_id", "id", "file", "score"), wanted, files)
+    order = [F.round("score", 9).desc(), F.col("id")]
+    ranked = every.drop("file").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.join(texts, "id")
+
+
+def ask(chunks: DataFrame, queries: DataFrame, embed, complete, turns: DataFrame | None = None, limit: int = 5, limits: dict = context.LIMITS["mlc"], dims: int = 64, strict: bool = True, verify: bool = True, index: bm25.Bm25Index | None = None, edges: DataFrame | None = None, expand: bool = True) -> DataFrame:
+    """One row per query: ``query_id, answer, blocked, level, matched, missing, stage, citations, claims, changed``.
+
+    chunks: ``id, file, name, node_type, text, v`` and, where they have them,
+    ``ord`` in the file and ``definitions`` of the file; queries: ``query_id,
+    text``; edges: ``id, neighbour`` of the code's graph.
+    Results are those of ``retrieved``, with phrasings of the model if
+    ``expand``. They are scanned for instructions and made safe, and what fits
+    the budget goes to the model. A question for a fact with hardly any evidence
+    is ``blocked`` and has no answer, as has, with ``strict``, one whose results
+    give orders. Introductory files are evidence for no question and aren't
+    cited. The answer's claims are checked.
+    """
+    results = stored(retrieved(chunks, queries, embed, complete if expand else None, turns, limit, dims=dims, edges=edges, index=index), "ranked")
     scanned = stored(safety.scan(results), "scanned")
     safe = stored(safety.safe_results(results, scanned), "safe")
     asked = queries.select("query_id", F.col("text").alias("question"), evidence_terms(F.col("text")).alias("terms"))
-    covered = evidence.coverage(asked.select("query_id", "terms"), safe)
+    covered = evidence.coverage(asked.select("query_id", "terms"), results.where("score > 0"))
     unsafe = F.coalesce(F.col("strict"), F.lit(False)) if strict else F.lit(False)
     judged = asked.join(covered.select("query_id", "matched", "missing", "best"), "query_id", "left").join(scanned.select("query_id", "level", "strict"), "query_id", "left").join(context.assemble(safe, limits).select("query_id", "context", "stage"), "query_id", "left")
     judged = judged.withColumn("blocked", F.coalesce(evidence.blocked(judged, chat.matches_any(F.col("question"), chat.FACT)), F.lit(False)) | unsafe)
     prompt = F.concat(F.lit("Answer from these parts of the code and name their files.\n"), F.coalesce("context", F.lit("(nothing was found)")), F.lit("\n\nQuestion: "), "question")
     answered = stored(judged.withColumn("answer", F.when(~F.col("blocked"), complete(prompt))), "answers")
-    cited = evidence.grounded(safe.where("cited"), asked.select("query_id", "terms")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "file"))), lambda x: F.struct(x["id"], x["file"])).alias("citations"))
+    cited = evidence.grounded(safe.where("cited and score > 0"), asked.select("query_id", "terms")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "file"))), lambda x: F.struct(x["id"], x["file"])).alias("citations"))
     out = answered.join(cited, "query_id", "left")
     if verify:
         checked = verified_answers(answered.where("answer is not null").select("query_id", "question", "answer"), chunks, embed, complete, dims)

@@ -11,48 +11,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import query_symbols, words
+from quillmesh.functions.text import query_symbols, trimmed, words
 from quillmesh.functions.vectors import binarized, cosine, doubles, hamming_words
 from quillmesh.operators import bm25
 from quillmesh.operators.bm25 import top
+from quillmesh.operators.dense import cosine_ranks, cosine_search, paired
+from quillmesh.workspace import stored
 
 COARSE, RRF_K = 50, 60
 VECTOR_WEIGHT = 0.7
-#: Bytes of queries up to which they are sent to every task; beyond, they meet the vectors in blocks.
-SENT_BYTES = 64 << 20
-
-
-def paired(vectors: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
-    """Every query with every vector: exact search against all rows.
-
-    The query table goes to every task if its size is measured to be small. If
-    it isn't, queries are dealt into blocks and vectors into salts, and each
-    block meets each salt in a task of its own.
-    """
-    n = queries.count()
-    if n * (dims * 8 + 64) <= SENT_BYTES:
-        return vectors.crossJoin(F.broadcast(queries))
-    blocks = -(-n * (dims * 8 + 64) // SENT_BYTES)
-    salts = -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)
-    spread = lambda k, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(name)
-    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).select("*", spread(salts, "__salt"))
-    # every vector once in each block, in one of its salts: blocks times salts tasks of about one split of vectors each
-    return vectors.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts))).select("*", spread(blocks, "__block")).join(dealt, ["__block", "__salt"]).drop("__block", "__salt")
-
 
 def hamming_search(vectors: DataFrame, queries: DataFrame, limit: int = COARSE, dims: int = 64) -> DataFrame:
     """``query_id, id, dist, score, rank``: nearest sign bits first, then by id. vectors: ``id, bits``; queries: ``query_id, qbits``."""
     dist = hamming_words(F.col("bits"), F.col("qbits"), -(-dims // 32))
-    rows = paired(vectors.select("id", "bits"), queries.select("query_id", "qbits"), dims // 32).select("query_id", "id", dist.alias("dist"))
+    rows = paired(vectors.select("id", "bits"), queries.select("query_id", "qbits"), queries.count() * (dims // 4 + 64), "id", "query_id").select("query_id", "id", dist.alias("dist"))
     return top(rows.withColumn("score", 1 / (1 + F.col("dist"))), limit, by=[F.col("dist"), F.col("id")])
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, limit: int = COARSE, dims: int = 64) -> DataFrame:
-    """``query_id, id, score, rank`` by the cosine. vectors: ``id, v``; queries: ``query_id, q``."""
-    rows = paired(vectors.select("id", "v"), queries.select("query_id", "q"), dims).select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
-    return top(rows, limit)
-
-
 def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of lists ``query_id, id, rank``: ``query_id, id, score`` with the rank in each list as ``r0, r1...``.
 
@@ -76,55 +51,87 @@ def expand_with_graph(candidates: DataFrame, edges: DataFrame, seeds: int = 20,
     """Candidates and, behind them, the neighbours of the first ``seeds`` at ``weight`` of the best seed's score.
 
     candidates: ``query_id, id, score, rank``; edges: ``id, neighbour``. Every
-    row also has ``expanded``; a neighbour that is a candidate already stays as it is.
+    row also has ``expanded`` and its ``place``: the rank of a candidate, and for
+    a neighbour a number behind all ranks, in the order of the seeds. A
+    neighbour that is a candidate already stays as it is.
     """
-    near = candidates.where(F.col("rank") <= seeds).join(edges, "id").groupBy("query_id", F.col("neighbour").alias("id")).agg((F.max("score") * weight).alias("score"))
+    near = candidates.where(F.col("rank") <= seeds).join(edges, "id").groupBy("query_id", F.col("neighbour").alias("id")).agg((F.max("score") * weight).alias("score"), F.min("rank").alias("seed"))
     new = near.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return candidates.select("query_id", "id", "score", F.lit(False).alias("expanded")).unionByName(new.select("query_id", "id", "score", F.lit(True).alias("expanded")))
+    own = candidates.select("query_id", "id", "score", F.lit(False).alias("expanded"), F.col("rank").cast("long").alias("place"))
+    return own.unionByName(new.select("query_id", "id", "score", F.lit(True).alias("expanded"), (F.col("seed") + 1_000_000_000).alias("place")))
 
 
-def blend(expanded: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rerank: 0.7 of the cosine and the rest of the fused score over the query's largest one. vectors: ``id, v``; queries: ``query_id, q``."""
+def blend(expanded: DataFrame, vectors: DataFrame, queries: DataFrame, weight: float = VECTOR_WEIGHT) -> DataFrame:
+    """Rerank: ``weight`` of the cosine and the rest of the fused score over the query's largest one. vectors: ``id, v``; queries: ``query_id, q``."""
     largest = F.max("score").over(Window.partitionBy("query_id"))
     prior = F.when(largest > 0, F.col("score") / largest).otherwise(F.lit(0.0))
     rows = expanded.withColumn("prior", prior).join(vectors.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
-    return rows.select("query_id", "id", (VECTOR_WEIGHT * cosine(F.col("v"), F.col("q")) + (1 - VECTOR_WEIGHT) * F.col("prior")).alias("score"))
+    return rows.select("query_id", "id", (weight * cosine(F.col("v"), F.col("q")) + (1 - weight) * F.col("prior")).alias("score"))
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, limit: int = 5, coarse: int = COARSE, dims: int = 64, quantised: bool = True, keywords: bool = True, rerank: bool = True, index: bm25.Bm25Index | None = None) -> DataFrame:
     """``query_id, id, score, rank``: sign bits and BM25, fused, expanded over the graph, reranked by the cosine.
 
     chunks: ``id, text, v``; queries: ``query_id, text, q``. The switches give
-    the configurations that an ablation compares. ``index`` is a BM25 index of
-    the chunks that was built before.
+    the configurations that an ablation compares: without ``quantised`` the
+    cosines of all chunks are ranked in place of the nearest sign bits, without
+    ``keywords`` the nearest sign bits are ordered by the cosine alone, and
+    without ``rerank`` the order is that of the fused scores, then of the fused
+    list. ``index`` is a BM25 index of the chunks that was built before.
     """
     vectors = chunks.select("id", "v", binarized(F.col("v")).alias("bits"))
     asked = queries.select("query_id", "q", binarized(F.col("q")).alias("qbits"))
-    dense = hamming_search(vectors, asked, coarse, dims) if quantised else cosine_search(vectors, asked, coarse, dims)
-    lists = [dense]
-    if keywords:
-        lists.append(bm25.bm25_search(index or chunks, queries, "id", "text", "query_id", "text", coarse))
-    fused = top(fuse(*lists), coarse, by=fused_order(len(lists)))
-    if edges is None:
-        expanded = fused.select("query_id", "id", "score")
+    found = bm25.bm25_search(index or chunks, queries, "id", "text", "query_id", "text", coarse) if keywords else None
+    if quantised:
+        dense = hamming_search(vectors, asked, coarse, dims)
     else:
-        expanded = expand_with_graph(fused, edges)
-    return top(blend(expanded, vectors, asked) if rerank else expanded.select("query_id", "id", "score"), limit)
-
-
-def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None) -> DataFrame:
-    """Hybrid search of every variant of a query in one job, fused over the variants and scored by the cosine to the first one.
-
-    variants: ``query_id, variant, text, q``; variants are numbered from 0.
+        # all ranks count, but only those of the first and of what the keywords find can come to the top
+        dense = cosine_search(vectors, asked, coarse).select("query_id", "id", "rank")
+        if keywords:
+            found = stored(found, "keywords")
+            ranks = cosine_ranks(vectors, asked.select("query_id", "q"), found.select("query_id", "id"))
+            dense = dense.unionByName(ranks.join(dense, ["query_id", "id"], "left_anti").select(dense.columns))
+    if not keywords:
+        return top(blend(dense.select("query_id", "id", F.lit(1.0).alias("score")), vectors, asked, 1.0), limit)
+    fused = top(fuse(dense, found), coarse, by=fused_order(2))
+    expanded = expand_with_graph(fused, edges) if edges is not None else fused.withColumn("place", F.col("rank").cast("long"))
+    if not rerank:
+        return top(expanded.select("query_id", "id", "score", "place"), limit, by=[F.round("score", 12).desc(), F.col("place"), F.col("id")]).drop("place")
+    return top(blend(expanded.select("query_id", "id", "score"), vectors, asked), limit)
+
+
+def distinct_variants(variants: DataFrame) -> DataFrame:
+    """The variants of every query without white space around them; empty ones and repetitions of an earlier one go, and the rest are numbered from 0."""
+    own = variants.withColumn("text", trimmed(F.col("text"))).where(F.length("text") > 0)
+    first = own.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("variant"))).where("__n = 1").drop("__n")
+    return first.withColumn("variant", F.row_number().over(Window.partitionBy("query_id").orderBy("variant")) - 1)
+
+
+def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None, alpha: float = 0.7) -> DataFrame:
+    """Hybrid search of every variant of a query in one job, fused over the variants, then ranked by preference.
+
+    variants: ``query_id, variant, text, q``. Variants are trimmed, and empty and
+    repeated ones left out. What the paths of several variants find is fused by
+    its ranks and scored by the cosine to the first variant; the results of an
+    only variant keep their scores. Preference takes the symbols of all variants,
+    the chunks' ``name`` and their files' ``definitions`` where ``chunks`` has
+    these columns.
     """
-    keyed = variants.select(F.struct("query_id", "variant").alias("query_id"), "text", "q")
+    own = stored(distinct_variants(variants), "variants")
+    several = own.groupBy("query_id").agg((F.count("*") > 1).alias("several"))
+    keyed = own.select(F.struct("query_id", "variant").alias("query_id"), "text", "q")
     paths = hybrid_search(chunks, keyed, edges, max(2 * limit, 10), coarse, dims, index=index)
-    ranks = paths.select("query_id.query_id", "query_id.variant", "id", "rank")
-    fused = ranks.groupBy("query_id", "id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
+    ranks = stored(paths.select("query_id.query_id", "query_id.variant", "id", "score", "rank").join(several, "query_id"), "paths")
+    fused = ranks.where("several").groupBy("query_id", "id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
     kept = top(fused, coarse, by=[F.round("score", 12).desc(), F.col("first"), F.col("id")])
-    first = variants.where("variant = 0").select("query_id", "q")
-    scored = kept.select("query_id", "id").join(chunks.select("id", "v"), "id").join(first, "query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
-    return top(scored, limit)
+    first = own.where("variant = 0").select("query_id", "q")
+    scored = kept.select("query_id", "id", "rank").join(chunks.select("id", "v"), "id").join(first, "query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"), "rank")
+    single = ranks.where(~F.col("several") & (F.col("rank") <= limit)).select("query_id", "id", "score", "rank")
+    symbols = own.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(query_symbols(F.col("text"))))).alias("symbols"))
+    named = {"name": F.lit(None).cast("string"), "definitions": F.lit(None).cast("array<string>")}
+    shown = chunks.select("id", F.col("text").alias("code"), *(F.col(c) if c in chunks.columns else v.alias(c) for c, v in named.items()))
+    results = scored.unionByName(single).join(symbols, "query_id").join(shown, "id")
+    return preference_rerank(results, limit, alpha)
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, limit: int = COARSE) -> DataFrame:
@@ -135,18 +142,25 @@ def keyword_search(docs: DataFrame, queries: DataFrame, limit: int = COARSE) ->
     return top(occurrences.join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("asked")).alias("score")), limit)
 
 
-def preference(symbols, name, definitions, code) -> "F.Column":
-    """How well a chunk fits the query's symbols, from 0 to 1: half for a definition, half for the part of the symbols it mentions."""
-    mentioned = words(code)
+def preference(symbols, name, definitions, mentioned) -> "F.Column":
+    """How well a chunk fits the query's symbols, from 0 to 1: half for a definition, half for the part of the symbols that its words mention.
+
+    ``mentioned``: the words of the chunk, as ``functions.text.words`` gives them.
+    """
     defined = F.when(F.array_contains(symbols, F.lower(name)), F.lit(1.0)).when(F.exists(F.coalesce(definitions, F.array().cast("array<string>")), lambda d: F.array_contains(symbols, F.lower(d)) & F.array_contains(mentioned, F.lower(d))), F.lit(0.6)).otherwise(F.lit(0.0))
     ratio = F.size(F.array_intersect(symbols, mentioned)) / F.size(symbols)
-    return F.when(F.size(symbols) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 * defined + 0.5 * ratio))
+    return F.when(F.size(symbols) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 * F.coalesce(defined, F.lit(0.0)) + 0.5 * ratio))
 
 
 def preference_rerank(results: DataFrame, limit: int = 5, alpha: float = 0.7) -> DataFrame:
-    """``query_id, id, score, rank``; without symbols the order stays. results: ``query_id, id, score, rank, symbols, name, definitions, code``."""
-    mixed = F.when(F.size("symbols") == 0, F.col("score")).otherwise(alpha * F.col("score") + (1 - alpha) * preference(F.col("symbols"), F.col("name"), F.col("definitions"), F.col("code")))
-    rows = results.withColumn("old", F.col("rank")).withColumn("score", mixed)
+    """``query_id, id, score, rank``; without symbols the order stays. results: ``query_id, id, score, rank, symbols, name, definitions, code``.
+
+    A chunk that many queries found is cut into words once.
+    """
+    rows = stored(results, "found")
+    cut = rows.groupBy("id").agg(F.first("code").alias("code")).select("id", F.array_distinct(words(F.col("code"))).alias("mentioned"))
+    mixed = F.when(F.size("symbols") == 0, F.col("score")).otherwise(alpha * F.col("score") + (1 - alpha) * preference(F.col("symbols"), F.col("name"), F.col("definitions"), F.col("mentioned")))
+    rows = rows.drop("code").join(cut, "id").withColumn("old", F.col("rank")).withColumn("score", mixed)
     order = [F.when(F.size("symbols") == 0, F.lit(0.0)).otherwise(-F.round("score", 9)), F.col("old")]
     return top(rows, limit, by=order).select("query_id", "id", "score", "rank")
 

@@ -179,25 +179,55 @@ def hybrid_search(spark, sf_dir):
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+SYMBOLS = f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z_][A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: t NOT IN ({sql_list(SEARCH_STOP)})))"
+WORDS = "list_transform(regexp_extract_all(coalesce({}, ''), '[A-Za-z0-9_]+'), lambda w: lower(w))"
+DEFINED = r"list_transform(regexp_extract_all(coalesce({}, ''), '(?m)^([A-Za-z_][A-Za-z0-9_]+)', 1), lambda w: lower(w))"
+PREFERENCE = """CASE WHEN len(symbols) = 0 THEN score ELSE 0.7::DOUBLE * score + (1::DOUBLE - 0.7::DOUBLE) *
+  least(1, 0.5::DOUBLE * (CASE WHEN list_contains(symbols, lower(source)) THEN 1::DOUBLE WHEN len(list_intersect(list_intersect(symbols, defined), words)) > 0 THEN 0.6::DOUBLE ELSE 0 END)
+    + 0.5::DOUBLE * (len(list_intersect(symbols, words))::DOUBLE / len(symbols))) END"""
+
+
+def defined(rows):
+    """Documents as files: their source is the name, and the words that begin their lines are what they define."""
+    return rows.withColumns({"name": F.col("source"), "definitions": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?m)^([A-Za-z_][A-Za-z0-9_]+)"), F.lit(1))})
+
+
+def several_sql(variants: str, limit: int, coarse: int = 50, name: str = "several", p: str = "") -> str:
+    """CTEs that end in ``{name}(query_id, id, score, rank)``: every variant's hybrid search, fused, and ranked by preference. variants: ``query_id, variant, text, v, w0, w1``."""
+    return f"""
+{p}trimmed AS (SELECT * REPLACE (trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text) FROM {variants}),
+{p}own AS (SELECT query_id AS q, text, v, w0, w1, row_number() OVER (PARTITION BY query_id ORDER BY variant) - 1 AS variant, count(*) OVER (PARTITION BY query_id) AS n
+  FROM (SELECT * FROM {p}trimmed WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY variant) = 1)),
+{p}keyed AS (SELECT q * 1000 + variant AS query_id, text, v, w0, w1 FROM {p}own),
+{bm25_sql('store', 'id', f'{p}keyed', 'query_id', coarse, p)}, {dense_sql('store', f'{p}keyed', coarse, f'{p}ham')}, {fuse_sql(f'{p}ham', f'{p}bm25', coarse, f'{p}fused')},
+{p}blended AS (SELECT f.query_id, f.id, 0.7::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - 0.7::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
+  FROM {p}fused f JOIN store s ON s.id = f.id JOIN {p}keyed a ON a.query_id = f.query_id),
+{p}paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {p}blended) WHERE rank <= {max(2 * limit, 10)}),
+{p}merged AS (SELECT query_id // 1000 AS query_id, id, sum(1::DOUBLE / (60 + rank)) AS score, min((query_id % 1000) * 1000 + rank) AS first FROM {p}paths GROUP BY ALL),
+{p}kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id) AS rank FROM {p}merged) WHERE rank <= {coarse}),
+{p}found AS (
+  SELECT k.query_id, k.id, {COS.format(a='s.v', b='o.v')} AS score, k.rank FROM {p}kept k JOIN store s ON s.id = k.id JOIN {p}own o ON o.q = k.query_id AND o.variant = 0 AND o.n > 1
+  UNION ALL SELECT q, id, score, rank FROM {p}paths JOIN {p}own ON q * 1000 = query_id AND n = 1 WHERE rank <= {limit}),
+{p}sym AS (SELECT q, list_distinct(flatten(list({SYMBOLS}))) AS symbols FROM {p}own GROUP BY q),
+{p}shown AS (SELECT f.*, symbols, s.source, {DEFINED.format('s.text')} AS defined, {WORDS.format('s.text')} AS words FROM {p}found f JOIN {p}sym ON q = query_id JOIN store s ON s.id = f.id),
+{p}mixed AS (SELECT query_id, id, rank AS old, len(symbols) AS n, {PREFERENCE} AS score FROM {p}shown),
+{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 0 THEN 0 ELSE -round(score, 9) END, old) AS rank FROM {p}mixed) WHERE rank <= {limit})"""
+
+
 @query(f"""
 WITH {STORE},
 variants AS (
-  SELECT query_id * 2 AS query_id, text, v, w0, w1 FROM asked UNION ALL
-  SELECT a.query_id * 2 + 1, substr(a.text, 1, (length(a.text) // 2)::BIGINT), n.v, n.w0, n.w1 FROM asked a CROSS JOIN n_vec JOIN vec n ON n.id = (a.query_id + 1) % nv),
-{bm25_sql('store', 'id', 'variants', 'query_id', 50)}, {dense_sql('store', 'variants')}, {fuse_sql('ham', 'bm25')},
-blended AS (SELECT f.query_id, f.id, 0.7::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - 0.7::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
-  FROM fused f JOIN store s ON s.id = f.id JOIN variants a ON a.query_id = f.query_id),
-paths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM blended QUALIFY rank <= 10),
-merged AS (SELECT query_id // 2 AS query_id, id, sum(1::DOUBLE / (60 + rank)) AS score, min((query_id % 2) * 1000 + rank) AS first FROM paths GROUP BY ALL),
-kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id) AS rank FROM merged QUALIFY rank <= 50),
-final AS (SELECT k.query_id, k.id, {COS.format(a='s.v', b='a.v')} AS score FROM kept k JOIN store s ON s.id = k.id JOIN asked a ON a.query_id = k.query_id)
-SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM final QUALIFY rank <= 5""")
+  SELECT query_id, 0 AS variant, text, v, w0, w1 FROM asked UNION ALL
+  SELECT a.query_id, 1, CASE WHEN a.query_id % 4 = 0 THEN ' ' || a.text ELSE substr(a.text, 1, (length(a.text) // 2)::BIGINT) END, n.v, n.w0, n.w1 FROM asked a CROSS JOIN n_vec JOIN vec n ON n.id = (a.query_id + 1) % nv),
+{several_sql('variants', 5)}
+SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, rank FROM several""")
 def multipath_search(spark, sf_dir):
+    """Every passage and its first half as two phrasings; for a quarter of the passages the second is the first again."""
     asked = text_queries(spark, sf_dir)
-    half = asked.select("query_id", (F.col("query_id") + 1).alias("after"), F.expr("substring(text, 1, int(length(text) / 2))").alias("text"))
-    half = numbered(spark, sf_dir, half, "after").select("query_id", "text", F.col("v").alias("q"))
-    variants = asked.withColumn("variant", F.lit(0)).unionByName(half.withColumn("variant", F.lit(1)))
-    found = retrieval.multipath_search(chunks(spark, sf_dir), variants)
+    half = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit(" "), "text")).otherwise(F.expr("substring(text, 1, int(length(text) / 2))"))
+    second = numbered(spark, sf_dir, asked.select("query_id", (F.col("query_id") + 1).alias("after"), half.alias("text")), "after").select("query_id", "text", F.col("v").alias("q"))
+    variants = asked.withColumn("variant", F.lit(0)).unionByName(second.withColumn("variant", F.lit(1)))
+    found = retrieval.multipath_search(defined(chunks(spark, sf_dir)), variants)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -213,22 +243,18 @@ def graph_expand(spark, sf_dir):
     return retrieval.expand_with_graph(seeds.select("query_id", "id", "score", "rank"), edges).select("id", F.round("score", 6).alias("score"), "expanded")
 
 
-SYMBOLS = f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z_][A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: t NOT IN ({sql_list(SEARCH_STOP)})))"
-
-
 @query(f"""
 WITH {bm25_sql('documents', 'doc_id', 'benchmark', 'item_id', 50)},
 sym AS (SELECT item_id, {SYMBOLS} AS symbols FROM benchmark),
-rows AS (SELECT b.query_id, b.id, b.score, b.rank, symbols, d.source, list_transform(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z0-9_]+'), lambda w: lower(w)) AS words
+rows AS (SELECT b.query_id, b.id, b.score, b.rank, symbols, d.source, {DEFINED.format('d.text')} AS defined, {WORDS.format('d.text')} AS words
   FROM bm25 b JOIN sym ON item_id = query_id JOIN documents d ON d.doc_id = b.id),
-mixed AS (SELECT query_id, id, rank AS old, len(symbols) AS n, CASE WHEN len(symbols) = 0 THEN score ELSE 0.7::DOUBLE * score + (1::DOUBLE - 0.7::DOUBLE) *
-  least(1, 0.5::DOUBLE * (CASE WHEN list_contains(symbols, lower(source)) THEN 1::DOUBLE ELSE 0 END) + 0.5::DOUBLE * (len(list_intersect(symbols, words))::DOUBLE / len(symbols))) END AS score FROM rows)
-SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 0 THEN 0 ELSE -round(score, 9) END, old) AS rank FROM mixed QUALIFY rank <= 5""")
+mixed AS (SELECT query_id, id, rank AS old, len(symbols) AS n, {PREFERENCE} AS score FROM rows)
+SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 0 THEN 0 ELSE -round(score, 9) END, old) AS rank FROM mixed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 0 THEN 0 ELSE -round(score, 9) END, old) <= 5""")
 def preference_rerank(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     found = bm25.bm25_search(texts(spark, sf_dir), items, "doc_id", "text", "item_id", "text")
     rows = found.join(items.select(F.col("item_id").alias("query_id"), query_symbols(F.col("text")).alias("symbols")), "query_id")
-    rows = rows.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("code")), "id").withColumn("definitions", F.array().cast("array<string>"))
+    rows = rows.join(defined(documents(spark, sf_dir)).select(F.col("doc_id").alias("id"), "name", "definitions", F.col("text").alias("code")), "id")
     ranked = retrieval.preference_rerank(rows)
     return ranked.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import evaluation, extract, paths, retrieval, safety, summaries
 from quillmesh.operators.bm25 import build_index
 from quillmesh.plans.corpus import PAGE_SEARCH, SQL_PATTERNS, _injected, _with_orders, page_index_search
-from quillmesh.plans.retrieval import COS, HYBRID, _metrics_sql, _results, bm25_sql, cos_sql, fuse_sql
+from quillmesh.plans.retrieval import COS, HYBRID, _metrics_sql, _results, bm25_sql, cos_sql, defined, fuse_sql, several_sql
 from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries
 from quillmesh.sources.index_store import pending
 from quillmesh.workspace import stored
@@ -155,23 +155,22 @@ def embedding_progress(spark, sf_dir):
     return summaries.file_progress(ranges, docs.count() // 2)
 
 
-def _blended(fused: str, name: str, limit: int) -> str:
+def _blended(fused: str, name: str, limit: int, weight: str = "0.7") -> str:
     return f"""
-{name}_all AS (SELECT f.query_id, f.id, 0.7::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - 0.7::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
+{name}_all AS (SELECT f.query_id, f.id, {weight}::DOUBLE * {COS.format(a='s.v', b='a.v')} + (1::DOUBLE - {weight}::DOUBLE) * (f.score / max(f.score) OVER (PARTITION BY f.query_id)) AS score
   FROM {fused} f JOIN store s ON s.id = f.id JOIN asked a ON a.query_id = f.query_id),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name}_all QUALIFY rank <= {limit})"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name}_all) WHERE rank <= {limit})"""
 
 
 _CONFIGURATIONS = {"full": "hybrid", "not_quantised": "exact", "vectors_only": "dense", "not_reranked": "plain", "several_paths": "several", "page_index": "pages_run"}
 
 
 @query(f"""
-WITH {HYBRID}, {cos_sql('store', 'asked', 50, 'cosl')}, {fuse_sql('cosl', 'bm25', 50, 'fusedx')}, {_blended('fusedx', 'exact', 10)},
-hams AS (SELECT query_id, id, 1::DOUBLE / (60 + rank) AS score FROM ham), {_blended('hams', 'dense', 10)},
-plain AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fused QUALIFY rank <= 10),
-{_blended('fused', 'twenty', 20)},
-several AS (SELECT t.query_id, t.id, row_number() OVER (PARTITION BY t.query_id ORDER BY round({COS.format(a='s.v', b='a.v')}, 9) DESC, t.id) AS rank
-  FROM (SELECT query_id, id FROM twenty) t JOIN store s ON s.id = t.id JOIN asked a ON a.query_id = t.query_id QUALIFY rank <= 10),
+WITH {HYBRID}, {cos_sql('store', 'asked', 1_000_000_000, 'cosl')}, {fuse_sql('cosl', 'bm25', 50, 'fusedx')}, {_blended('fusedx', 'exact', 10)},
+hams AS (SELECT query_id, id, 1::DOUBLE AS score FROM ham), {_blended('hams', 'dense', 10, '1.0')},
+plain AS (SELECT query_id, id, score, rank FROM fused WHERE rank <= 10),
+lone AS (SELECT query_id, 0 AS variant, text, v, w0, w1 FROM asked),
+{several_sql('lone', 10, p='m_')},
 {PAGE_SEARCH}, pages_run AS (SELECT pf.item_id AS query_id, d.doc_id AS id, row_number() OVER (PARTITION BY pf.item_id ORDER BY hits DESC, pf.path, d.doc_id) AS rank FROM pf JOIN documents d ON d.lang || '/' || d.source = pf.path),
 lab AS (SELECT d.doc_id AS id, v.label FROM documents d CROSS JOIN n_vec JOIN vec v ON v.id = d.doc_id % nv),
 rel AS (SELECT b.item_id AS query_id, lab.id FROM benchmark b CROSS JOIN n_vec JOIN vec v ON v.id = b.item_id % nv JOIN lab ON lab.label = v.label),
@@ -187,7 +186,7 @@ def ablation_configurations(spark, sf_dir):
     by_path = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "path", "id"))
     runs = {
         "full": search(), "not_quantised": search(quantised=False), "vectors_only": search(keywords=False), "not_reranked": search(rerank=False),
-        "several_paths": retrieval.multipath_search(store, asked.withColumn("variant", F.lit(0)), limit=10, index=index), "page_index": picked.withColumn("rank", by_path),
+        "several_paths": retrieval.multipath_search(defined(store), asked.withColumn("variant", F.lit(0)), limit=10, index=index), "page_index": picked.withColumn("rank", by_path),
     }
     every = stored(reduce(DataFrame.unionByName, (r.select(F.lit(c).alias("config"), "query_id", "id", "rank") for c, r in runs.items())), "runs")
     label = lambda rows, name: numbered(spark, sf_dir, rows, name, "label").select(name, "label")

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as V
+from quillmesh.operators import dense as D
 from quillmesh.operators import retrieval as R
 
 
@@ -65,9 +66,9 @@ def test_fusion(spark):
 def test_query_blocks_give_the_same_rows(spark, monkeypatch):
     v = spark.range(30).select("id", F.array(*[F.sin(F.col("id") * k).alias(str(k)) for k in range(1, 5)]).alias("v"))
     q = v.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    first = sorted(R.cosine_search(v, q, 5, 4).collect())
-    monkeypatch.setattr(R, "SENT_BYTES", 100)
-    assert sorted(R.cosine_search(v, q, 5, 4).collect()) == first
+    first = sorted(R.cosine_search(v, q, 5).collect())
+    monkeypatch.setattr(D, "SENT_BYTES", 100)
+    assert sorted(R.cosine_search(v, q, 5).collect()) == first
 
 
 def test_graph_expansion(spark):
@@ -100,3 +101,23 @@ def test_baseline(spark):
     chunks = spark.createDataFrame([(1, "README.md", 0), (2, "README.md", 1), (3, "package.json", 2), (5, "src/a.ts", 3)], "id long, file string, ord int")
     got = R.inject_baseline(results, spark.createDataFrame([("q",)], "query_id string"), chunks).collect()
     assert {(r.id, r.score) for r in got} == {(5, 0.9), (1, 0.0), (3, 0.0)}
+
+
+def test_ranks_among_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, np.round(rng.normal(size=6), 1).tolist()) for i in range(300)] + [(i, [0.0] * 6) for i in range(300, 304)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    monkeypatch.setattr(D, "VECTORS", 64)
+    wanted = q.select("query_id").crossJoin(v.where("id % 7 = 1 or id > 298").select("id"))
+    every = {(r.query_id, r.id): r.rank for r in D.cosine_search(v, q, 1000).collect()}
+    got = {(r.query_id, r.id): r["rank"] for r in D.cosine_ranks(v, q, wanted).collect()}
+    assert len(every) == 304 * 7 and len(got) == wanted.count() and all(every[k] == r for k, r in got.items())
+
+
+def test_bulk_cosine_compares_what_both_have(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0, 9.0]), (2, [0.0, 1.0]), (3, []), (4, None), (5, [0.0, 0.0])], "id long, v array<double>")
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, [])], "query_id long, q array<double>")
+    got = {(r.query_id, r.id): r.score for r in D.cosine_search(v, q, 9).collect()}
+    assert got == {(7, 1): 1.0, (7, 2): 0.0, (7, 3): 0.0, (7, 5): 0.0, (8, 1): 0.0, (8, 2): 0.0, (8, 3): 0.0, (8, 5): 0.0}
+    assert D.cosine_search(v.limit(0), q).count() == 0 and D.cosine_search(v, q.limit(0)).count() == 0
