@@ -1,4 +1,17 @@
-"""BM25 as joins: a stored index of postings, document lengths and document counts, asked by many queries at once."""
+"""BM25 as joins: a stored index of postings with their statistics, asked by many queries at once.
+
+An index is two tables, dealt out by a hash of the term: ``terms`` with the
+document counts, and ``blocks``, which hold for each term and range of documents
+the postings with their documents' lengths, the largest count and the smallest
+length among them. A search reads the buckets of the terms that are asked for,
+joins their blocks, and groups what is left; no statistic is counted again.
+
+Documents are dealt into ranges by a hash of their ids. What a query's terms can
+add up to in a range is bounded by their blocks' largest counts and smallest
+lengths, two numbers a block. A large index is searched in two steps: the most
+promising ranges of each query give the score that has to be reached, and of the
+other ranges only those are opened whose bound reaches it.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +21,48 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import token_rows
-from quillmesh.workspace import stored
+from quillmesh.workspace import new_path, stored
 
 K1, B, LIMIT = 1.5, 0.75, 50
+#: Documents in a range, and postings in a bucket, on average.
+RANGE, BUCKET = 1024, 1 << 21
+#: Ranges from which a search is made in two steps, and those of each query that are opened in the first.
+PRUNED, FIRST = 256, 4
+
+_BLOCKS = "term string, range int, n long, max_tf long, min_dl long, tfs long, docs array<struct<id:{id},tf:bigint,dl:bigint>>, bucket int"
 
 
 @dataclass
 class Bm25Index:
-    """``postings(id, term, tf)`` and ``documents`` of them, which all searches of an index share; the other tables follow."""
+    """The tables below ``path``, and what a search needs of all documents: their number, the mean of their lengths and the number of ranges and buckets."""
 
-    postings: DataFrame
+    spark: SparkSession
+    path: str
     documents: int
+    avgdl: float
+    ranges: int
+    buckets: int
+    id_type: str
 
     @property
     def terms(self) -> DataFrame:
-        """``term, df, total``."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        """``bucket, term, df, total``."""
+        return self.spark.read.schema("term string, df long, total long, bucket int").parquet(f"{self.path}/terms")
 
     @property
-    def lengths(self) -> DataFrame:
-        """``id, dl``: tokens of every document that has any."""
-        return self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    def blocks(self) -> DataFrame:
+        """``bucket, term, range, n, max_tf, min_dl, docs``; docs: ``id, tf, dl``."""
+        return self.spark.read.schema(_BLOCKS.format(id=self.id_type)).parquet(f"{self.path}/blocks")
+
+    @property
+    def postings(self) -> DataFrame:
+        """``id, term, tf, dl``."""
+        return self.blocks.select("term", F.inline("docs")).select("id", "term", "tf", "dl")
 
     @property
     def size(self) -> DataFrame:
         """``n, avgdl``, one row."""
-        mean = F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(self.documents, 1)))
-        return self.postings.agg(mean.alias("mean")).select(F.lit(self.documents).cast("long").alias("n"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)).alias("avgdl"))
+        return self.spark.range(1).select(F.lit(self.documents).cast("long").alias("n"), F.lit(self.avgdl).alias("avgdl"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,24 +70,54 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return token_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> Bm25Index:
-    """An index whose postings are stored once; every search and statistic reads those."""
-    return Bm25Index(stored(term_counts(docs, id_col, text_col), "postings"), docs.count())
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Bm25Index:
+    """An index below ``path``, or in the shared folder: texts are cut and counted once, and postings shuffled once."""
+    spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "bm25")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    documents = own.count()
+    ranges = max(1, -(-documents // RANGE))
+    # by id, so that neither the counts nor the lengths of documents need another exchange
+    counts = stored(term_counts(own.repartition("id"), "id", "text").withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "postings")
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
+    buckets = max(1, -(-n // BUCKET))
+    ranged = counts.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
+    blocks = ranged.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("tf").alias("tfs"), F.collect_list(F.struct("id", "tf", "dl")).alias("docs"))
+    _written(blocks.select("*", _bucket(buckets)), f"{path}/blocks")
+    mean = total / documents if documents and total else 1.0
+    index = Bm25Index(spark, path, documents, float(mean), ranges, buckets, own.schema["id"].dataType.simpleString())
+    _written(index.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("tfs").alias("total")), f"{path}/terms")
+    # last: an index without this row isn't whole
+    row = (documents, index.avgdl, ranges, buckets, index.id_type)
+    spark.createDataFrame([row], "documents long, avgdl double, ranges int, buckets int, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+    return index
+
+
+def _written(rows: DataFrame, path: str) -> None:
+    """By buckets and sorted by term, so that a reader of a few terms opens a few files and row groups; a bucket of many rows is several files."""
+    # a bucket is written by several tasks, as a frequent term has a block in every range
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("term", *(["range"] if "range" in rows.columns else [])), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def save_index(index: Bm25Index, path: str, repo: str, sha: str) -> None:
     """Write an index for a snapshot of a repository; later searches of the snapshot read it."""
-    index.postings.withColumn("documents", F.lit(index.documents).cast("long")).write.mode("overwrite").parquet(f"{path}/repo={repo}/sha={sha}")
+    at = f"{path}/repo={repo}/sha={sha}"
+    for name, rows in (("blocks", index.blocks), ("terms", index.terms)):
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/{name}")
+    index.spark.read.parquet(f"{index.path}/size").write.mode("overwrite").parquet(f"{at}/size")
 
 
 def load_index(spark: SparkSession, path: str, repo: str, sha: str) -> Bm25Index | None:
-    """The index of a snapshot; None if there is none, so another snapshot is never answered from it."""
+    """The index of a snapshot; None if there is none, or only a part of one, so another snapshot is never answered from it."""
     at = f"{path}/repo={repo}/sha={sha}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/size/_SUCCESS")
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
-    rows = spark.read.parquet(at)
-    return Bm25Index(rows.drop("documents"), rows.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0])
+    return Bm25Index(spark, at, *spark.read.parquet(f"{at}/size").select("documents", "avgdl", "ranges", "buckets", "id_type").first())
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,15 +126,42 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def weighted_terms(index: Bm25Index, terms: DataFrame) -> DataFrame:
+    """``query_id, term, bucket, w`` of the terms ``query_id, term, qtf`` that the index has; other buckets aren't read."""
+    asked = stored(terms.select("*", _bucket(index.buckets)), "asked")
+    # at most as many numbers as the index has buckets
+    wanted = [r[0] for r in asked.select("bucket").distinct().collect()]
+    known = index.terms.where(F.col("bucket").isin(wanted)).select(F.col("term").alias("t"), "df")
+    n = F.lit(float(index.documents))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    out = asked.join(known, F.col("term") == F.col("t")).select("query_id", "term", "bucket", (idf * (1 + F.log(1 + F.col("qtf")))).alias("w"))
+    return stored(out, "weights")
+
+
+def _part(tf, dl, avgdl: float, k1: float, b: float):
+    """What a term of weight 1 adds to the score of a document: more for a larger count, less for a greater length."""
+    return tf * (k1 + 1) / F.greatest(tf + k1 * (1 - b + b * dl / avgdl), F.lit(1e-9))
+
+
+def _asked_blocks(index: Bm25Index, weights: DataFrame, *columns: str) -> DataFrame:
+    """The blocks of the asked terms, from their buckets alone, once for each query that asks."""
+    wanted = [r[0] for r in weights.select("bucket").distinct().collect()]
+    return index.blocks.where(F.col("bucket").isin(wanted)).select("term", "range", *columns).join(weights.drop("bucket"), "term")
+
+
+def _scored(blocks: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
+    rows = blocks.select("query_id", "w", F.inline("docs"))
+    return rows.groupBy("query_id", "id").agg(F.sum(F.col("w") * _part(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("score"))
+
+
+def _clamped(k1: float, b: float) -> tuple[float, float]:
+    return max(0.1, k1), min(1.0, max(0.0, b))
+
+
 def scores(index: Bm25Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, id, score`` of every document that shares a term with a query."""
-    k1, b = max(0.1, k1), min(1.0, max(0.0, b))
-    weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("query_id", "term", (idf * (1 + F.log(1 + F.col("qtf")))).alias("w"), "avgdl")
-    hit = index.postings.join(weighted, "term").join(index.lengths, "id")
-    room = F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
-    return hit.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / room).alias("score"))
+    k1, b = _clamped(k1, b)
+    return _scored(_asked_blocks(index, weighted_terms(index, terms), "docs"), index.avgdl, k1, b)
 
 
 def top(ranked: DataFrame, limit: int = LIMIT, *, key=("query_id",), by=None) -> DataFrame:
@@ -85,7 +170,29 @@ def top(ranked: DataFrame, limit: int = LIMIT, *, key=("query_id",), by=None) ->
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= max(1, limit))
 
 
+def bounds(index: Bm25Index, weights: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``query_id, range, bound``: what a document of the range can score at most; reads two numbers of a block."""
+    blocks = _asked_blocks(index, weights, "max_tf", "min_dl")
+    return blocks.groupBy("query_id", "range").agg(F.sum(F.col("w") * _part(F.col("max_tf"), F.col("min_dl"), index.avgdl, k1, b)).alias("bound"))
+
+
+def best(index: Bm25Index, terms: DataFrame, limit: int = LIMIT, k1: float = K1, b: float = B, pruned: bool | None = None, first: int = FIRST) -> DataFrame:
+    """``query_id, id, score, rank``: the ``limit`` best of ``scores``. With ``pruned``, or in an index of many ranges, ranges that can't reach them aren't opened; the rows are the same."""
+    k1, b = _clamped(k1, b)
+    weights = weighted_terms(index, terms)
+    if not (index.ranges >= PRUNED if pruned is None else pruned):
+        return top(_scored(_asked_blocks(index, weights, "docs"), index.avgdl, k1, b).where("score > 0"), limit)
+    reach = bounds(index, weights, k1, b)
+    placed = stored(reach.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))), "bounds")
+    opened = lambda ranges: _scored(_asked_blocks(index, weights, "docs").join(ranges.select("query_id", "range"), ["query_id", "range"]), index.avgdl, k1, b).where("score > 0")
+    early = stored(top(opened(placed.where(F.col("n") <= first)), limit), "first-ranges")
+    least = early.where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
+    # equal scores are ordered by id after rounding, so what comes close is opened too
+    late = placed.where(F.col("n") > first).join(least, "query_id", "left").where(F.col("bound") > F.coalesce(F.col("least"), F.lit(0.0)) - 1e-8)
+    return top(early.drop("rank").unionByName(opened(late)), limit)
+
+
 def bm25_search(docs: DataFrame | Bm25Index, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, limit: int = LIMIT) -> DataFrame:
     """``query_id, id, score, rank``: the best documents of every query; ``docs`` can be an index that was built before."""
     index = docs if isinstance(docs, Bm25Index) else build_index(docs, doc_id, doc_text)
-    return top(scores(index, query_terms(queries, query_id, query_text)).where("score > 0"), limit)
+    return best(index, query_terms(queries, query_id, query_text), limit)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.operators.incremental import operations
 from quillmesh.operators.metrics import totals
+from quillmesh.sources.commits import commit, log
 
 
 def running_totals(events: DataFrame) -> DataFrame:
@@ -22,20 +23,17 @@ def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "type", width
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), kind).agg(F.count("*").alias("n")).select("w.start", "w.end", kind, "n")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions below a folder."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
-    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+def committed(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the batches whose ``base`` or ``changes`` are whole: those in the log."""
+    return sorted(int(name.rpartition("=")[2]) for name in log(spark, path) if name.startswith(f"{kind}="))
 
 
 def current(spark: SparkSession, path: str, upto: int | None = None, path_col: str = "path") -> DataFrame:
     """The index at ``path`` after batch ``upto``, or after the last one: the newest whole table and the changes since."""
     within = lambda versions: [v for v in versions if upto is None or v <= upto]
-    base = within(_versions(spark, f"{path}/base"))[-1]
+    base = within(committed(spark, path, "base"))[-1]
     index = spark.read.parquet(f"{path}/base/v={base}")
-    since = [v for v in within(_versions(spark, f"{path}/touched")) if v > base]
+    since = [v for v in within(committed(spark, path, "changes")) if v > base]
     if not since:
         return index
     read = lambda name: reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/{name}/v={v}").withColumn("__v", F.lit(v)) for v in since))
@@ -43,24 +41,33 @@ def current(spark: SparkSession, path: str, upto: int | None = None, path_col: s
     return index.join(last.select(path_col), path_col, "left_anti").unionByName(read("rows").join(last, [path_col, "__v"]).select(index.columns))
 
 
-def follow_changes(changes: DataFrame, base: DataFrame, read_fresh, path: str, checkpoint: str, merge_every: int = 16) -> StreamingQuery:
-    """Keep the index at ``path`` up to date with a stream of changes; ``current`` reads it.
+def apply_batch(batch: DataFrame, number: int, base: DataFrame, read_fresh, path: str, merge_every: int = 16) -> None:
+    """What ``follow_changes`` does with a batch. A batch that is in the log is done; what isn't in it is written again."""
+    spark = batch.sparkSession
 
-    A batch writes the paths that it touches and the rows of those that it adds,
-    which ``read_fresh(spark, ops)`` gives; after every ``merge_every`` batches
-    the whole table is written once. A batch that runs again writes the same
-    again. What is older than the newest whole table can be deleted.
-    """
+    def write(kind: str, v: int, **tables: DataFrame) -> None:
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/v={v}")
+        commit(spark, path, f"{kind}={v}", {"tables": sorted(tables)})
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if not _versions(spark, f"{path}/base"):
-            base.write.mode("overwrite").parquet(f"{path}/base/v=-1")
+    if not committed(spark, path, "base"):
+        write("base", -1, base=base)
+    if number not in committed(spark, path, "changes"):
         ops = operations(batch)
-        ops.select("path").distinct().write.mode("overwrite").parquet(f"{path}/touched/v={number}")
         added = ops.where("op = 'add'").select("path").distinct()
-        read_fresh(spark, ops).join(added, "path", "left_semi").write.mode("overwrite").parquet(f"{path}/rows/v={number}")
-        if number % merge_every == merge_every - 1:
-            current(spark, path, number).write.mode("overwrite").parquet(f"{path}/base/v={number}")
+        write("changes", number, touched=ops.select("path").distinct(), rows=read_fresh(spark, ops).join(added, "path", "left_semi"))
+    if number % merge_every == merge_every - 1 and number not in committed(spark, path, "base"):
+        write("base", number, base=current(spark, path, number))
+
 
+def follow_changes(changes: DataFrame, base: DataFrame, read_fresh, path: str, checkpoint: str, merge_every: int = 16) -> StreamingQuery:
+    """Keep the index at ``path`` up to date with a stream of changes; ``current`` reads it.
+
+    A batch writes the paths that it touches and the rows of those that it adds,
+    which ``read_fresh(spark, ops)`` gives, and then its line in a log; readers
+    see what the log names, so a batch that died halfway is not there until it
+    has run again. After every ``merge_every`` batches the whole table is
+    written once. What is older than the newest whole table can be deleted.
+    """
+    apply = lambda batch, number: apply_batch(batch, number, base, read_fresh, path, merge_every)
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -33,6 +33,56 @@ def test_bm25_prefers_the_rarer_term(spark):
     assert [r.id for r in got] == [1, 2, 3]
 
 
+def test_a_stored_index_answers_for_its_snapshot_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 3}" + " beta" * (i % 2)) for i in range(60)] + [(99, None)], "id long, text string")
+    index, path = bm25.build_index(docs, "id", "text"), str(tmp_path / "bm25")
+    asked = spark.createDataFrame([(1, "beta w3"), (2, "nothing"), (3, "w5 w5 w1")], "query_id long, text string")
+    terms = bm25.query_terms(asked, "query_id", "text")
+    rows = lambda i: sorted((r.query_id, r.id, r["rank"], round(r.score, 9)) for r in bm25.best(i, terms, 5).collect())
+    bm25.save_index(index, path, "r", "s1")
+    assert rows(bm25.load_index(spark, path, "r", "s1")) == rows(index) and bm25.load_index(spark, path, "r", "s2") is None
+    (tmp_path / "bm25/repo=r/sha=s3/blocks").mkdir(parents=True)
+    assert bm25.load_index(spark, path, "r", "s3") is None  # a build that died
+    lengths = {r.id: r.dl for r in index.postings.select("id", "dl").distinct().collect()}
+    assert len(lengths) == 60 and index.documents == 61 and abs(index.avgdl - sum(lengths.values()) / 61) < 1e-12
+    empty = bm25.build_index(docs.limit(0), "id", "text")
+    assert bm25.best(empty, terms).count() == 0 and empty.avgdl == 1.0
+
+
+def test_a_pruned_search_gives_the_same_rows(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    monkeypatch.setattr(bm25, "RANGE", 8)
+    monkeypatch.setattr(bm25, "BUCKET", 200)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(150)]
+    rows = [(i, " ".join(r.choices(common, k=r.randrange(1, 30)) + r.choices(rare, k=r.randrange(3)))) for i in range(400)] + [(i, "c0 c1 r7") for i in range(400, 430)]
+    index = bm25.build_index(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert index.ranges > 40 and index.buckets > 3
+    asked = spark.createDataFrame([(i, " ".join(r.sample(common, 2) + r.sample(rare, 3))) for i in range(8)] + [(8, "c0 c1 r7"), (9, "nowhere")], "query_id long, text string")
+    terms = bm25.query_terms(asked, "query_id", "text")
+    for limit in (3, 25, 1000):
+        got = [sorted((x.query_id, x.id, x["rank"], round(x.score, 9)) for x in bm25.best(index, terms, limit, pruned=p, first=2).collect()) for p in (False, True)]
+        assert got[0] == got[1] and got[0]
+    weights = bm25.weighted_terms(index, terms)
+    best = {(x.query_id, x.range): x.m for x in bm25.scores(index, terms).withColumn("range", F.pmod(F.xxhash64("id"), F.lit(index.ranges)).cast("int")).groupBy("query_id", "range").agg(F.max("score").alias("m")).collect()}
+    bound = {(x.query_id, x.range): x.bound for x in bm25.bounds(index, weights).collect()}
+    assert set(best) == set(bound) and all(bound[k] >= best[k] - 1e-9 for k in best)
+
+
+def test_a_search_reads_the_buckets_of_its_terms_before_anything_is_grouped(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(bm25, "BUCKET", 50)
+    index = bm25.build_index(spark.createDataFrame([(i, f"t{i} u{i % 5}") for i in range(300)], "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(1, "t17")], "query_id long, text string")
+    plan = bm25.scores(index, bm25.query_terms(asked, "query_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[[^\]]*docs[^\n]*", plan)
+    assert index.buckets > 5 and len(scans) == 1 and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", scans[0])
+    # one aggregation, of what the join with the asked terms has left; no statistic is counted again
+    assert plan.count("HashAggregate(keys=[query_id") == 2 and "keys=[term" not in plan and "keys=[id#" not in plan
+
+
 @pytest.mark.parametrize("q, follow", [("is it the same?", True), ("explain database connection pooling", False)])
 def test_follow_up(spark, q, follow):
     assert col(spark, q, chat.is_follow_up) == follow
