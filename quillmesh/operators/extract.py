@@ -1,20 +1,19 @@
 """Imports, definitions and symbols of source files, and how imports resolve to files.
 
-Languages with a plain surface are read by built-in patterns; Python goes
-through its own parser, in Arrow batches, and gives chunks, graph and symbols
-in one pass.
+Python goes through its own parser and the other languages through their tokens
+(``operators.lexer``), in Arrow batches. ``graph_columns`` is a rough reading by
+patterns in built-in columns alone, which also sees what stands in comments.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators import lexer
 from quillmesh.operators.paths import language
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -142,69 +141,10 @@ def stripped_quotes(text: Column, angles: bool = False) -> Column:
     return F.regexp_replace(text, r"""^['"`<]|['"`>]$""" if angles else r"""^['"`]|['"`]$""", "")
 
 
-#: Definitions of languages with braces: the node type and a pattern from the start of a line to the name.
-_START = {
-    "javascript": (
-        ("function_declaration", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*([A-Za-z_$][\w$]*)"), ("class_declaration", r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
-        ("interface_declaration", r"(?:export\s+)?(?:declare\s+)?interface\s+([A-Za-z_$][\w$]*)"), ("enum_declaration", r"(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)"),
-        ("arrow_function", r"(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^\n]*|[A-Za-z_$][\w$]*\s*)=>\s*(?=\{)"),
-    ),
-    "go": (("method_declaration", r"func\s*\([^)]*\)\s*(\w+)"), ("function_declaration", r"func\s+(\w+)"), ("type_declaration", r"type\s+(\w+)\s+(?:struct|interface)\b")),
-    "rust": (
-        ("function_item", r"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("struct_item", r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum_item", r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"),
-        ("impl_item", r"(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("trait_item", r"(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"),
-    ),
-    "java": (
-        ("class_declaration", r"(?:(?:public|protected|private|abstract|final|static)\s+)*(?:class|record)\s+(\w+)"), ("interface_declaration", r"(?:(?:public|protected|private|abstract|static)\s+)*interface\s+(\w+)"),
-        ("enum_declaration", r"(?:(?:public|protected|private|static)\s+)*enum\s+(\w+)"),
-    ),
-    "c": (
-        ("class_specifier", r"(?:template\s*<[^>\n]*>\s*)?class\s+(\w+)(?=[^;(]*\{)"), ("struct_specifier", r"(?:typedef\s+)?struct\s+(\w+)(?=[^;(]*\{)"),
-        ("function_definition", r"(?!(?:if|for|while|switch|return|else|do|typedef|struct|class|enum|union|namespace)\b)[A-Za-z_][\w:<>,\s*&]*?[\s*&](~?[\w:]+)\s*\([^;{}]*\)\s*(?:const\s*)?(?=\{)"),
-    ),
-}
-_FAMILY = {"javascript": "javascript", "typescript": "javascript", "tsx": "javascript", "go": "go", "rust": "rust", "java": "java", "c": "c", "cpp": "c"}
-_DEFINED = {f: re.compile("|".join(f"^(?:{p})" for _, p in starts), re.M) for f, starts in _START.items()}
-#: Strings, characters and comments, in which brackets don't count; a quote that isn't closed on its line is one character.
-_SKIPPED = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|[{};]', re.S)
-#: The same for Rust, where a quote also begins a lifetime.
-_SKIPPED_RUST = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|\'(?:\\[^\n]{1,8}?|[^\'\\\n])\'|[{};]', re.S)
-
-
-def brace_symbols(code: str, language: str) -> list[tuple[str, str, int, int]]:
-    """Outermost definitions of a text as name, node type, first and last line: from a line's start to the bracket that closes it.
-
-    For languages with braces, without a grammar: definitions start a line, and
-    brackets in strings and comments don't count. A definition that ends with a
-    semicolon before any bracket is over there; one that isn't closed is none.
-    """
-    family = _FAMILY.get(language)
-    if family is None:
-        return []
-    skipped, out, at = _SKIPPED_RUST if family == "rust" else _SKIPPED, [], 0
-    # what lies in a comment or a string doesn't start a definition
-    hidden = [(m.start(), m.end()) for m in skipped.finditer(code) if m.end() - m.start() > 1]
-    starts = [a for a, _ in hidden]
-    inside = lambda i: (k := bisect.bisect_right(starts, i)) > 0 and i < hidden[k - 1][1]
-    for m in _DEFINED[family].finditer(code):
-        if m.start() < at or inside(m.start()):
-            continue
-        depth = 0
-        for token in skipped.finditer(code, m.end()):
-            t = token[0]
-            depth += (t == "{") - (t == "}")
-            if (t == ";" and depth == 0) or (t == "}" and depth <= 0):
-                at = token.end()
-                which = next(i for i, name in enumerate(m.groups()) if name is not None)
-                out.append((m[which + 1], _START[family][which][0], code.count("\n", 0, m.start()) + 1, code.count("\n", 0, at) + 1))
-                break
-    return out
-
-
 def outer_symbols(text: str, language: str) -> list[tuple[str, str, int, int]]:
-    """Outermost definitions of a text as name, node type, first and last line. Python goes through its parser."""
+    """Outermost definitions of a text as name, node type, first and last line. Python goes through its parser, other languages through their tokens."""
     if language != "python":
-        return brace_symbols(text, language)
+        return [d[:4] for d in lexer.definitions(text, language) if d.parent < 0]
     out, done = [], 0
     for name, kind, first, last in sorted(python_parts(text)[2], key=lambda s: (s[2], -s[3])):
         if first > done:
@@ -213,6 +153,46 @@ def outer_symbols(text: str, language: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def _nested(symbols: list[tuple[str, str, int, int]]) -> list[tuple]:
+    """Python's symbols by their lines, each with the number of the one that it is in."""
+    out, open_ = [], []
+    for name, kind, first, last in sorted(symbols, key=lambda s: (s[2], -s[3])):
+        while open_ and open_[-1][1] < last:
+            open_.pop()
+        out.append((name, {"class": "class_definition", "method": "method_definition"}.get(kind, "function_definition"), first, last, open_[-1][0] if open_ else -1))
+        open_.append((len(out) - 1, last))
+    return out
+
+
+def code_parts(text: str, language: str) -> tuple[list[str], list[str], list[tuple]]:
+    """Imports, names of definitions, and all definitions as name, node type, first and last line and number of the one around."""
+    if language == "python":
+        found, names, symbols = python_parts(text)
+        return found, names, _nested(symbols)
+    return lexer.imports(text, language), lexer.defined_names(text, language), lexer.definitions(text, language)
+
+
+_DEFINITION = pa.struct([("name", pa.string()), ("node_type", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("parent", pa.int32())])
+
+
+def code_graph(files: DataFrame) -> DataFrame:
+    """``repo, path, language, imports, definitions, symbols`` of every file in a language that is read.
+
+    files: ``repo, path, content``. A symbol's ``parent`` is the place, from 0,
+    of the one that it is in, or -1: methods are in their classes, in every language.
+    """
+    names = ["repo", "path", "language", "imports", "definitions", "symbols"]
+
+    def run(batches):
+        for batch in batches:
+            parts = [code_parts(t or "", lang) for t, lang in zip(batch.column("content").to_pylist(), batch.column("language").to_pylist())]
+            symbols = pa.array([[dict(zip(("name", "node_type", "first_line", "last_line", "parent"), d)) for d in p[2]] for p in parts], pa.list_(_DEFINITION))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names[:3]), *(pa.array([p[i] for p in parts], pa.list_(pa.string())) for i in (0, 1)), symbols], names=names)
+
+    schema = "repo string, path string, language string, imports array<string>, definitions array<string>, symbols array<struct<name:string,node_type:string,first_line:int,last_line:int,parent:int>>"
+    return files.select("repo", "path", language(F.col("path")).alias("language"), "content").where("language is not null").mapInArrow(run, schema)
+
+
 def block_chunks(files: DataFrame) -> DataFrame:
     """``repo, id, path, language, node_type, name, code, start_line, end_line``: a chunk for each outermost definition of a file.
 

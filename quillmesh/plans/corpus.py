@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions.words import SUMMARY_STOP, sql_list
-from quillmesh.operators import incremental, metrics, paths, safety, summaries
+from quillmesh.operators import extract, incremental, metrics, paths, safety, summaries
 from quillmesh.plans.retrieval import EVIDENCE, _results, bm25_sql
 from quillmesh.plans.tables import documents, table
 
@@ -291,3 +291,19 @@ def annotated_queries(spark, sf_dir):
 
     rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("query"), F.col("lang").alias("language"), F.col("quality").alias("relevance"))
     return annotated(rows, "en", 3).select(F.col("query").alias("source"), "positives", "judged")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(source, '-') AS source, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS k FROM documents)
+SELECT doc_id, './' || source AS import, n.name, n.kind AS node_type, n.a + k AS first_line, n.b + k AS last_line, n.parent
+FROM (SELECT *, unnest([
+  {'name': 'C' || doc_id::VARCHAR, 'kind': 'class_declaration', 'a': 3, 'b': 5, 'parent': -1}, {'name': 'm', 'kind': 'method_definition', 'a': 4, 'b': 4, 'parent': 0},
+  {'name': 'f', 'kind': 'arrow_function', 'a': 6, 'b': 7, 'parent': -1}]) AS n FROM t)""")
+def code_definitions(spark, sf_dir):
+    """Files that hold a document in a comment, between definitions; what the document says isn't code."""
+    source = F.coalesce("source", F.lit("-"))
+    comment = F.concat(F.lit("/* "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\*/", "  "), F.lit(" */\n"))
+    code = F.concat(F.lit("import a from './"), source, F.lit("';\n"), comment, F.lit("export class C"), F.col("doc_id").cast("string"), F.lit(" {\n  m(x: number): string { return `${x} }`; }\n}\nconst f = (a) => {\n};\n"))
+    rows = documents(spark, sf_dir).select(F.lit("repo").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), code.alias("content"))
+    found = extract.code_graph(rows).select(F.split("path", "[.]")[0].cast("long").alias("doc_id"), F.array_join("imports", ",").alias("import"), F.inline("symbols"))
+    return found.select("doc_id", "import", "name", "node_type", *(F.col(c).cast("long").alias(c) for c in ("first_line", "last_line", "parent")))

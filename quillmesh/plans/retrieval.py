@@ -10,6 +10,7 @@ from quillmesh.functions.vectors import binarized, l2_normalized
 from quillmesh.functions.words import SEARCH_STOP, sql_list
 from quillmesh.operators import ask as ask_operator
 from quillmesh.operators import bm25, evaluation, evidence, retrieval
+from quillmesh.operators.hamming_tables import table_search
 from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries, texts, vector_queries, vectors
 from quillmesh.workspace import stored
 
@@ -152,6 +153,14 @@ def hamming_topk(spark, sf_dir):
     return _dense(spark, sf_dir, True).select("query_id", F.col("id").alias("vec_id"), F.col("dist").cast("long").alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {DENSE}, {ASKED}, {dense_sql('vec', 'asked', 1)} SELECT query_id, id AS vec_id, dist, rank FROM ham")
+def hamming_tables(spark, sf_dir):
+    """The nearest code of every asked one, out of tables of segments."""
+    v, q = vectors(spark, sf_dir), vector_queries(spark, sf_dir)
+    found = table_search(v.select("id", binarized(F.col("v")).alias("bits")), q.select("query_id", binarized(F.col("q")).alias("qbits")), 1)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("dist").cast("long").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {DENSE}, {ASKED}, {cos_sql('vec', 'asked')} SELECT query_id, id AS vec_id, round(score, 6) AS score, rank FROM cosine")
 def cosine_topk(spark, sf_dir):
     return _dense(spark, sf_dir, False).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

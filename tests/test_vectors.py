@@ -121,3 +121,27 @@ def test_bulk_cosine_compares_what_both_have(spark):
     got = {(r.query_id, r.id): r.score for r in D.cosine_search(v, q, 9).collect()}
     assert got == {(7, 1): 1.0, (7, 2): 0.0, (7, 3): 0.0, (7, 5): 0.0, (8, 1): 0.0, (8, 2): 0.0, (8, 3): 0.0, (8, 5): 0.0}
     assert D.cosine_search(v.limit(0), q).count() == 0 and D.cosine_search(v, q.limit(0)).count() == 0
+
+
+def test_hamming_tables_find_the_rows_of_a_scan(spark):
+    import random
+
+    from quillmesh.operators import hamming_tables as T
+
+    r = random.Random(2)
+    centres = [r.getrandbits(64) for _ in range(12)]
+    values = [c ^ sum(1 << b for b in r.sample(range(64), r.randrange(7))) for c in centres for _ in range(20)] + [r.getrandbits(64) for _ in range(160)] + centres[:2] * 3
+    words = lambda v: [v & 0xFFFFFFFF, v >> 32]
+    codes = spark.createDataFrame([(i, words(v)) for i, v in enumerate(values)], "id long, bits array<long>")
+    asked = spark.createDataFrame([(i, words(v)) for i, v in enumerate([*centres[:6], *(r.getrandbits(64) for _ in range(4)), values[-1]])], "query_id long, qbits array<long>")
+    own = ["query_id", "id", "dist", "score", "rank"]
+    for limit, width, share in ((4, 16, 0.05), (15, 8, 0.5), (500, 16, 0.05), (3, 32, 1e-6)):
+        got = T.table_search(codes, asked, limit, 64, width, share)
+        assert sorted(got.select(own).collect()) == sorted(R.hamming_search(codes, asked, limit, 64).select(own).collect())
+        if limit == 4:
+            by = {x.query_id: (x.round, x.candidates) for x in got.collect()}
+            assert {q for q, (k, _) in by.items() if k >= 0} >= {0, 1, 2, 3, 4, 5} and all(n < 0.3 * len(values) for q, (k, n) in by.items() if q < 6)
+            assert all(by[q] == (-1, len(values)) for q in range(6, 10))
+    assert T.table_search(codes.limit(0), asked, 3).count() == 0 and T.table_search(codes, asked.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="segments"):
+        T.segment_table(codes, 64, 12)
