@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import summary_tokens
 from quillmesh.operators.paths import directory
+from quillmesh.workspace import stored
 
 #: Limits: files and characters of a directory, and characters of a summary.
 DIRECTORY_LIMITS = {"files": 120, "chars": 400_000, "summary": 20_000}
@@ -47,32 +48,88 @@ def directory_summaries(files: DataFrame, limits: dict = DIRECTORY_LIMITS) -> Da
 FILE_CHARS, FIRST_CHARS, DIR_CHARS, ROOT_CHARS, ROOT_DIRS, ROOT_PART = 600, 500, 400, 800, 15, 60
 
 
-def page_index(chunks: DataFrame) -> DataFrame:
-    """``repo, level, path, parent, summary, n_chunks, ord``: files, directories and the root of each repository.
-
-    chunks: ``repo, path, ord, node_type, code``. A file's summary is its longest
-    summary chunk or the beginning of its first chunk; a directory's lists its files.
-    """
+def _file_nodes(chunks: DataFrame) -> DataFrame:
     summary = F.col("node_type") == "file_summary"
     regular = ~F.col("node_type").isin("file_summary", "directory_summary")
     files = chunks.groupBy("repo", "path").agg(
         F.max_by(F.when(summary, F.col("code")), F.when(summary, F.length("code"))).alias("own"), F.min_by(F.when(regular, F.col("code")), F.when(regular, F.col("ord"))).alias("first"),
         F.count_if(regular).alias("n_chunks"), F.min(F.when(regular, F.col("ord"))).alias("ord"),
     ).where("n_chunks > 0")
-    files = files.select("repo", F.lit(2).alias("level"), "path", directory(F.col("path"), "").alias("parent"), F.coalesce(F.substring("own", 1, FILE_CHARS), F.substring("first", 1, FIRST_CHARS)).alias("summary"), "n_chunks", "ord")
+    return files.select("repo", F.lit(2).alias("level"), "path", directory(F.col("path"), "").alias("parent"), F.coalesce(F.substring("own", 1, FILE_CHARS), F.substring("first", 1, FIRST_CHARS)).alias("summary"), "n_chunks", "ord")
+
+
+def _summary_dir() -> Column:
+    """The directory that a chunk of a summary of a directory is about."""
+    return F.coalesce(F.nullif(directory(F.col("path"), ""), F.lit("")), F.replace(F.replace(F.col("path"), F.lit("/[directory_summary]"), F.lit("")), F.lit("[directory_summary]"), F.lit("")))
+
+
+def _dir_nodes(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Directories of file nodes, with their own summaries out of the chunks where there are any."""
     name = F.substring_index("path", "/", -1)
     # every name takes a character at least, so more than DIR_CHARS names are never shown: the rest leave before the list is made
     ranked = files.withColumn("name", name).withColumn("n", F.row_number().over(Window.partitionBy("repo", "parent").orderBy("ord", "name"))).where(F.col("n") <= DIR_CHARS)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), ", ")
-    lists = ranked.groupBy("repo", "parent").agg(F.substring(F.concat(F.lit("Contains: "), listed), 1, DIR_CHARS).alias("summary"))
-    dirs = files.groupBy("repo", "parent").agg(F.sum("n_chunks").alias("n_chunks"), F.min("ord").alias("ord")).join(lists, ["repo", "parent"])
-    dirs = dirs.select("repo", F.lit(1).alias("level"), F.col("parent").alias("path"), F.lit("").alias("parent"), "summary", "n_chunks", "ord")
+    lists = ranked.groupBy("repo", "parent").agg(F.substring(F.concat(F.lit("Contains: "), listed), 1, DIR_CHARS).alias("listed"))
+    own = chunks.where("node_type = 'directory_summary' and code <> ''").groupBy("repo", _summary_dir().alias("parent")).agg(F.substring(F.max_by("code", F.struct(F.length("code"), "code")), 1, FILE_CHARS).alias("own"))
+    dirs = files.groupBy("repo", "parent").agg(F.sum("n_chunks").alias("n_chunks"), F.min("ord").alias("ord")).join(lists, ["repo", "parent"]).join(own, ["repo", "parent"], "left")
+    return dirs.select("repo", F.lit(1).alias("level"), F.col("parent").alias("path"), F.lit("").alias("parent"), F.coalesce("own", "listed").alias("summary"), "n_chunks", "ord")
+
+
+def _root_nodes(dirs: DataFrame) -> DataFrame:
     shown = dirs.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("ord")))
     line = F.concat("path", F.lit(": "), F.substring("summary", 1, ROOT_PART))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= ROOT_DIRS, F.struct("n", line.alias("line"))))), lambda x: x["line"])
     root = shown.groupBy("repo").agg(F.substring(F.array_join(parts, "\n"), 1, ROOT_CHARS).alias("summary"), F.sum("n_chunks").alias("n_chunks"), F.min("ord").alias("ord"))
-    root = root.select("repo", F.lit(0).alias("level"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), "summary", "n_chunks", "ord")
-    return files.unionByName(dirs).unionByName(root)
+    return root.select("repo", F.lit(0).alias("level"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), "summary", "n_chunks", "ord")
+
+
+def page_index(chunks: DataFrame) -> DataFrame:
+    """``repo, level, path, parent, summary, n_chunks, ord``: files, directories and the root of each repository.
+
+    chunks: ``repo, path, ord, node_type, code``. A file's summary is its longest
+    summary chunk or the beginning of its first chunk; a directory's is its
+    longest summary chunk or the list of its files.
+    """
+    files = _file_nodes(chunks)
+    dirs = _dir_nodes(files, chunks)
+    return files.unionByName(dirs).unionByName(_root_nodes(dirs))
+
+
+def updated_page_index(nodes: DataFrame, chunks: DataFrame, touched: DataFrame) -> DataFrame:
+    """The page index after changes, from the one before: the same rows as ``page_index`` makes of all chunks.
+
+    nodes: the index before; chunks: those after; touched: ``repo, path`` of files
+    that were added, changed or removed, and of changed summaries of directories.
+    Only the touched files' chunks are read, their directories are made anew out
+    of the nodes of their files, and the root out of the directories.
+    """
+    files_t = stored(touched.select("repo", "path").distinct(), "touched")
+    dirs_t = stored(files_t.select("repo", F.when(F.endswith("path", F.lit("[directory_summary]")), _summary_dir()).otherwise(directory(F.col("path"), "")).alias("path")).distinct(), "touched-dirs")
+    at = ["repo", "path"]
+    files = stored(nodes.where("level = 2").join(files_t, at, "left_anti").unionByName(_file_nodes(chunks.join(files_t, at, "left_semi"))), "file-nodes")
+    inside = files.join(dirs_t.withColumnRenamed("path", "parent"), ["repo", "parent"], "left_semi").select(files.columns)
+    own = chunks.where("node_type = 'directory_summary'").withColumn("__dir", _summary_dir()).join(dirs_t.withColumnRenamed("path", "__dir"), ["repo", "__dir"], "left_semi").drop("__dir")
+    dirs = stored(nodes.where("level = 1").join(dirs_t, at, "left_anti").select(files.columns).unionByName(_dir_nodes(inside, own)), "dir-nodes")
+    return files.unionByName(dirs).unionByName(_root_nodes(dirs))
+
+
+def updated_directory_stats(stats: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``repo, dir, file_count, total_chars`` after changes: what the changed files were is taken back and what they are is added.
+
+    stats: as ``directory_stats`` makes them; before and after: the changed files,
+    ``repo, path, chars``, as they were and as they are. A directory without
+    files goes. Sums of differences commute, so changes can come in any order.
+    """
+    signed = lambda files, sign: files.select("repo", directory(F.col("path")).alias("dir"), F.lit(sign).cast("long").alias("file_count"), (sign * F.col("chars")).alias("total_chars"))
+    changed = signed(before, -1).unionByName(signed(after, 1)).groupBy("repo", "dir").agg(F.sum("file_count").alias("file_count"), F.sum("total_chars").alias("total_chars"))
+    return stats.unionByName(changed).groupBy("repo", "dir").agg(F.sum("file_count").alias("file_count"), F.sum("total_chars").alias("total_chars")).where("file_count > 0")
+
+
+def updated_directory_summaries(summaries: DataFrame, files: DataFrame, touched: DataFrame, limits: dict = DIRECTORY_LIMITS) -> DataFrame:
+    """``directory_summaries`` of ``files`` after changes: those of touched directories are made anew, the others stay."""
+    dirs = stored(touched.select("repo", directory(F.col("path")).alias("dir")).distinct(), "touched-dirs")
+    own = files.withColumn("__dir", directory(F.col("path"))).join(dirs.withColumnRenamed("dir", "__dir"), ["repo", "__dir"], "left_semi").drop("__dir")
+    return summaries.join(dirs, ["repo", "dir"], "left_anti").unionByName(directory_summaries(own, limits))
 
 
 def page_index_search(nodes: DataFrame, queries: DataFrame, dirs: int = 3, files: int = 2) -> DataFrame:

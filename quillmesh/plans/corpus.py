@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions.words import SUMMARY_STOP, sql_list
-from quillmesh.operators import extract, incremental, metrics, paths, safety, summaries
+from quillmesh.operators import extract, incremental, metrics, paths, safety, summaries, tree
 from quillmesh.plans.retrieval import EVIDENCE, _results, bm25_sql
 from quillmesh.plans.tables import documents, table
+from quillmesh.workspace import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -307,3 +308,84 @@ def code_definitions(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.lit("repo").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), code.alias("content"))
     found = extract.code_graph(rows).select(F.split("path", "[.]")[0].cast("long").alias("doc_id"), F.array_join("imports", ",").alias("import"), F.inline("symbols"))
     return found.select("doc_id", "import", "name", "node_type", *(F.col(c).cast("long").alias(c) for c in ("first_line", "last_line", "parent")))
+
+
+def _changed(spark, sf_dir):
+    """Files of which some were added and others changed: the documents whose numbers end in 7 or 3."""
+    return files(spark, sf_dir).where("doc_id % 10 in (3, 7)")
+
+
+@query("SELECT source AS dir, count(*) AS file_count, sum(length(coalesce(text, '')))::BIGINT AS total_chars FROM documents GROUP BY source")
+def dir_stats_updated(spark, sf_dir):
+    """Statistics of directories before a change, brought up to date by the changed files alone."""
+    all_, changed = files(spark, sf_dir), _changed(spark, sf_dir)
+    was = changed.where("doc_id % 10 = 3").withColumn("chars", F.col("chars") + 5)
+    before = all_.where("doc_id % 10 not in (3, 7)").select("repo", "path", "chars").unionByName(was.select("repo", "path", "chars"))
+    out = summaries.updated_directory_stats(summaries.directory_stats(before), was, changed)
+    return out.select("dir", "file_count", "total_chars")
+
+
+_SUMMARISED = """
+sd AS (SELECT lang AS path, 'Summary of ' || lang || ': ' || count(*) || ' documents from ' || min(source) AS own FROM documents WHERE lang IN ('de', 'en') GROUP BY lang)"""
+
+
+def _summarised(spark, sf_dir):
+    """``index_chunks`` with summaries of two of the directories; each has a shorter one as well."""
+    rows = documents(spark, sf_dir).where("lang in ('de', 'en')").groupBy("lang").agg(F.count("*").cast("string").alias("n"), F.min("source").alias("first"))
+    long_ = F.concat(F.lit("Summary of "), "lang", F.lit(": "), "n", F.lit(" documents from "), "first")
+    code = F.explode(F.array(F.lit("short"), long_)).alias("code")
+    own = rows.select(F.lit("repo").alias("repo"), F.concat("lang", F.lit("/[directory_summary]")).alias("path"), F.lit(-1).cast("long").alias("ord"), F.lit("directory_summary").alias("node_type"), code)
+    return index_chunks(spark, sf_dir).unionByName(own)
+
+
+_WITH_SUMMARIES = f"""{PAGES.split('rt AS')[0].rstrip().rstrip(',')}, {_SUMMARISED},
+ds AS (SELECT dr.* REPLACE (coalesce(substr(own, 1, 600), summary) AS summary) FROM dr LEFT JOIN sd ON sd.path = dr.path),
+rs AS (SELECT 0 AS level, '' AS path, NULL AS parent, substr(string_agg(path || ': ' || substr(summary, 1, 60), chr(10) ORDER BY ord) FILTER (n <= 15), 1, 800) AS summary, sum(n_chunks)::BIGINT AS n_chunks, min(ord) AS ord
+  FROM (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM ds))"""
+
+
+@query(f"WITH {_WITH_SUMMARIES} SELECT * FROM fl UNION ALL SELECT * FROM ds UNION ALL SELECT * FROM rs")
+def page_index_summaries(spark, sf_dir):
+    """The page index of chunks some of which are summaries of directories."""
+    return summaries.page_index(_summarised(spark, sf_dir)).drop("repo")
+
+
+@query(f"WITH {_WITH_SUMMARIES} SELECT * FROM fl UNION ALL SELECT * FROM ds UNION ALL SELECT * FROM rs")
+def page_index_updated(spark, sf_dir):
+    """The page index before a change of some files and of a summary, brought up to date."""
+    after = _summarised(spark, sf_dir)
+    source = F.substring_index("path", "/", -1)
+    changes = (F.col("node_type") == "directory_summary") & F.startswith("path", F.lit("de/")) | source.isin("src1", "src3")
+    before = after.where(~F.coalesce(changes, F.lit(False)) | (F.col("ord") % 2 == 0))
+    return summaries.updated_page_index(stored(summaries.page_index(before), "pages-before"), after, after.where(changes)).drop("repo")
+
+
+@query("""
+WITH RECURSIVE f AS (
+  SELECT 'src/' || coalesce(lang, '-') || CASE WHEN lang = 'en' THEN '/main/code/' ELSE '/' END || coalesce(source, '-') || CASE WHEN doc_id % 3 = 0 THEN '/a/b/' ELSE '/' END || doc_id || '.ts' AS path,
+    len(string_split(coalesce(text, ''), chr(10))) AS chunks,
+    CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['done', 'done'] WHEN 2 THEN ['done', 'embedding'] WHEN 3 THEN ['parsed', 'done', 'pending'] ELSE ['pending'] END AS states FROM documents),
+own AS (SELECT path, chunks, len(states) AS symbols, CASE WHEN len(states) = 0 THEN 'parsed' WHEN len(list_filter(states, lambda s: s <> 'done')) = 0 THEN 'done'
+  WHEN list_contains(states, 'embedding') THEN 'embedding' WHEN list_contains(states, 'parsed') THEN 'parsed' ELSE 'pending' END AS status, string_split(path, '/') AS parts FROM f),
+held AS (SELECT *, array_to_string(list_slice(parts, 1, i), '/') AS dir, i = len(parts) - 1 AS direct FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM own)),
+dirs AS (SELECT dir, count(*) AS n_files, sum(symbols)::BIGINT AS n_symbols, sum(chunks)::BIGINT AS n_chunks, count(*) FILTER (direct) AS direct,
+  CASE WHEN bool_and(status = 'done') THEN 'done' WHEN bool_or(status = 'embedding') THEN 'embedding' WHEN bool_or(status = 'parsed') THEN 'parsed' ELSE 'pending' END AS status,
+  CASE WHEN dir <> '' THEN CASE WHEN contains(dir, '/') THEN regexp_extract(dir, '^(.*)/', 1) ELSE '' END END AS up FROM held GROUP BY dir),
+only_child AS (SELECT up AS path, min(dir) AS next FROM dirs WHERE up IS NOT NULL AND up IN (SELECT dir FROM dirs WHERE direct = 0) GROUP BY up HAVING count(*) = 1),
+walk AS (SELECT dir AS head, dir AS path, up FROM dirs WHERE dir NOT IN (SELECT next FROM only_child) UNION ALL SELECT w.head, o.next, w.up FROM walk w JOIN only_child o ON o.path = w.path),
+shown AS (SELECT head, path, up FROM walk WHERE path NOT IN (SELECT path FROM only_child)),
+nodes AS (
+  SELECT s.path, CASE WHEN coalesce(s.up, '') = '' THEN s.path ELSE substr(s.path, length(s.up) + 2) END AS name, p.path AS parent, false AS is_file, n_files, n_symbols, n_chunks, status
+  FROM shown s LEFT JOIN shown p ON p.path = s.up JOIN dirs d ON d.dir = s.path
+  UNION ALL SELECT path, parts[-1], regexp_extract(path, '^(.*)/', 1), true, 1, symbols, chunks, status FROM own)
+SELECT path, name, parent, is_file, (SELECT count(*) FROM shown s WHERE starts_with(n.path, s.path || '/') OR (s.path = '' AND n.path <> '')) AS depth, n_files, n_symbols, n_chunks, status,
+  row_number() OVER (PARTITION BY parent ORDER BY is_file, name) AS place FROM nodes n""")
+def directory_tree(spark, sf_dir):
+    """Documents as files of a source tree, with symbols in several states."""
+    n = F.col("doc_id") % 5
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    states = F.when(n == 0, words()).when(n == 1, words("done", "done")).when(n == 2, words("done", "embedding")).when(n == 3, words("parsed", "done", "pending")).otherwise(words("pending"))
+    lang, source = F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-"))
+    path = F.concat(F.lit("src/"), lang, F.when(F.col("lang") == "en", "/main/code/").otherwise("/"), source, F.when(F.col("doc_id") % 3 == 0, "/a/b/").otherwise("/"), F.col("doc_id").cast("string"), F.lit(".ts"))
+    rows = documents(spark, sf_dir).select(F.lit("repo").alias("repo"), path.alias("path"), states.alias("states"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("chunks"))
+    return tree.directory_tree(rows).drop("repo")
