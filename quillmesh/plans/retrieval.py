@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions import sql
 from quillmesh.functions.models import HashEmbedder, StubClient, completion, embedding
 from quillmesh.functions.text import evidence_terms, query_symbols
 from quillmesh.functions.vectors import binarized, l2_normalized
@@ -18,11 +19,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return keep
@@ -100,6 +101,23 @@ def tokenize_terms(spark, sf_dir):
     return bm25.term_counts(texts(spark, sf_dir), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
 
 
+@query(f"SELECT id AS doc_id, term, count(*) AS tf FROM ({tokens_sql('documents', 'doc_id')}) GROUP BY ALL")
+def sql_terms(spark, sf_dir):
+    """The terms of documents by the functions that SQL has, in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, c.term, CAST(c.tf AS BIGINT) AS tf FROM (SELECT doc_id, code_tokens(text) AS tokens FROM {docs}), LATERAL term_counts(tokens) c", docs=documents(spark, sf_dir))
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, {bits_sql('embedding')} FROM embeddings), z AS (SELECT * FROM v ORDER BY vec_id LIMIT 1)
+SELECT v.vec_id, round({COS.format(a='v.v', b='z.v')}, 6) AS cosine, (bit_count(xor(v.w0, z.w0)) + bit_count(xor(v.w1, z.w1)))::BIGINT AS hamming FROM v, z""")
+def sql_vectors(spark, sf_dir):
+    """Every vector against the first one, in SQL."""
+    sql.register(spark)
+    first = vectors(spark, sf_dir).orderBy("id").limit(1)
+    return spark.sql("SELECT v.id AS vec_id, round(cosine(v.v, z.v), 6) AS cosine, CAST(hamming(sign_bits(v.v), sign_bits(z.v)) AS BIGINT) AS hamming FROM {v} v CROSS JOIN {z} z", v=vectors(spark, sf_dir), z=first)
+
+
 @query(f"""
 WITH t AS (SELECT id, term, count(*) AS tf FROM ({tokens_sql('documents', 'doc_id')}) GROUP BY ALL),
 s AS (SELECT (SELECT count(*) FROM documents) AS n, round((SELECT sum(tf) FROM t)::DOUBLE / (SELECT count(*) FROM documents), 6) AS avgdl)
