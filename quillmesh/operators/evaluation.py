@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,36 @@ def metrics(runs: DataFrame, qrels: DataFrame, queries: DataFrame, by: tuple[str
     return joined.select(*by, "query_id", zero(F.col("found") / F.col("n")).alias("recall"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg") / F.col("ideal")).alias("ndcg"))
 
 
+def measured(configurations: dict, queries: DataFrame, warmups: int = 2, samples: int = 3, each: int = 0) -> DataFrame:
+    """``config, query_id, sample, micros``: how long configurations take, for ``latency_summary``.
+
+    A configuration is a function from a DataFrame of queries to its results, all
+    columns of which are computed and thrown away. It first runs ``warmups`` times
+    over what is measured, so that plans are compiled and files are known, and
+    then ``samples`` times. All queries are one batch, of whose time each has an
+    equal share; with ``each``, that many queries, the first by id, run one by one.
+    """
+    spark, taken = queries.sparkSession, []
+    if each:
+        ids = [r[0] for r in queries.select("query_id").orderBy("query_id").limit(each).collect()]  # as many as asked for
+        batches = {(i,): queries.where(F.col("query_id") == F.lit(i)) for i in ids}
+    else:
+        batches = {None: queries}
+    for name, run in configurations.items():
+        for ids, batch in batches.items():
+            for n in range(-warmups, samples):
+                began = time.perf_counter()
+                run(batch).write.format("noop").mode("overwrite").save()
+                if n >= 0:
+                    taken.append((name, ids and ids[0], n, (time.perf_counter() - began) * 1e6))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = spark.createDataFrame(taken, f"config string, query_id {kind}, sample int, micros double")
+    if each:
+        return rows
+    n = max(1, queries.count())
+    return rows.drop("query_id").join(queries.select("query_id"), how="cross").select("config", "query_id", "sample", (F.col("micros") / n).alias("micros"))
+
+
 def latency_summary(samples: DataFrame, by: tuple[str, ...] = ("config",)) -> DataFrame:
     """The mean over queries of the median of their samples. samples: ``*by, query_id, micros``."""
     return samples.groupBy(*by, "query_id").agg(F.median("micros").alias("m")).groupBy(*by).agg(F.count("*").alias("queries"), F.avg("m").alias("micros"))

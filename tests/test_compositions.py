@@ -55,3 +55,19 @@ def test_order_without_rerank_is_that_of_the_fused_list(spark):
     got = retrieval.hybrid_search(chunks, asked, edges, 4, coarse=2, dims=2, rerank=False).orderBy("rank").collect()
     fused = retrieval.top(retrieval.fuse(retrieval.hamming_search(chunks.select("id", retrieval.binarized(F.col("v")).alias("bits")), asked.select("query_id", retrieval.binarized(F.col("q")).alias("qbits")), 2, 2), retrieval.bm25.bm25_search(chunks, asked, "id", "text", "query_id", "text", 2)), 2, by=retrieval.fused_order(2))
     assert [r.id for r in got][:2] == [r.id for r in fused.orderBy("rank").collect()] and got[-1].id == "n"
+
+
+def test_latencies_are_measured_after_warm_ups(spark):
+    from quillmesh.operators import evaluation
+
+    queries, seen = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, text string"), []
+
+    def run(name):
+        return lambda batch: seen.append((name, batch.count())) or batch.withColumn("n", F.length("text"))
+
+    got = evaluation.measured({"x": run("x"), "y": run("y")}, queries, warmups=1, samples=2)
+    rows = got.collect()
+    assert len(rows) == 2 * 3 * 2 and all(r.micros > 0 for r in rows) and seen == [("x", 3)] * 3 + [("y", 3)] * 3
+    assert {(r.config, r.queries) for r in evaluation.latency_summary(got).collect()} == {("x", 3), ("y", 3)}
+    one = evaluation.measured({"x": run("x")}, queries, warmups=0, samples=3, each=2).collect()
+    assert sorted((r.query_id, r["sample"]) for r in one) == [(i, n) for i in (1, 2) for n in range(3)]

@@ -26,3 +26,26 @@ def test_picks(spark):
     shown = F.array(*map(F.lit, "abcd"))
     rows = spark.createDataFrame([('take ["b", "z"]',), ('"c" and "d" [broken',), (None,), ("nothing",)], "r string")
     assert [r[0] for r in rows.select(messages.picked(F.col("r"), shown, 2)).collect()] == [["b"], ["c", "d"], ["a", "b"], ["a", "b"]]
+
+
+def test_settings_are_kept(spark):
+    rows = [{"role": "user", "content": "a", "ui": {"sourcesExpanded": True}, "safety": {"blocked": True, "reason": "why"}}, {"role": "user", "content": "b", "ui": {"sourcesExpanded": "yes"}, "safety": {"reason": ""}}]
+    got = messages.normalized(spark.createDataFrame([(1, json.dumps(rows[:1])), (2, json.dumps(rows[1:]))], "k int, p string"), "k", "p").orderBy("k").collect()
+    assert [(r.messages[0].sources_expanded, r.messages[0].blocked, r.messages[0].reason) if r.messages else None for r in got] == [(True, True, "why"), got[1].messages and (None, None, None) or None]
+
+
+def test_sessions_and_their_older_form(spark):
+    said = [{"role": "assistant", "content": "hi"}, {"role": "user", "content": "  what   is\nthis "}]
+    states = {
+        "old": json.dumps(said), "long": json.dumps([{"role": "user", "content": "x" * 50}]), "broken": "{", "none": None, "empty": "[]", "bare": json.dumps({"sessions": []}),
+        "new": json.dumps({"activeChatId": "b", "sessions": [{"chat_id": "a", "messages": said, "updatedAt": 5}, {"title": "no id"}, {"chat_id": "b", "title": "named", "messages": "nothing"}, {"chat_id": "c", "messages": [{"role": "robot", "content": "x"}]}]}),
+        "lost": json.dumps({"activeChatId": "zz", "sessions": [{"chat_id": "a", "title": "t"}]}),
+    }
+    got = {}
+    for r in messages.sessions(spark.createDataFrame(list(states.items()), "k string, p string"), "k", "p").orderBy("k", "place").collect():
+        got.setdefault(r.k, []).append((r.chat_id, r.title, r.updated_at, len(r.messages), r.active))
+    fresh = [("fresh", "Chat 1", None, 0, True)]
+    assert got["old"] == [("legacy", "what is this", None, 2, True)] and got["long"] == [("legacy", "x" * 40 + "...", None, 1, True)]
+    assert all(got[k] == fresh for k in ("broken", "none", "empty", "bare"))
+    assert got["new"] == [("a", "what is this", 5.0, 2, False), ("b", "named", None, 0, True), ("c", "Chat 3", None, 0, False)]
+    assert got["lost"] == [("a", "t", None, 0, True)]
