@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions.words import SUMMARY_STOP, sql_list
-from quillmesh.operators import extract, incremental, metrics, paths, safety, summaries, tree
+from quillmesh.operators import context, extract, incremental, metrics, paths, safety, summaries, tree
 from quillmesh.plans.retrieval import EVIDENCE, _results, bm25_sql
 from quillmesh.plans.tables import documents, table
 from quillmesh.workspace import stored
@@ -229,22 +229,100 @@ def redact_lines(spark, sf_dir):
 SELECT item_id, count(*) AS blocks, (sum(length(block)) + 2 * (count(*) - 1))::BIGINT AS raw_chars, (sum(length(block)) + 2 * (count(*) - 1)) <= 24000 AND ceil((sum(length(block)) + 2 * (count(*) - 1)) / 4) <= 6000 AS raw_fits
 FROM (SELECT b.query_id AS item_id, '### ' || source || ' (text_chunk, score: ' || printf('%.3f', b.score) || ')' || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' AS block FROM bm25 b JOIN documents ON doc_id = b.id) GROUP BY item_id""")
 def context_raw(spark, sf_dir):
-    from quillmesh.operators import context
-
     out = context.assemble(_results(spark, sf_dir).withColumn("node_type", F.lit("text_chunk")), context.LIMITS["mlc"])
     return out.select(F.col("query_id").alias("item_id"), "blocks", "raw_chars", F.col("stage").eqNullSafe("none").alias("raw_fits"))
 
 
-@query()
-def context_budget(spark, sf_dir):
-    from quillmesh.operators import context
+_LIM = context.LIMITS["mlc"]
 
-    out = context.assemble(_results(spark, sf_dir).withColumn("node_type", F.lit("text_chunk")), context.LIMITS["mlc"])
+
+def _summary_sql(*lines: str) -> str:
+    """Lines of text as an SQL expression: plain ones, and those that begin with = as expressions."""
+    return "array_to_string(flatten([" + ", ".join(line[1:] if line.startswith("=[") or line.startswith("=list") else f"[{line[1:]}]" if line.startswith("=") else "['" + line + "']" for line in lines) + "]), chr(10))"
+
+
+def _rendered_sql(level: str, name: str) -> str:
+    return f"""
+{name} AS (SELECT item_id, string_agg('### ' || file || ' (' || node || ', score: ' || printf('%.3f', score) || ')' || chr(10) || '```' || chr(10) || code || chr(10) || '```', chr(10) || chr(10) ORDER BY score DESC, ord) AS {name} FROM {level} GROUP BY item_id)"""
+
+
+_FILE_SQL = _summary_sql(
+    "[FILE_COMPACTION_SUMMARY]", "='file: ' || file", "", "known:", "='- chunk_count_in_context: ' || n", "='- total_chars_in_context: ' || total", "", "inferred:", "- file may contain broad or verbose content; summarized to stay in budget", "", "unknown:",
+    "- omitted file sections not shown in this compact view", "", "evidence:", f"='- retained_top_snippet_chars: ' || length(substr(code, 1, {_LIM['snippet']}))", "", "snippet:", f"=substr(code, 1, {_LIM['snippet']})", "", "confidence: medium",
+)
+_DIR_SQL = _summary_sql(
+    "[DIRECTORY_COMPACTION_SUMMARY]", "='directory: ' || dir", "", "known:", "='- file_count_in_context: ' || n", "='- total_chars_in_context: ' || total", f"='- overflow_reason: ' || CASE WHEN n > {_LIM['dir_files']} THEN 'too many files in context' ELSE 'too many chars in context' END", "", "inferred:",
+    "- directory likely contains broad related context; compacted for token budget", "", "unknown:", "- non-listed files or omitted sections may contain additional details", "", "evidence:", "- top_files_by_retrieval_score in current context", "", "top_files:",
+    "=list_transform(top, lambda x: '- ' || x.file || ' (' || printf('%.3f', x.best) || ')')", "", "confidence: medium",
+)
+_REPO_SQL = _summary_sql(
+    "[REPO_COMPACTION_SUMMARY]", "", "known:", "='- candidate_blocks: ' || n", "='- top_blocks_used: ' || len(top)", "", "inferred:", "- prompt budget still exceeded after file and directory compaction", "", "unknown:", "- many lower-ranked details are omitted", "", "evidence:", "- ranked retrieval scores", "", "top_paths:",
+    "=list_transform(top, lambda x: '- ' || x.file || ' (' || printf('%.3f', x.score) || ')')", "", "sample:", f"=array_to_string(list_transform(top[1:4], lambda x: x.file || ': ' || substr(x.code, 1, {_LIM['snippet'] // 2})), chr(10) || chr(10))", "", "confidence: low",
+)
+_FITS = f"length({{0}}) <= {_LIM['max_chars']} AND ceil(length({{0}}) / 4) <= {_LIM['max_tokens']}"
+
+
+@query(f"""
+{EVIDENCE},
+l0 AS (SELECT b.query_id AS item_id, source || '/' || lang || '.txt' AS file, source AS dir, b.score::DOUBLE AS score, b.rank AS ord, 'text_chunk' AS node, coalesce(text, '') AS code FROM bm25 b JOIN documents ON doc_id = b.id),
+sized AS (SELECT *, sum(length(code)) OVER w AS total, count(*) OVER w AS n, row_number() OVER (PARTITION BY item_id, file ORDER BY score DESC, ord) AS place FROM l0 WINDOW w AS (PARTITION BY item_id, file)),
+l1 AS (SELECT item_id, file, dir, score, ord, CASE WHEN total > {_LIM['file_chars']} THEN 'file_compaction_summary' ELSE node END AS node, CASE WHEN total > {_LIM['file_chars']} THEN {_FILE_SQL} ELSE code END AS code FROM sized WHERE total <= {_LIM['file_chars']} OR place = 1),
+by_file AS (SELECT item_id, dir, file, max(score) AS best, sum(length(code)) AS chars, min(ord) AS ord FROM l1 GROUP BY ALL),
+dirs AS (SELECT item_id, dir, count(*) AS n, sum(chars) AS total, list({{'file': file, 'best': best, 'ord': ord}} ORDER BY best DESC, ord)[1:8] AS top FROM by_file GROUP BY item_id, dir HAVING count(*) > {_LIM['dir_files']} OR sum(chars) > {_LIM['dir_chars']}),
+l2 AS (
+  SELECT l1.* FROM l1 WHERE NOT EXISTS (SELECT 1 FROM dirs d WHERE d.item_id = l1.item_id AND d.dir = l1.dir)
+  UNION ALL SELECT item_id, dir || '/[context_directory_summary]', dir, top[1].best, top[1].ord, 'directory_compaction_summary', {_DIR_SQL} FROM dirs),
+tops AS (SELECT item_id, count(*) AS n, list({{'file': file, 'code': code, 'score': score}} ORDER BY score DESC, ord)[1:12] AS top FROM l2 GROUP BY item_id),
+l3 AS (SELECT item_id, '[repo_compaction_summary]' AS file, list_sum(list_transform(top, lambda x: x.score)) / len(top) AS score, 0 AS ord, 'repo_compaction_summary' AS node, {_REPO_SQL} AS code FROM tops),
+{_rendered_sql('l0', 'c0')}, {_rendered_sql('l1', 'c1')}, {_rendered_sql('l2', 'c2')}, {_rendered_sql('l3', 'c3')},
+picked AS (SELECT item_id, c0, CASE WHEN {_FITS.format('c0')} THEN 'none' WHEN {_FITS.format('c1')} THEN 'file' WHEN {_FITS.format('c2')} THEN 'directory' WHEN {_FITS.format('c3')} THEN 'repo' ELSE 'truncated' END AS stage,
+  CASE WHEN {_FITS.format('c0')} THEN c0 WHEN {_FITS.format('c1')} THEN c1 WHEN {_FITS.format('c2')} THEN c2 WHEN {_FITS.format('c3')} THEN c3 ELSE substr(c3, 1, {_LIM['max_chars']}) || chr(10) || '...(truncated)' END AS context
+  FROM c0 JOIN c1 USING (item_id) JOIN c2 USING (item_id) JOIN c3 USING (item_id))
+SELECT item_id, stage, length(c0)::BIGINT AS raw_chars, ceil(length(c0) / 4)::BIGINT AS estimated_tokens, stage = 'truncated' AS truncated, length(context)::INTEGER AS chars, context FROM picked""")
+def context_budget(spark, sf_dir):
+    """Results of every passage within the limits of a local model; a source is a directory with a file for each language."""
+    found = _results(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang"), "id")
+    named = found.withColumns({"node_type": F.lit("text_chunk"), "file": F.concat("file", F.lit("/"), "lang", F.lit(".txt"))})
+    out = context.assemble(named, _LIM)
     return out.select(F.col("query_id").alias("item_id"), "stage", "raw_chars", "estimated_tokens", "truncated", F.length("context").alias("chars"), "context")
 
 
-@query()
+_BEGINS = r"^(export\s+|async\s+function|function\s+|class\s+|interface\s+|type\s+|const\s+\w+\s*=|def\s+|#\s|##\s)"
+_MOST = 2_048
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source || '/' || doc_id || '.txt', '') AS path, text FROM documents WHERE text IS NOT NULL AND length(text) <= 120000 AND source IS NOT NULL),
+-- paragraphs, and for each where it begins and ends
+par AS (SELECT doc_id, path, text, unnest(p) AS part, unnest(list_concat(list_transform(s, lambda x: length(x)), [0])) AS gap, generate_subscripts(p, 1) AS i
+  FROM (SELECT *, string_split_regex(text, '\n\n+') AS p, regexp_extract_all(text, '\n\n+') AS s FROM d)),
+spans AS (SELECT *, a + length(part) AS b FROM (SELECT *, coalesce(sum(length(part) + gap) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM par)),
+-- lines of long paragraphs, in pieces that begin where a definition or a heading does
+line AS (SELECT doc_id, i, a, unnest(l) AS line, generate_subscripts(l, 1) AS k, len(l) AS m FROM (SELECT *, string_split(part, chr(10)) AS l FROM spans WHERE b - a > {_MOST})),
+placed AS (SELECT *, a + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS la,
+  sum(CASE WHEN k > 1 AND regexp_matches(line || CASE WHEN k < m THEN chr(10) ELSE '' END, '{_BEGINS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY k) AS g FROM line),
+piece AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY min(la)) AS k, min(la) AS a, max(la + length(line)) AS b FROM placed GROUP BY doc_id, i, g HAVING max(la + length(line)) > min(la)),
+held AS (
+  SELECT doc_id, i, k, a AS start, a, b, 1 AS unit, b - a > {_MOST} AS cut FROM piece WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.i, p.k, CASE WHEN NOT h.cut AND p.b - h.start <= {_MOST} THEN h.start ELSE p.a END, p.a, p.b, CASE WHEN NOT h.cut AND p.b - h.start <= {_MOST} THEN h.unit ELSE h.unit + 1 END, p.b - p.a > {_MOST}
+  FROM held h JOIN piece p ON p.doc_id = h.doc_id AND p.i = h.i AND p.k = h.k + 1),
+unit AS (
+  SELECT doc_id, i, 0 AS n, a, b FROM spans WHERE b - a <= {_MOST}
+  UNION ALL SELECT doc_id, i, unit * 1000000 + nth, start + nth * {_MOST}, least(start + (nth + 1) * {_MOST}, b) FROM (
+    SELECT doc_id, i, unit, min(start) AS start, max(b) AS b, unnest(range(0, greatest(1, CASE WHEN bool_or(cut) THEN (max(b) - min(start) + {_MOST} - 1) // {_MOST} ELSE 1 END)::BIGINT)) AS nth FROM held GROUP BY doc_id, i, unit)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) AS k FROM unit),
+-- units in a row, up to the limit
+packed AS (
+  SELECT doc_id, k, a AS start, b, 1 AS chunk FROM numbered WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.k, CASE WHEN p.b > p.start AND (p.b - p.start) + (n.b - n.a) > {_MOST} THEN n.a ELSE p.start END, n.b, CASE WHEN p.b > p.start AND (p.b - p.start) + (n.b - n.a) > {_MOST} THEN p.chunk + 1 ELSE p.chunk END
+  FROM packed p JOIN numbered n ON n.doc_id = p.doc_id AND n.k = p.k + 1),
+cut AS (SELECT p.doc_id, chunk, min(start) AS a, max(b) AS b FROM packed p GROUP BY ALL),
+bare AS (SELECT path, d.doc_id, text, a, substr(text, a + 1, b - a) AS code, trim(substr(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM cut JOIN d ON d.doc_id = cut.doc_id),
+lined AS (SELECT *, a + length(code) - length(ltrim(code, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS first, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS n FROM bare WHERE bare <> ''),
+ends AS (SELECT *, 1 + length(substr(text, 1, first)) - length(replace(substr(text, 1, first), chr(10), '')) AS start_line FROM lined)
+SELECT path || '::chunk_' || n AS id, path, 'text' AS language, 'text_chunk' AS node_type, 'chunk_' || n AS name, bare AS code, start_line::INTEGER AS start_line, (start_line + length(bare) - length(replace(bare, chr(10), '')))::INTEGER AS end_line FROM ends""")
 def text_chunks(spark, sf_dir):
+    """Documents as text files, cut into chunks. The SQL has no summaries of files of more than 120,000 characters, of which there are none at the size that is compared."""
     from quillmesh.operators.chunking import chunk_files
 
     rows = documents(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))

@@ -46,18 +46,29 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that this application has stored in the shared folder."""
-    app = spark.sparkContext.applicationId
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/quillmesh-{app}")
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` has made, once all that is made of it is stored: disk is free again before the job ends."""
+    _deleted(table.sparkSession, table._stored_at)
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has stored in the shared folder."""
+    app = spark.sparkContext.applicationId
+    _deleted(spark, f"{shared_root(spark).rstrip('/')}/quillmesh-{app}")
+
+
 def regrouped(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` without the knowledge that it is partitioned by ``keys`` already.
 
