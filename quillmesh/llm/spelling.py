@@ -34,6 +34,8 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 Q = 2
 #: Words of a shard that are indexed, and that ask, in one block.
 BLOCK = 4096
+#: Rows of words that a task of the search reads, on average.
+TASK_ROWS = 60_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 HEAD, TAIL = 0, 1
@@ -167,7 +169,9 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
     cut = cut.withColumn("ib", F.explode(F.when(asks, every(F.col("nib"))).otherwise(F.array(number(F.col("nib"))))))
     cut = cut.withColumn("qb", F.explode(F.when(asks, F.array(number(F.col("nqb")))).otherwise(every(F.col("nqb")))))
     key = ["shard", "side", "size", "ib", "qb"]
-    return cut.repartition(*key).sortWithinPartitions(*key, "asks").select(*key, "asks", "word", "n").mapInArrow(_searched, "a string, na long, b string, nb long")
+    # by number, so that tasks of little data and much work aren't joined
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-6 * words.count() // TASK_ROWS))
+    return cut.repartition(tasks, *key).sortWithinPartitions(*key, "asks").select(*key, "asks", "word", "n").mapInArrow(_searched, "a string, na long, b string, nb long")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
