@@ -35,7 +35,7 @@ from quillmesh.llm.components import connected
 from quillmesh.llm.rows import keyed
 from quillmesh.llm.simhash import shingle_hashes, votes
 from quillmesh.llm.tokens import steps
-from quillmesh.workspace import regrouped, stored
+from quillmesh.workspace import discard, regrouped, stored
 
 #: Bits of a segment that are flipped, one at a time.
 FLIPPED = 4
@@ -146,6 +146,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width, segments = layout(docs.count())
     rows = stored(prints(texts, words, width, segments), "prints")
     classes = stored(rows.select("r", "p", "set", "n", "fp", "wide", "keys").dropDuplicates(["set"]).withColumn("node", F.monotonically_increasing_id()), "classes")
+    sets = stored(rows.select("id", "set"), "sets-of-rows")
+    discard(rows)
     member = classes.select("node", "n", "fp", F.explode("keys").alias("key"))
     heads = member.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("hfp"), F.min_by("n", "node").alias("hn"), F.count("*").alias("held")).where("held > 1").withColumnRenamed("key", "hk")
     shared = stored(member.join(regrouped(heads, "hk"), F.col("key") == F.col("hk")).select("node", "n", "fp", "key", "head", "hfp", "hn", "held"), "buckets")
@@ -159,6 +161,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # in a bucket of two both have met
     at = shared.where("held > 2").join(regrouped(roots.withColumnRenamed("node", "x"), "x"), F.col("node") == F.col("x"), "left").select("node", "n", "fp", "key", F.coalesce("root", "node").alias("root"))
     at = stored(at, "rooted")
+    discard(shared)
     # buckets that are not joined to one component: what is outside the largest one meets all others
     counts = at.groupBy("key", "root").agg(F.count("*").alias("c"))
     split = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select(F.col("key").alias("hk"), "major")
@@ -170,7 +173,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cross = one.join(other, "key").where((F.col("ra") != F.col("rb")) & sized("sa", "sb") & (differ <= MOST_WIDE)).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     roots = connected(first.unionByName(_alike(cross, classes, texts, words, least)))
     named = classes.select("set", "node").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(F.col("set").alias("s"), F.coalesce("root", "node").alias("root"))
-    ids = stored(rows.select("id", "set").join(regrouped(named, "s"), F.col("set") == F.col("s")).select("id", "root"), "ids")
+    ids = stored(sets.join(regrouped(named, "s"), F.col("set") == F.col("s")).select("id", "root"), "ids")
     smallest = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     return ids.join(regrouped(smallest, "root"), "root").select(F.col("id").alias(id_col), "component_id")
 
