@@ -195,9 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     v = len(lexicon)
 
     def seen(batches):
-        for batch in batches:
-            got = [hits(t or "", lexicon) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["label", "found", "patterns"])
+        for part in (p for batch in batches for p in steps(batch, "text")):
+            got = [hits(t or "", lexicon) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["label", "found", "patterns"])
 
     # bounded by max_rows and by the lexicon
     rows = texts.mapInArrow(seen, "label int, found array<int>, patterns array<double>").toPandas()
