@@ -45,13 +45,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """Encode every text, add ``end_id`` to each document and write the files to ``path``.
 
     Edge cases: a null or empty text is the end id alone; null ids come first;
-    rows that repeat an id are documents of their own, in the order of their
-    texts; an empty table writes a table without rows; other columns are not
-    read. A document longer than a segment is a segment of its own.
+    rows that repeat an id, null ones too, are documents of their own, in the
+    order of a hash of their texts, so they don't share one task; an empty table
+    writes a table without rows; other columns are not read. A document longer
+    than a segment is a segment of its own.
     """
     kind = docs.schema[id_col].dataType
     schema = StructType([*(StructField(n, LongType()) for n in ("shard", "number", "place", "n_ids")), StructField("docs", ArrayType(kind)), StructField("lengths", ArrayType(LongType())), StructField("words", BinaryType())])
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     ordered.mapInArrow(_segments(tokenizer_path, end_id), schema).write.option("compression", "zstd").parquet(path)
 
 
@@ -60,6 +61,10 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     ``start`` counts the ids of all documents before, ``ids`` are little-endian
     unsigned 32-bit integers.
+
+    Edge cases: documents come as they were written, null ids, repeated ids and
+    empty texts among them; a table without rows gives none; a document of any
+    length is one row.
     """
     segments = spark.read.parquet(path)
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
