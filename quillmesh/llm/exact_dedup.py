@@ -64,6 +64,11 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Edge cases as in ``radix_groups``: null and empty texts are equal; a group of
+    null ids alone stays whole, as do rows that repeat the id that stays; a text
+    of any length is compared whole; an empty table stays empty.
+    """
     kept = radix_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")

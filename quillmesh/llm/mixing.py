@@ -52,7 +52,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``taken`` is the number of the document's words that the mix takes, with
     repeats: whole epochs, and in the last one all words before the cut. The
-    taken words of a source add up to its target, rounded down.
+    taken words of a source add up to its target, rounded down. Ranges of keys
+    have about ``rows_per_range`` rows; there are 65,536 at most, so beyond 262
+    million rows they grow with the table.
 
     Edge cases: a null text has size 0 and is never taken; a null source is a
     source of its own and comes last; rows that repeat an id are separate rows,

@@ -100,6 +100,11 @@ def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """One row per sequence: ``sequence_id, ids, boundaries`` (the pieces' offsets, in order)."""
+    """One row per sequence: ``sequence_id, ids, boundaries`` (the pieces' offsets, in order).
+
+    Edge cases: what ``pack`` gives for null or empty texts, null or repeated ids
+    and texts of any length are pieces like others; a sequence holds 1,024 ids at
+    most; no pieces make no sequences; other columns are not read.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x["offset"]).alias("boundaries"))

@@ -115,6 +115,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, the one of the smallest id; rows without an id stay."""
+    """``docs`` with one document of each group, the one of the smallest id; rows without an id stay.
+
+    Edge cases as in ``near_groups``: texts without words are alike, null ones
+    among them; of rows that repeat the smallest id of a group all stay; a text
+    of any length counts whole; an empty table stays empty; all columns pass.
+    """
     kept = near_groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id"))
     return docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -214,3 +214,38 @@ def test_best_skips_nothing(lists, most):
     want = sorted((-s, d) for d, s in total.items() if s)[:most]
     given_ = [(sorted(x), [x[d] for d in sorted(x)], max(x.values()), sorted(x.values())[-most] if len(x) >= most else 0) for x in lists]
     assert sorted((-s, d) for s, d in search.best(given_, most)) == want
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes among short ones, through operators that have no such test elsewhere."""
+    from quillmesh.llm import token_files, toxicity
+
+    long_ = " ".join(f"lòng{i % 977}word idiot" for i in range(250_000))
+    rows = [(1, "short idiot text", "x"), (2, long_, "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(df, no_labels).collect()}[2] in (0, 1)
+    path = search.new_path(spark, "tokens")
+    import public_tokenizers
+
+    token_files.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    got = {r.doc_id: (r.start, r.n_tokens) for r in token_files.read_tokens(spark, path).collect()}
+    assert got[1][0] == 0 and got[2][0] == got[1][1] and got[3] == (got[2][0] + got[2][1], 1) and got[2][1] > 500_000
+    q = {r.doc_id: r for r in quality.quality(df, no_labels).collect()}
+    assert q[2].n_words == 500_000 and q[2].n_repeat_words == 500_000 and q[2].base_failed
+    words = spelled(df)
+    assert words == brute.spelling([r[:2] for r in rows])
+    item = spark.createDataFrame([(9, "lòng5word short")], "item_id long, text string")
+    assert sorted(map(tuple, search.ranked_search(df, item).collect())) == sorted(brute.search([r[:2] for r in rows], [(9, "lòng5word short")]))
+
+
+def test_tokens_of_rows_that_repeat_an_id(spark):
+    import public_tokenizers
+
+    from quillmesh.llm import token_files
+
+    path = search.new_path(spark, "tokens")
+    df = spark.createDataFrame([(5, f"text {i}") for i in range(40)] + [(None, f"none {i % 3}") for i in range(20)] + [(1, "first")], "doc_id long, text string")
+    token_files.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    got = sorted(token_files.read_tokens(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 20 + [1] + [5] * 40 and [r.start for r in got][1:] == [r.start + r.n_tokens for r in got][:-1]
