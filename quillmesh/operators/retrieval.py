@@ -183,6 +183,7 @@ def inject_baseline(results: DataFrame, wanted: DataFrame, chunks: DataFrame, mo
     """
     usual = F.array(*map(F.lit, ("readme.md", "README.md", "README", "package.json")))  # fixed values, in order
     heads = chunks.where(F.array_contains(usual, F.col("file"))).groupBy("file").agg(F.min_by("id", "ord").alias("id")).withColumn("prio", F.array_position(usual, F.col("file")))
+    # at most four rows: one for each of the usual names
     new = wanted.crossJoin(F.broadcast(heads)).join(results.select("query_id", "file").distinct(), ["query_id", "file"], "left_anti")
     new = new.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("prio"))).where(F.col("n") <= most)
     return results.unionByName(new.select("query_id", "id", "file", F.lit(0.0).alias("score")))

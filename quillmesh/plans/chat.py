@@ -60,21 +60,8 @@ def expand_query(spark, sf_dir):
     return rows.select("conv_id", F.col("v")[0].alias("query"), F.get("v", F.lit(1)).alias("variant"))
 
 
-def _word(p: str) -> str:
-    return f"\\b(?:{p})\\b"
-
-
-_SQL_OVERVIEW = (
-    _word("what does|what is|tell me about") + ".*" + _word("project|repo|repository"),
-    _word("project|repo|repository") + ".*" + _word("overview|summary|purpose|about"),
-    _word(r"(?:main|key)\s+(?:entry\s+points?|components|modules|data\s+flow|architecture)"),
-    _word(r"high[-\s]?level|big picture"),
-)
-_SQL_FACT = (
-    _word(r"hyperparameter|dropout|temperature|top[_\s-]?p|top[_\s-]?k|learning[_\s-]?rate|batch[_\s-]?size"),
-    _word("default|exact|specific|numeric|number|value|values|setting|settings|config|configuration"),
-    r"^\s*(?:how many|where)\b",
-)
+# DuckDB's patterns know boundaries of ASCII words alone
+_SQL_OVERVIEW, _SQL_FACT = (tuple(p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b") for p in patterns) for patterns in (chat.OVERVIEW, chat.FACT))
 
 
 def _any_sql(patterns) -> str:
