@@ -33,9 +33,9 @@ def ascii_lower(col):
 
 
 def line_hash(line, min_chars: int):
-    """128 bits of SHA-256 in hex of the line's key; null where the key is too short."""
+    """128 bits of SHA-256 of the line's key; null where the key is too short."""
     key = F.btrim(line, F.lit(STRIPPED))
-    return F.when(F.char_length(key) >= min_chars, F.substring(F.sha2(ascii_lower(key), 256), 1, 32))
+    return F.when(F.char_length(key) >= min_chars, F.unhex(F.substring(F.sha2(ascii_lower(key), 256), 1, 32)))
 
 
 def _lines(text):
@@ -53,14 +53,14 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame, id_col: str, text_col: str) -> None:
-        """Merge-anti-join a batch with the runs and add what is new as a sorted run."""
-        hashes = F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: line_hash(x, self.min_chars)))
-        own = (
-            batch.select(F.col(id_col).alias("id"), F.explode(hashes).alias("h"))
-            .where("h is not null")
-            .groupBy(F.unhex("h").alias("h"))
-            .agg(F.count("*").alias("n_docs"), F.max("id").alias("max_id"))
-        )
+        """``add_hashes`` of a batch of texts."""
+        hashes = F.transform(_lines(F.col(text_col)), lambda x: line_hash(x, self.min_chars))
+        self.add_hashes(batch.select(F.col(id_col).alias("id"), hashes.alias("hashes")))
+
+    def add_hashes(self, batch: DataFrame) -> None:
+        """Merge-anti-join a batch, ``id, hashes`` of each document's lines, with the runs and add what is new as a sorted run."""
+        each = batch.select("id", F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null")
+        own = each.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("id").alias("max_id"))
         for run in self.runs():
             full = run.where(F.col("n_docs") >= self.min_docs).select(F.col("h").alias("rh"), F.col("max_id").alias("rmax"))
             own = own.join(full, (F.col("h") == F.col("rh")) & (F.col("rmax") >= F.coalesce("max_id", "rmax")), "left_anti")
@@ -106,10 +106,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = LineRuns(spark, min_docs, min_chars, fanout)
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), text_key.alias("k"))
+    # texts are cut and hashed once, for the batches and for the way back
+    hashed = stored(narrow.select("id", "k", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch"), F.transform(_lines(F.col("t")), lambda x: line_hash(x, min_chars)).alias("hashes")), "line-hashes")
     for k in range(batches):
-        store.add(narrow.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k), "id", "t")
+        store.add_hashes(hashed.where(F.col("batch") == k))
     repeated = store.repeated()
-    held = narrow.select("id", "k", F.posexplode(F.transform(_lines(F.col("t")), lambda x: line_hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("id", "k", "pos", F.unhex("h").alias("h"))
+    held = hashed.select("id", "k", F.posexplode("hashes").alias("pos", "h")).where("h is not null")
     lost = held.join(regrouped(repeated, "h"), "h").where((F.col("id") < F.col("max_id")) | (F.col("id").isNull() & F.col("max_id").isNotNull()))
     drops = lost.groupBy("id", "k").agg(F.collect_set("pos").alias("__drops")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), "__drops")
     # the lines are made before the shuffle of the join, so they are read and not split again for every index
