@@ -87,9 +87,10 @@ def assemble(results: DataFrame, limits: dict = LIMITS["gemini"], strict_compat:
 
     results: ``query_id, rank, file, node_type, code, score``. ``raw_chars`` and
     the tokens are those of the results as they are, whatever the stage.
-    ``strict_compat`` shows a file's lowest score in directories.
+    ``strict_compat`` shows a file's lowest score in directories. Scores are
+    equal if they are to nine places, and then in the order of their ranks.
     """
-    blocks = results.select("query_id", "file", directory(F.regexp_replace("file", r"\\", "/")).alias("dir"), F.col("score").cast("double").alias("score"), F.col("rank").alias("ord"), "node_type", F.coalesce("code", F.lit("")).alias("code"))
+    blocks = results.select("query_id", "file", directory(F.regexp_replace("file", r"\\", "/")).alias("dir"), F.round(F.col("score").cast("double"), 9).alias("score"), F.col("rank").alias("ord"), "node_type", F.coalesce("code", F.lit("")).alias("code"))
     files = _files(blocks, limits)
     dirs = _directories(files, limits, strict_compat)
     levels = {"none": blocks, "file": files, "directory": dirs, "repo": _repository(dirs, limits)}

@@ -264,7 +264,7 @@ _FITS = f"length({{0}}) <= {_LIM['max_chars']} AND ceil(length({{0}}) / 4) <= {_
 
 @query(f"""
 {EVIDENCE},
-l0 AS (SELECT b.query_id AS item_id, source || '/' || lang || '.txt' AS file, source AS dir, b.score::DOUBLE AS score, b.rank AS ord, 'text_chunk' AS node, coalesce(text, '') AS code FROM bm25 b JOIN documents ON doc_id = b.id),
+l0 AS (SELECT b.query_id AS item_id, source || '/' || lang || '.txt' AS file, source AS dir, round(b.score::DOUBLE, 9) AS score, b.rank AS ord, 'text_chunk' AS node, coalesce(text, '') AS code FROM bm25 b JOIN documents ON doc_id = b.id),
 sized AS (SELECT *, sum(length(code)) OVER w AS total, count(*) OVER w AS n, row_number() OVER (PARTITION BY item_id, file ORDER BY score DESC, ord) AS place FROM l0 WINDOW w AS (PARTITION BY item_id, file)),
 l1 AS (SELECT item_id, file, dir, score, ord, CASE WHEN total > {_LIM['file_chars']} THEN 'file_compaction_summary' ELSE node END AS node, CASE WHEN total > {_LIM['file_chars']} THEN {_FILE_SQL} ELSE code END AS code FROM sized WHERE total <= {_LIM['file_chars']} OR place = 1),
 by_file AS (SELECT item_id, dir, file, max(score) AS best, sum(length(code)) AS chars, min(ord) AS ord FROM l1 GROUP BY ALL),
