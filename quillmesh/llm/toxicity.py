@@ -35,6 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 #: Pattern voters, after those of the lexicon: several entries, many entries a word, shouting, calling out.
 PATTERNS = 4
+#: Labelled rows that a step of the fit takes at once; bounds the arrays on the driver.
+FITTED_ROWS = 2048
 
 
 def _entries(text: str) -> tuple[Counter, int]:
@@ -72,11 +74,19 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _blocks(n: int):
+    """Slices that cover ``n`` rows."""
+    return (slice(at, at + FITTED_ROWS) for at in range(0, n, FITTED_ROWS))
+
+
 def _joint(votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted counts of the votes -1, 0 and 1 of all pairs of voters: voters by voters by 3 by 3."""
-    on = np.concatenate([(votes == k).astype(np.float32) for k in (-1, 0, 1)], axis=1)
     n = votes.shape[1]
-    return ((on * weights[:, None].astype(np.float32)).T @ on).astype(np.float64).reshape(3, n, 3, n).transpose(1, 3, 0, 2)
+    counts = np.zeros((3 * n, 3 * n))
+    for s in _blocks(len(votes)):
+        on = np.concatenate([(votes[s] == k).astype(np.float32) for k in (-1, 0, 1)], axis=1)
+        counts += (on * weights[s, None].astype(np.float32)).T @ on
+    return counts.reshape(3, n, 3, n).transpose(1, 3, 0, 2)
 
 
 def dependencies(votes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,31 +129,34 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tupl
         if step in (0, rounds // 2):
             tree, shared[:-1, :-1] = dependencies(all_[:, :-1], q)
             parent = np.append(tree, -1)
-        of = np.where(parent[None, :] >= 0, all_[:, np.maximum(parent, 0)], 0)
+        of = lambda s: np.where(parent >= 0, all_[s][:, np.maximum(parent, 0)], 0)  # noqa: B023, E731, votes of the parents
+        counts = np.zeros((2, 3, 3, n))  # truth, vote of the parent, vote, voter
+        for s in _blocks(len(q)):
+            w, of_s = np.stack([q[s], 1 - q[s]]), of(s)
+            for b in (-1, 0, 1):
+                for a in (-1, 0, 1):
+                    counts[:, b + 1, a + 1] += w @ ((of_s == b) & (all_[s] == a))
+        given = np.log((counts + 0.5) / (counts.sum(axis=2, keepdims=True) + 1.5))
         p = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        odds = np.full(len(q), np.log(p / (1 - p)))
-        for b in (-1, 0, 1):
-            given = of == b
-            sums = [w @ given.astype(np.float32) + 1.5 for w in (q.astype(np.float32), (1 - q).astype(np.float32))]
-            for a in (-1, 0, 1):
-                on = (given & (all_ == a)).astype(np.float32)
-                if not on.any():
-                    continue
-                toxic, clean = ((w @ on + 0.5) / total for w, total in zip((q.astype(np.float32), (1 - q).astype(np.float32)), sums))
-                odds += on @ np.log(toxic / clean)
+        odds = np.concatenate([(given[0] - given[1])[of(s) + 1, all_[s] + 1, np.arange(n)].sum(axis=1) for s in _blocks(len(q))]) + np.log(p / (1 - p))
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    agree, cast = ((all_ > 0) * q[:, None] + (all_ < 0) * (1 - q)[:, None]).sum(axis=0), (all_ != 0).sum(axis=0)
+    agree = sum(q[s] @ (all_[s] > 0) + (1 - q[s]) @ (all_[s] < 0) for s in _blocks(len(q)))
+    cast = (all_ != 0).sum(axis=0)
     return q, agree / np.maximum(cast, 1), shared
 
 
 def linear_fit(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x1.shape[1]), np.full(x1.shape[1], ridge)
+    w, penalty = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(penalty), x1.T @ (q - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for s in _blocks(len(x)):
+            x1 = np.column_stack([x[s].astype(np.float64), np.ones(len(x[s]))])
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            curve += (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1
+            slope += x1.T @ (q[s] - p)
+        step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -200,12 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["label", "found", "patterns"])
 
     # bounded by max_rows and by the lexicon
-    rows = texts.mapInArrow(seen, "label int, found array<int>, patterns array<double>").toPandas()
-    x = np.zeros((len(rows), v + PATTERNS))
-    for i, (found, patterns) in enumerate(zip(rows["found"], rows["patterns"])):
-        x[i, list(found)] = 1
-        x[i, v:] = patterns
-    y = rows["label"].to_numpy(np.float64)
+    rows = texts.mapInArrow(seen, "label int, found array<int>, patterns array<double>").toArrow().combine_chunks()
+    x = np.zeros((rows.num_rows, v + PATTERNS), np.float32)
+    if rows.num_rows:
+        found, patterns = (rows.column(c).combine_chunks() for c in ("found", "patterns"))
+        x[np.repeat(np.arange(len(x)), found.value_lengths().to_numpy()), found.flatten().to_numpy()] = 1
+        x[:, v:] = patterns.flatten().to_numpy().reshape(-1, PATTERNS)
+    y = rows.column("label").to_numpy().astype(np.float64)
     votes = np.zeros(x.shape, np.int8)
     votes[:, :v] = x[:, :v]
     some = x[:, :v].sum(axis=1)
@@ -213,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes[:, v + 1] = np.where(x[:, v + 1] > 0.1, 1, np.where(x[:, v + 1] == 0, -1, 0))
     votes[:, v + 2] = np.where(x[:, v + 2] > 0.5, 1, 0)
     votes[:, v + 3] = np.where(x[:, v + 3] > 0.2, 1, 0)
-    if len(rows):
+    if rows.num_rows:
         q, accuracies, correlations = label_model(votes, y)
         weights, intercept = linear_fit(x, q)
     else:  # nothing to learn from: the fixed insults decide
