@@ -256,6 +256,19 @@ def test_label_model_outvotes_wrong_labels():
     assert ((q > 0.5) == truth).mean() > 0.97 > (labels == truth).mean() and abs(accuracies[:6] - 0.9).max() < 0.05 and correlations.shape == (7, 7)
 
 
+def test_fits_agree_for_every_size_of_blocks(monkeypatch):
+    r = np.random.default_rng(1)
+    truth = r.random(1000) < 0.3
+    votes = np.column_stack([np.where(r.random(1000) < 0.5, np.where(r.random(1000) < 0.85, truth, ~truth) * 2 - 1, 0) for _ in range(5)]).astype(np.int8)
+    fits = []
+    for rows in (7, 333, 5000):
+        monkeypatch.setattr(toxicity, "FITTED_ROWS", rows)
+        q, accuracies, shared = toxicity.label_model(votes, truth.astype(float))
+        weights, intercept = toxicity.linear_fit(votes, q)
+        fits.append(np.concatenate([q, accuracies, shared.ravel(), weights, [intercept]]))
+    assert np.allclose(fits[0], fits[2], atol=1e-4) and np.allclose(fits[1], fits[2], atol=1e-4)
+
+
 def test_toxic_rows_of_odd_tables_go(spark, odd, empty):
     """Clashing columns, labels other than 0 and 1, empty tables: toxic rows go, all others stay as they are."""
     none = spark.createDataFrame([(1, 2), (3, -1), (4, None), (None, 1)], "doc_id long, toxic int")
