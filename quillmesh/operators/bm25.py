@@ -6,30 +6,46 @@ the postings with their documents' lengths, the largest count and the smallest
 length among them. A search reads the buckets of the terms that are asked for,
 joins their blocks, and groups what is left; no statistic is counted again.
 
-Documents are dealt into ranges by a hash of their ids. What a query's terms can
-add up to in a range is bounded by their blocks' largest counts and smallest
-lengths, two numbers a block. A large index is searched in two steps: the most
-promising ranges of each query give the score that has to be reached, and of the
-other ranges only those are opened whose bound reaches it.
+Documents are dealt into ranges by a hash of their ids, and a range is built where
+its texts are. A search for the best documents sends each block of the asked terms
+to the task of its range once, whatever number of queries asks for it; the task
+adds up the scores of a range as a matrix and only the best of each query leave it.
+
+What a query's terms can add up to in a range is bounded by their blocks' largest
+counts and smallest lengths, two numbers a block. A search in two steps is for few
+queries of rare terms: the most promising ranges of each query give the score that
+has to be reached, and of the other ranges only those are opened whose bound
+reaches it.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillmesh.functions.text import token_rows
+from quillmesh.functions.words import SEARCH_STOP
 from quillmesh.workspace import new_path, stored
 
 K1, B, LIMIT = 1.5, 0.75, 50
-#: Documents in a range, and postings in a bucket, on average.
-RANGE, BUCKET = 1024, 1 << 21
-#: Ranges from which a search is made in two steps, and those of each query that are opened in the first.
-PRUNED, FIRST = 256, 4
+#: Documents in a range, and postings in a bucket, on average; a posting is taken to have this many bytes of text.
+RANGE, BUCKET, POSTING_BYTES = 1024, 1 << 22, 4
+#: Ranges that are built, or scored, in a task, bytes of their texts, and queries that are scored together.
+TASK_RANGES, TASK_BYTES, QUERIES = 8, 32 << 20, 512
+#: Ranges of each query that the first step of a search in two steps opens.
+FIRST = 4
 
-_BLOCKS = "term string, range int, n long, max_tf long, min_dl long, tfs long, docs array<struct<id:{id},tf:bigint,dl:bigint>>, bucket int"
+_BLOCKS = "term string, range int, n long, max_tf long, min_dl long, tfs long, docs struct<ids:array<{id}>,tfs:array<int>,dls:array<int>>, bucket int"
+_DOCS = "array<struct<id:{id},tf:bigint,dl:bigint>>"
+#: Identifiers whose terms a task keeps.
+KNOWN = 1 << 18
 
 
 @dataclass
@@ -49,10 +65,15 @@ class Bm25Index:
         """``bucket, term, df, total``."""
         return self.spark.read.schema("term string, df long, total long, bucket int").parquet(f"{self.path}/terms")
 
+    @property
+    def lists(self) -> DataFrame:
+        """The blocks as they are stored: docs is a list of ids, one of counts and one of lengths."""
+        return self.spark.read.schema(_BLOCKS.format(id=self.id_type)).parquet(f"{self.path}/blocks")
+
     @property
     def blocks(self) -> DataFrame:
         """``bucket, term, range, n, max_tf, min_dl, docs``; docs: ``id, tf, dl``."""
-        return self.spark.read.schema(_BLOCKS.format(id=self.id_type)).parquet(f"{self.path}/blocks")
+        return self.lists.withColumn("docs", F.arrays_zip("docs.ids", "docs.tfs", "docs.dls").cast(_DOCS.format(id=self.id_type)))
 
     @property
     def postings(self) -> DataFrame:
@@ -74,39 +95,101 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _terms_of(token: str) -> tuple[str, ...]:
+    """The terms of an identifier, as ``token_rows`` has them."""
+    word = token.lower()
+    parts = re.split("[_ ]+", re.sub("([a-z0-9])([A-Z])", r"\1 \2", token).lower()) if re.search("[a-z0-9][A-Z]|_", token) else []
+    return tuple(t for t in (word, *(p for p in parts if p and p != word)) if len(t) >= 2 and t not in _STOP)
+
+
+_STOP = frozenset(SEARCH_STOP)
+
+
+def _range_blocks(batches):
+    """Batches of texts in the order of ranges and ids to the blocks of each range; rows that repeat an id are one document."""
+    identifiers, known = re.compile("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), {}
+
+    def counted(found: Counter) -> Counter:
+        out: Counter = Counter()
+        for token, n in found.items():
+            terms = known.get(token)
+            if terms is None:
+                if len(known) >= KNOWN:
+                    known.clear()
+                terms = known[token] = _terms_of(token)
+            for t in terms:
+                out[t] += n
+        return out
+
+    def flushed(number: int, docs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        codes: dict[str, int] = {}
+        sizes = np.array([len(c) for _, c in docs], np.int64)
+        of_term = np.fromiter((codes.setdefault(t, len(codes)) for _, c in docs for t in c), np.int64, sizes.sum())
+        tf = np.fromiter((n for _, c in docs for n in c.values()), np.int64, sizes.sum())
+        at = np.repeat(np.arange(len(docs)), sizes)
+        dl = np.bincount(at, tf, len(docs)).astype(np.int64)[at]
+        order = np.argsort(of_term, kind="stable")
+        tf, dl, at = tf[order], dl[order], at[order]
+        n = np.bincount(of_term, minlength=len(codes))
+        begins = np.cumsum(n) - n
+        offsets = pa.array(np.append(begins, len(tf)).astype(np.int32))
+        listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+        ids = pa.array([i for i, _ in docs], kind).take(pa.array(at))
+        lists = pa.StructArray.from_arrays([listed(ids), listed(pa.array(tf.astype(np.int32))), listed(pa.array(dl.astype(np.int32)))], names=["ids", "tfs", "dls"])
+        whole = lambda values: pa.array(values.astype(np.int64))
+        columns = [pa.array(list(codes), pa.string()), pa.array(np.full(len(codes), number, np.int32)), whole(n), whole(np.maximum.reduceat(tf, begins)), whole(np.minimum.reduceat(dl, begins)), whole(np.add.reduceat(tf, begins)), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "max_tf", "min_dl", "tfs", "docs"])
+
+    number, docs, kind = None, [], None
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for r, i, text in zip(batch.column("range").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
+            if r != number:
+                if docs:
+                    yield flushed(number, docs, kind)
+                number, docs = r, []
+            found = counted(Counter(identifiers.findall(text.as_py() or "")))
+            if docs and docs[-1][0] == i:
+                docs[-1][1].update(found)
+            elif found:
+                docs.append((i, found))
+    if docs:
+        yield flushed(number, docs, kind)
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Bm25Index:
-    """An index below ``path``, or in the shared folder: texts are cut and counted once, and postings shuffled once."""
+    """An index below ``path``, or in the shared folder: texts are shuffled once, to their ranges, and the blocks that are made of them once, to their buckets."""
     spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "bm25")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    documents = own.count()
-    ranges = max(1, -(-documents // RANGE))
-    # by id, so that neither the counts nor the lengths of documents need another exchange
-    counts = stored(term_counts(own.repartition("id"), "id", "text").withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "postings")
-    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
-    buckets = max(1, -(-n // BUCKET))
-    ranged = counts.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
-    blocks = ranged.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("tf").alias("tfs"), F.collect_list(F.struct("id", "tf", "dl")).alias("docs"))
-    _written(blocks.select("*", _bucket(buckets)), f"{path}/blocks")
-    mean = total / documents if documents and total else 1.0
-    index = Bm25Index(spark, path, documents, float(mean), ranges, buckets, own.schema["id"].dataType.simpleString())
-    _written(index.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("tfs").alias("total")), f"{path}/terms")
+    documents, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges, buckets = max(1, -(-documents // RANGE)), max(1, -(-size // (POSTING_BYTES * BUCKET)))
+    # tasks of a few ranges and texts of a bounded size: neither grows with the table
+    tasks = max(min(ranges, spark.sparkContext.defaultParallelism), -(-ranges // TASK_RANGES), min(ranges, -(-size // TASK_BYTES)))
+    kind = own.schema["id"].dataType.simpleString()
+    ranged = own.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")).repartition(tasks, "range").sortWithinPartitions("range", "id")
+    blocks = ranged.mapInArrow(_range_blocks, _BLOCKS.format(id=kind).removesuffix(", bucket int"))
+    _written(blocks.select("*", _bucket(buckets)), f"{path}/blocks", tasks)
+    index = Bm25Index(spark, path, documents, 1.0, ranges, buckets, kind)
+    total = index.lists.agg(F.coalesce(F.sum("tfs"), F.lit(0))).first()[0]
+    index.avgdl = float(total / documents if documents and total else 1.0)
+    _written(index.lists.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("tfs").alias("total")), f"{path}/terms", buckets)
     # last: an index without this row isn't whole
     row = (documents, index.avgdl, ranges, buckets, index.id_type)
     spark.createDataFrame([row], "documents long, avgdl double, ranges int, buckets int, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
     return index
 
 
-def _written(rows: DataFrame, path: str) -> None:
+def _written(rows: DataFrame, path: str, tasks: int) -> None:
     """By buckets and sorted by term, so that a reader of a few terms opens a few files and row groups; a bucket of many rows is several files."""
     # a bucket is written by several tasks, as a frequent term has a block in every range
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("term", *(["range"] if "range" in rows.columns else [])), F.lit(8)))
+    dealt = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("term", *(["range"] if "range" in rows.columns else [])), F.lit(8)))
     dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def save_index(index: Bm25Index, path: str, repo: str, sha: str) -> None:
     """Write an index for a snapshot of a repository; later searches of the snapshot read it."""
     at = f"{path}/repo={repo}/sha={sha}"
-    for name, rows in (("blocks", index.blocks), ("terms", index.terms)):
+    for name, rows in (("blocks", index.lists), ("terms", index.terms)):
         rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/{name}")
     index.spark.read.parquet(f"{index.path}/size").write.mode("overwrite").parquet(f"{at}/size")
 
@@ -176,12 +259,84 @@ def bounds(index: Bm25Index, weights: DataFrame, k1: float = K1, b: float = B) -
     return blocks.groupBy("query_id", "range").agg(F.sum(F.col("w") * _part(F.col("max_tf"), F.col("min_dl"), index.avgdl, k1, b)).alias("bound"))
 
 
-def best(index: Bm25Index, terms: DataFrame, limit: int = LIMIT, k1: float = K1, b: float = B, pruned: bool | None = None, first: int = FIRST) -> DataFrame:
-    """``query_id, id, score, rank``: the ``limit`` best of ``scores``. With ``pruned``, or in an index of many ranges, ranges that can't reach them aren't opened; the rows are the same."""
+def _range_scorer(avgdl: float, k1: float, b: float, limit: int):
+    """Batches of blocks, those of a range and of a block of queries one after another, to the ``limit`` best documents of each query there."""
+
+    def flushed(key: tuple, held: list[tuple], least: dict) -> pa.RecordBatch:
+        ids = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode(null_encoding="encode")
+        names = ids.dictionary
+        order = sorted(range(len(names)), key=lambda i, values=names.to_pylist(): (values[i] is not None, values[i]))
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))  # places in the order of ids, so that a stable sort leaves equal scores in it
+        at = place[ids.indices.to_numpy(zero_copy_only=False)]
+        scores = np.zeros((1 + max(int(h[3].max()) for h in held), len(names)))
+        begin = 0
+        for docs, tf, dl, asks, weights in held:
+            part = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * dl / avgdl), 1e-9)
+            scores[asks[:, None], at[None, begin : begin + len(docs)]] += weights[:, None] * part
+            begin += len(docs)
+        found: list[tuple] = []
+        for q in np.flatnonzero(scores.any(axis=1)).tolist():
+            mine = np.flatnonzero(scores[q] > 0)
+            rounded = np.round(scores[q, mine], 9)
+            # what other ranges of this task have already pushed out
+            near = rounded >= least.get((key[0], q), -np.inf) - 2e-9
+            mine, rounded = mine[near], rounded[near]
+            if len(mine) > limit:
+                first = np.argsort(-rounded, kind="stable")
+                last = rounded[first[limit - 1]]
+                least[key[0], q] = max(last, least.get((key[0], q), -np.inf))
+                # another way of rounding may order what comes this close the other way round
+                beyond = first[limit:]
+                mine = mine[np.concatenate([first[:limit], beyond[(rounded[beyond] < last) & (rounded[beyond] > last - 2e-9)]])]
+            found.append((np.full(len(mine), q, np.int32), mine, scores[q, mine]))
+        q, at, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
+        back = np.asarray(order, np.int64)[at.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), key[0], np.int32)), pa.array(q.astype(np.int32)), names.take(pa.array(back)), pa.array(s.astype(np.float64))], names=["part", "asks", "id", "score"])
+
+    def run(batches):
+        key, held, least = None, [], {}
+        for batch in batches:
+            lists = {n: batch.column(n) for n in ("ids", "tfs", "dls", "asking", "weights")}
+            parts, ranges = batch.column("part").to_pylist(), batch.column("range").to_pylist()
+            for i in range(batch.num_rows):
+                if key != (parts[i], ranges[i]):
+                    if held:
+                        yield flushed(key, held, least)
+                    key, held = (parts[i], ranges[i]), []
+                numbers = (lists[n][i].values.to_numpy(zero_copy_only=False) for n in ("tfs", "dls", "asking", "weights"))
+                held.append((lists["ids"][i].values, *numbers))
+        if held:
+            yield flushed(key, held, least)
+
+    return run
+
+
+def _best_of_ranges(index: Bm25Index, weights: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
+    """``query_id, id, score``: at least the ``limit`` best documents of every query. A block travels once for a block of queries, and no pair of a query and a document becomes a row."""
+    queries = weights.select("query_id").distinct()
+    parts = max(1, -(-queries.count() // QUERIES))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("query_id")) - 1
+    numbers = stored(queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("asks", number), "asking")
+    known = weights.join(numbers.withColumnRenamed("query_id", "__q"), F.col("query_id").eqNullSafe(F.col("__q")))
+    pairs = known.groupBy("term", "part").agg(F.collect_list(F.struct("asks", "w")).alias("asked"))
+    lists = stored(pairs.select("term", "part", F.col("asked.asks").alias("asking"), F.col("asked.w").alias("weights")), "asked-terms")
+    wanted = [r[0] for r in weights.select("bucket").distinct().collect()]
+    blocks = index.lists.where(F.col("bucket").isin(wanted)).select("term", "range", "docs.ids", "docs.tfs", "docs.dls")
+    groups = index.ranges * parts
+    tasks = max(min(groups, index.spark.sparkContext.defaultParallelism), -(-groups // TASK_RANGES))
+    met = blocks.join(lists, "term").drop("term").repartition(tasks, "part", "range").sortWithinPartitions("part", "range")
+    schema = StructType([StructField("part", IntegerType()), StructField("asks", IntegerType()), StructField("id", index.lists.schema["docs"].dataType["ids"].dataType.elementType), StructField("score", DoubleType())])
+    found = top(met.mapInArrow(_range_scorer(index.avgdl, k1, b, limit), schema), limit, key=("part", "asks"))
+    return found.join(numbers, ["part", "asks"]).select("query_id", "id", "score", "rank")
+
+
+def best(index: Bm25Index, terms: DataFrame, limit: int = LIMIT, k1: float = K1, b: float = B, pruned: bool = False, first: int = FIRST) -> DataFrame:
+    """``query_id, id, score, rank``: the ``limit`` best of ``scores``, stored. With ``pruned``, ranges that can't reach them aren't opened; the rows are the same."""
     k1, b = _clamped(k1, b)
-    weights = weighted_terms(index, terms)
-    if not (index.ranges >= PRUNED if pruned is None else pruned):
-        return top(_scored(_asked_blocks(index, weights, "docs"), index.avgdl, k1, b).where("score > 0"), limit)
+    weights, limit = weighted_terms(index, terms), max(1, limit)
+    if not pruned:
+        return stored(_best_of_ranges(index, weights, limit, k1, b), "best")
     reach = bounds(index, weights, k1, b)
     placed = stored(reach.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))), "bounds")
     opened = lambda ranges: _scored(_asked_blocks(index, weights, "docs").join(ranges.select("query_id", "range"), ["query_id", "range"]), index.avgdl, k1, b).where("score > 0")
