@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from quillmesh.functions.vectors import cosine
 from quillmesh.operators.bm25 import top
@@ -25,6 +25,8 @@ from quillmesh.workspace import stored
 SENT_BYTES = 64 << 20
 #: Vectors and queries in a block; a product of two blocks has some 8 MB.
 VECTORS, QUERIES = 4096, 256
+#: The same for sign bits, of which a product of two blocks has some 16 MB.
+CODES, CODE_QUERIES = 32768, 64
 #: Places to which scores are rounded before they are ordered.
 PLACES = 9
 
@@ -127,6 +129,35 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, limit: int = 50) -> Da
     return top(pairs.mapInArrow(run, schema), limit)
 
 
+def hamming_best(codes: DataFrame, queries: DataFrame, limit: int, words: int) -> DataFrame:
+    """``query_id, id, dist``: of every block of codes, the nearest to each query, then by id. codes: ``id, bits``; queries: ``query_id, qbits``, words of 32 bits.
+
+    A code that lacks one of the first ``words`` words has no distance, and comes first.
+    """
+    kinds = (queries.schema["query_id"].dataType, codes.schema["id"].dataType)
+    schema = StructType([StructField("query_id", kinds[0]), StructField("id", kinds[1]), StructField("dist", IntegerType())])
+    side = lambda m, n: np.frombuffer(m, np.float64).reshape(-1, n)[:, :words].astype(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("dims", "m", "qdims", "qm")}
+                ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
+                names = ids.to_pylist()
+                order = np.array(sorted(range(len(names)), key=lambda k, own=names: (own[k] is not None, own[k])), np.int64)
+                dist = np.full((len(qids), len(names)), 0 if min(row["dims"], row["qdims"]) >= words else -1, np.int16)
+                if min(row["dims"], row["qdims"]) >= words:
+                    m, q = side(row["m"], row["dims"])[order], side(row["qm"], row["qdims"])
+                    for w in range(words):
+                        dist += np.bitwise_count(q[:, w, None] ^ m[None, :, w])
+                best = np.argsort(dist, axis=1, kind="stable")[:, :limit]
+                of, at = np.repeat(np.arange(len(dist)), best.shape[1]), best.ravel()
+                found = dist[of, at].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(of)), ids.take(pa.array(order[at])), pa.array(found, mask=found < 0)], names=["query_id", "id", "dist"])
+
+    return _crossed(packed(codes, "id", "bits", CODES), packed(queries, "query_id", "qbits", CODE_QUERIES)).mapInArrow(run, schema)
+
+
 def cosine_ranks(vectors: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
     """``query_id, id, rank``: where the rows of ``wanted`` (``query_id, id``) stand among all vectors, without sorting these.
 

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import query_symbols, trimmed, words
-from quillmesh.functions.vectors import binarized, cosine, doubles, hamming_words
+from quillmesh.functions.vectors import binarized, cosine, doubles
 from quillmesh.operators import bm25
 from quillmesh.operators.bm25 import top
-from quillmesh.operators.dense import cosine_ranks, cosine_search, paired
+from quillmesh.operators.dense import cosine_ranks, cosine_search, hamming_best
 from quillmesh.workspace import stored
 
 COARSE, RRF_K = 50, 60
@@ -23,8 +23,7 @@ VECTOR_WEIGHT = 0.7
 
 def hamming_search(vectors: DataFrame, queries: DataFrame, limit: int = COARSE, dims: int = 64) -> DataFrame:
     """``query_id, id, dist, score, rank``: nearest sign bits first, then by id. vectors: ``id, bits``; queries: ``query_id, qbits``."""
-    dist = hamming_words(F.col("bits"), F.col("qbits"), -(-dims // 32))
-    rows = paired(vectors.select("id", "bits"), queries.select("query_id", "qbits"), queries.count() * (dims // 4 + 64), "id", "query_id").select("query_id", "id", dist.alias("dist"))
+    rows = hamming_best(vectors, queries, max(1, limit), -(-dims // 32))
     return top(rows.withColumn("score", 1 / (1 + F.col("dist"))), limit, by=[F.col("dist"), F.col("id")])
 
 
