@@ -92,7 +92,8 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None
             dense = dense.unionByName(ranks.join(dense, ["query_id", "id"], "left_anti").select(dense.columns))
     if not keywords:
         return top(blend(dense.select("query_id", "id", F.lit(1.0).alias("score")), vectors, asked, 1.0), limit)
-    fused = top(fuse(dense, found), coarse, by=fused_order(2))
+    # some rows a query, stored so that what they are joined with isn't shuffled
+    fused = stored(top(fuse(dense, found), coarse, by=fused_order(2)), "fused")
     expanded = expand_with_graph(fused, edges) if edges is not None else fused.withColumn("place", F.col("rank").cast("long"))
     if not rerank:
         return top(expanded.select("query_id", "id", "score", "place"), limit, by=[F.round("score", 12).desc(), F.col("place"), F.col("id")]).drop("place")
@@ -106,7 +107,7 @@ def distinct_variants(variants: DataFrame) -> DataFrame:
     return first.withColumn("variant", F.row_number().over(Window.partitionBy("query_id").orderBy("variant")) - 1)
 
 
-def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None, alpha: float = 0.7) -> DataFrame:
+def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coarse: int = COARSE, dims: int = 64, edges: DataFrame | None = None, index: bm25.Bm25Index | None = None, alpha: float = 0.7, shown: DataFrame | None = None) -> DataFrame:
     """Hybrid search of every variant of a query in one job, fused over the variants, then ranked by preference.
 
     variants: ``query_id, variant, text, q``. Variants are trimmed, and empty and
@@ -114,7 +115,8 @@ def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coa
     its ranks and scored by the cosine to the first variant; the results of an
     only variant keep their scores. Preference takes the symbols of all variants,
     the chunks' ``name`` and their files' ``definitions`` where ``chunks`` has
-    these columns.
+    these columns. ``shown`` gives these and the text where ``chunks`` is a join,
+    so that only what was found is looked up.
     """
     own = stored(distinct_variants(variants), "variants")
     several = own.groupBy("query_id").agg((F.count("*") > 1).alias("several"))
@@ -122,14 +124,15 @@ def multipath_search(chunks: DataFrame, variants: DataFrame, limit: int = 5, coa
     paths = hybrid_search(chunks, keyed, edges, max(2 * limit, 10), coarse, dims, index=index)
     ranks = stored(paths.select("query_id.query_id", "query_id.variant", "id", "score", "rank").join(several, "query_id"), "paths")
     fused = ranks.where("several").groupBy("query_id", "id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
-    kept = top(fused, coarse, by=[F.round("score", 12).desc(), F.col("first"), F.col("id")])
+    kept = stored(top(fused, coarse, by=[F.round("score", 12).desc(), F.col("first"), F.col("id")]), "kept")
     first = own.where("variant = 0").select("query_id", "q")
     scored = kept.select("query_id", "id", "rank").join(chunks.select("id", "v"), "id").join(first, "query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"), "rank")
     single = ranks.where(~F.col("several") & (F.col("rank") <= limit)).select("query_id", "id", "score", "rank")
     symbols = own.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(query_symbols(F.col("text"))))).alias("symbols"))
     named = {"name": F.lit(None).cast("string"), "definitions": F.lit(None).cast("array<string>")}
-    shown = chunks.select("id", F.col("text").alias("code"), *(F.col(c) if c in chunks.columns else v.alias(c) for c, v in named.items()))
-    results = scored.unionByName(single).join(symbols, "query_id").join(shown, "id")
+    texts = chunks if shown is None else shown
+    shown = texts.select("id", F.col("text").alias("code"), *(F.col(c) if c in texts.columns else v.alias(c) for c, v in named.items()))
+    results = stored(scored.unionByName(single), "scored").join(symbols, "query_id").join(shown, "id")
     return preference_rerank(results, limit, alpha)
 
 

@@ -12,7 +12,7 @@ from quillmesh.functions.words import SEARCH_STOP, sql_list
 from quillmesh.operators import ask as ask_operator
 from quillmesh.operators import bm25, evaluation, evidence, retrieval
 from quillmesh.operators.hamming_tables import table_search
-from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries, texts, vector_queries, vectors
+from quillmesh.plans.tables import chunks, documents, numbered, table, text_index, text_queries, texts, vector_queries, vectors
 from quillmesh.workspace import stored
 
 QUERIES: dict = {}
@@ -202,7 +202,7 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 @query(f"WITH {HYBRID} SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, rank FROM hybrid WHERE rank <= 5")
 def hybrid_search(spark, sf_dir):
-    found = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir))
+    found = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir), index=text_index(spark, sf_dir))
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -254,7 +254,8 @@ def multipath_search(spark, sf_dir):
     half = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit(" "), "text")).otherwise(F.expr("substring(text, 1, int(length(text) / 2))"))
     second = numbered(spark, sf_dir, asked.select("query_id", (F.col("query_id") + 1).alias("after"), half.alias("text")), "after").select("query_id", "text", F.col("v").alias("q"))
     variants = asked.withColumn("variant", F.lit(0)).unionByName(second.withColumn("variant", F.lit(1)))
-    found = retrieval.multipath_search(defined(chunks(spark, sf_dir)), variants)
+    shown = defined(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source"))
+    found = retrieval.multipath_search(chunks(spark, sf_dir), variants, index=text_index(spark, sf_dir), shown=shown)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -292,8 +293,10 @@ both_ AS (SELECT query_id, id, score FROM hybrid WHERE rank <= 5 UNION ALL SELEC
 best AS (SELECT query_id, id, max(score) AS score FROM both_ GROUP BY ALL)
 SELECT query_id AS item_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM best QUALIFY rank <= 8""")
 def merge_refined(spark, sf_dir):
-    first = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir))
-    second = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 5)
+    # one index for both searches, unless documents lack a vector
+    index = text_index(spark, sf_dir)
+    first = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir), index=index)
+    second = bm25.bm25_search(index if index.documents == documents(spark, sf_dir).count() else texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 5)
     return retrieval.merge_refined(first, second).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -301,7 +304,7 @@ def merge_refined(spark, sf_dir):
 WITH {HYBRID}, b AS (SELECT query_id, count(*) AS n, max(score) AS best FROM hybrid WHERE rank <= 5 GROUP BY ALL)
 SELECT item_id, coalesce(n, 0) < 2 OR coalesce(best, 0) < 0.4 AS weak FROM benchmark LEFT JOIN b ON query_id = item_id""")
 def refinement_flag(spark, sf_dir):
-    found = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir))
+    found = retrieval.hybrid_search(chunks(spark, sf_dir), text_queries(spark, sf_dir), index=text_index(spark, sf_dir))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return retrieval.needs_refinement(found, items).withColumnRenamed("query_id", "item_id")
 
