@@ -3,7 +3,8 @@
 Each round rewires every node to the smallest node it knows of, from its larger
 and then from its smaller neighbours, until nothing changes; the number of
 rounds grows with the logarithm of the longest path. Rounds are written tables,
-and only one row, a count and a sum of the edges, comes to the driver.
+and only one row, a count and a sum of the edges, comes to the driver: joins are
+sort-merge joins, as a broadcast table is built in the driver's memory.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        tied = both.where("v > u").join(regrouped(least, "x"), F.col("u") == F.col("x")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        tied = both.where("v > u").join(regrouped(least, "x").hint("merge"), F.col("u") == F.col("x")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
-        tied = edges.join(regrouped(least, "x"), F.col("a") == F.col("x")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("x").alias("a"), F.col("m").alias("b")))
+        tied = edges.join(regrouped(least, "x").hint("merge"), F.col("a") == F.col("x")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("x").alias("a"), F.col("m").alias("b")))
     return tied.where("a <> b").distinct()
 
 

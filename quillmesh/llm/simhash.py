@@ -89,7 +89,7 @@ def links(values: DataFrame, most: int = 3) -> DataFrame:
     flipped = F.col("v").bitwiseOR(F.expr("shiftleft(1L, greatest(bit, 0))"))
     ball = ball.where((F.col("bit") < 0) | (flipped != F.col("v"))).select(F.col("fp").alias("a"), F.col("seg").alias("ps"), F.when(F.col("bit") < 0, F.col("v")).otherwise(flipped).alias("pv"), (F.col("bit") < 0).alias("same"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= most
-    return ball.join(table, (F.col("ps") == F.col("seg")) & (F.col("pv") == F.col("v")) & close & (~F.col("same") | (F.col("a") < F.col("fp")))).select("a", F.col("fp").alias("b"))
+    return ball.join(table.hint("merge"), (F.col("ps") == F.col("seg")) & (F.col("pv") == F.col("v")) & close & (~F.col("same") | (F.col("a") < F.col("fp")))).select("a", F.col("fp").alias("b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
@@ -108,10 +108,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stored(links(classes.select("fp"), most).distinct(), "simhash-links")
     roots = connected(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").join(degree.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return prints.join(regrouped(named, "fp"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    named = rooted.join(least.hint("merge"), "root").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return prints.join(regrouped(named, "fp").hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
