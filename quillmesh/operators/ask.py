@@ -87,7 +87,7 @@ def page_index_picks(nodes: DataFrame, queries: DataFrame, complete) -> DataFram
     return _choice(files, ["query_id", "repo"], "files", FILES, FILE_PICKS, complete)
 
 
-def verified_answers(answers: DataFrame, chunks: DataFrame, embed, complete, dims: int = 64) -> DataFrame:
+def verified_answers(answers: DataFrame, chunks: DataFrame, embed, complete, dims: int = 64, index: bm25.Bm25Index | None = None) -> DataFrame:
     """``query_id, answer, claims, changed``: answers after their first claims were held against the corpus.
 
     answers: ``query_id, question, answer``; chunks: ``id, file, text, v``. An
@@ -96,7 +96,7 @@ def verified_answers(answers: DataFrame, chunks: DataFrame, embed, complete, dim
     """
     asked = F.concat(F.lit("List the factual claims that this answer makes about the code, numbered, one a line.\n"), F.coalesce("answer", F.lit("")))
     listed = stored(answers.select("query_id", "question", "answer", chat.claims(complete(asked)).alias("claims")), "claims")
-    proof = retrieval.claim_evidence(listed.select(F.col("query_id").alias("answer_id"), "claims"), chunks, embed, dims=dims)
+    proof = retrieval.claim_evidence(listed.select(F.col("query_id").alias("answer_id"), "claims"), chunks, embed, dims=dims, index=index)
     lines = proof.groupBy(F.col("answer_id").alias("query_id")).agg(_joined(["claim"], F.concat(F.lit("Claim: "), "claim", F.lit("\n"), "evidence"), 3, "\n\n").alias("proof"))
     prompt = F.concat(F.lit("Correct this answer where the evidence from the code contradicts it, and reply with the whole answer.\nQuestion: "), "question", F.lit("\nAnswer: "), "answer", F.lit("\nEvidence:\n"), "proof")
     revised = stored(listed.join(lines, "query_id", "left").withColumn("reply", F.when(F.col("proof").isNotNull(), complete(prompt))), "revised")
@@ -130,7 +130,8 @@ def retrieved(chunks: DataFrame, queries: DataFrame, embed, complete=None, turns
     variants = plain_variants(queries, turns) if complete is None else query_variants(queries, complete, turns)
     search = lambda v: retrieval.multipath_search(chunks, v.withColumn("q", embed(F.col("text"))), limit, dims=dims, edges=edges, index=index)
     texts = chunks.select("id", "file", "name", "node_type", F.col("text").alias("code"))
-    found = stored(search(variants).join(texts, "id"), "found")
+    # some rows a query, stored so that texts aren't shuffled to join them
+    found = stored(stored(search(variants), "searched").join(texts, "id"), "found")
     results = found.select("query_id", "id", "score")
     if complete is not None:
         better = stored(refined_queries(queries, found, complete), "better")
@@ -141,7 +142,7 @@ def retrieved(chunks: DataFrame, queries: DataFrame, embed, complete=None, turns
     every = retrieval.inject_baseline(results.join(files.select("id", "file"), "id").select("query_id", "id", "file", "score"), wanted, files)
     order = [F.round("score", 9).desc(), F.col("id")]
     ranked = every.drop("file").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.join(texts, "id")
+    return stored(ranked, "merged").join(texts, "id")
 
 
 def ask(chunks: DataFrame, queries: DataFrame, embed, complete, turns: DataFrame | None = None, limit: int = 5, limits: dict = context.LIMITS["mlc"], dims: int = 64, strict: bool = True, verify: bool = True, index: bm25.Bm25Index | None = None, edges: DataFrame | None = None, expand: bool = True) -> DataFrame:
@@ -157,6 +158,7 @@ def ask(chunks: DataFrame, queries: DataFrame, embed, complete, turns: DataFrame
     give orders. Introductory files are evidence for no question and aren't
     cited. The answer's claims are checked.
     """
+    index = index or bm25.build_index(chunks, "id", "text")
     results = stored(retrieved(chunks, queries, embed, complete if expand else None, turns, limit, dims=dims, edges=edges, index=index), "ranked")
     scanned = stored(safety.scan(results), "scanned")
     safe = stored(safety.safe_results(results, scanned), "safe")
@@ -170,7 +172,7 @@ def ask(chunks: DataFrame, queries: DataFrame, embed, complete, turns: DataFrame
     cited = evidence.grounded(safe.where("cited and score > 0"), asked.select("query_id", "terms")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "file"))), lambda x: F.struct(x["id"], x["file"])).alias("citations"))
     out = answered.join(cited, "query_id", "left")
     if verify:
-        checked = verified_answers(answered.where("answer is not null").select("query_id", "question", "answer"), chunks, embed, complete, dims)
+        checked = verified_answers(answered.where("answer is not null").select("query_id", "question", "answer"), chunks, embed, complete, dims, index)
         out = out.join(checked.withColumnRenamed("answer", "checked"), "query_id", "left").withColumn("answer", F.coalesce("checked", "answer"))
     else:
         out = out.withColumns({"claims": F.lit(0), "changed": F.lit(False)})

@@ -191,14 +191,14 @@ def inject_baseline(results: DataFrame, wanted: DataFrame, chunks: DataFrame, mo
     return results.unionByName(new.select("query_id", "id", "file", F.lit(0.0).alias("score")))
 
 
-def claim_evidence(answers: DataFrame, chunks: DataFrame, embed, most: int = 3, each: int = 2, chars: int = 300, dims: int = 64) -> DataFrame:
+def claim_evidence(answers: DataFrame, chunks: DataFrame, embed, most: int = 3, each: int = 2, chars: int = 300, dims: int = 64, index: bm25.Bm25Index | None = None) -> DataFrame:
     """``answer_id, claim, evidence``: what the corpus says to the first claims of every answer, all in one search.
 
     answers: ``answer_id, claims``; chunks: ``id, file, text, v``; ``embed`` makes a vector column of a text column.
     """
     claims = answers.select("answer_id", F.posexplode(F.slice("claims", 1, most)).alias("n", "claim"))
     asked = claims.select(F.struct("answer_id", "n").alias("query_id"), F.col("claim").alias("text"), embed("claim").alias("q"))
-    found = hybrid_search(chunks, asked, limit=each, dims=dims).join(chunks.select("id", "file", F.substring("text", 1, chars).alias("shown")), "id")
+    found = stored(hybrid_search(chunks, asked, limit=each, dims=dims, index=index), "proof").join(chunks.select("id", "file", F.substring("text", 1, chars).alias("shown")), "id")
     line = F.concat(F.lit("File: "), "file", F.lit("\n```\n"), "shown", F.lit("\n```"))
     joined = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("evidence"))
     return claims.join(joined.select("query_id.answer_id", "query_id.n", "evidence"), ["answer_id", "n"]).select("answer_id", "claim", "evidence")

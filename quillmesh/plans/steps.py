@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import evaluation, extract, paths, retrieval, safety, summaries
-from quillmesh.operators.bm25 import build_index
 from quillmesh.plans.corpus import PAGE_SEARCH, SQL_PATTERNS, _injected, _with_orders, page_index_search
 from quillmesh.plans.retrieval import COS, HYBRID, _metrics_sql, _results, bm25_sql, cos_sql, defined, fuse_sql, several_sql
-from quillmesh.plans.tables import chunks, documents, numbered, table, text_queries
+from quillmesh.plans.tables import chunks, documents, numbered, table, text_index, text_queries
 from quillmesh.sources.index_store import pending
 from quillmesh.workspace import stored
 
@@ -179,14 +178,15 @@ each_ AS ({' UNION ALL '.join(f"({_metrics_sql(run, config)})" for config, run i
 SELECT config, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg FROM each_ GROUP BY config""")
 def ablation_configurations(spark, sf_dir):
     """All configurations of the search over all documents, asked by the benchmark passages; documents with a vector of the passage's label are relevant."""
-    store, asked = stored(chunks(spark, sf_dir), "chunks"), stored(text_queries(spark, sf_dir), "asked")
-    index = build_index(store, "id", "text")
+    # vectors alone: texts are read by the index, and then only of what was found
+    store, asked = stored(chunks(spark, sf_dir).select("id", "v"), "chunks"), stored(text_queries(spark, sf_dir), "asked")
+    index, shown = text_index(spark, sf_dir), defined(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source"))
     search = lambda **options: retrieval.hybrid_search(store, asked, limit=10, index=index, **options)
     picked = page_index_search(spark, sf_dir).join(documents(spark, sf_dir).select(F.concat("lang", F.lit("/"), "source").alias("path"), F.col("doc_id").alias("id")), "path").withColumnRenamed("item_id", "query_id")
     by_path = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "path", "id"))
     runs = {
         "full": search(), "not_quantised": search(quantised=False), "vectors_only": search(keywords=False), "not_reranked": search(rerank=False),
-        "several_paths": retrieval.multipath_search(defined(store), asked.withColumn("variant", F.lit(0)), limit=10, index=index), "page_index": picked.withColumn("rank", by_path),
+        "several_paths": retrieval.multipath_search(store, asked.withColumn("variant", F.lit(0)), limit=10, index=index, shown=shown), "page_index": picked.withColumn("rank", by_path),
     }
     every = stored(reduce(DataFrame.unionByName, (r.select(F.lit(c).alias("config"), "query_id", "id", "rank") for c, r in runs.items())), "runs")
     label = lambda rows, name: numbered(spark, sf_dir, rows, name, "label").select(name, "label")
