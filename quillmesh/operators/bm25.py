@@ -11,6 +11,10 @@ its texts are. A search for the best documents sends each block of the asked ter
 to the task of its range once, whatever number of queries asks for it; the task
 adds up the scores of a range as a matrix and only the best of each query leave it.
 
+Where texts are indexed for given queries alone, the index holds the postings of their
+terms, with the lengths and the number of all documents: scores are the same, and the
+postings of other terms are neither stored nor shuffled.
+
 What a query's terms can add up to in a range is bounded by their blocks' largest
 counts and smallest lengths, two numbers a block. A search in two steps is for few
 queries of rare terms: the most promising ranges of each query give the score that
@@ -21,6 +25,7 @@ reaches it.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -44,8 +49,12 @@ FIRST = 4
 
 _BLOCKS = "term string, range int, n long, max_tf long, min_dl long, tfs long, docs struct<ids:array<{id}>,tfs:array<int>,dls:array<int>>, bucket int"
 _DOCS = "array<struct<id:{id},tf:bigint,dl:bigint>>"
-#: Identifiers whose terms a task keeps.
+#: Runs of ASCII word characters whose terms a task keeps, and those of one text beyond.
 KNOWN = 1 << 18
+#: Bits that tell the asked terms by a hash; terms that share one with an asked term are stored too.
+SLOTS = 1 << 20
+#: The bucket of rows without a term, each with the number of tokens of a range.
+TOTALS = -1
 
 
 @dataclass
@@ -68,6 +77,15 @@ class Bm25Index:
     @property
     def lists(self) -> DataFrame:
         """The blocks as they are stored: docs is a list of ids, one of counts and one of lengths."""
+        return self._stored_blocks.where(F.col("bucket") != TOTALS)
+
+    @property
+    def tokens(self) -> int:
+        """The number of tokens of all documents."""
+        return self._stored_blocks.where(F.col("bucket") == TOTALS).agg(F.coalesce(F.sum("tfs"), F.lit(0))).first()[0]
+
+    @property
+    def _stored_blocks(self) -> DataFrame:
         return self.spark.read.schema(_BLOCKS.format(id=self.id_type)).parquet(f"{self.path}/blocks")
 
     @property
@@ -92,7 +110,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    return F.when(F.col("term") == "", F.lit(TOTALS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).alias("bucket")
 
 
 def _terms_of(token: str) -> tuple[str, ...]:
@@ -105,60 +123,110 @@ def _terms_of(token: str) -> tuple[str, ...]:
 _STOP = frozenset(SEARCH_STOP)
 
 
-def _range_blocks(batches):
-    """Batches of texts in the order of ranges and ids to the blocks of each range; rows that repeat an id are one document."""
-    identifiers, known = re.compile("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), {}
+#: What separates runs of ASCII word characters, as blanks.
+_BETWEEN = bytes(c if chr(c).isascii() and (chr(c).isalnum() or c == 95) else 32 for c in range(256))
+_IDENTIFIERS = re.compile("[A-Za-z_][A-Za-z0-9_]*|[0-9]+")
+
+
+def asked_slots(terms: DataFrame) -> bytes:
+    """A bit for the hash of each term; as many bytes whatever the number of terms is."""
+    slot = terms.select((F.pmod(F.crc32("term"), F.lit(SLOTS)) + 1).alias("slot"))
+    maps = slot.groupBy(F.bitmap_bucket_number("slot").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    # at most SLOTS bits
+    found = {n - 1: bytes(bits) for n, bits in maps.collect()}
+    return b"".join(found.get(n, bytes(4096)) for n in range(-(-SLOTS // 32768)))
+
+
+def _in_slots(term: str, asked: bytes) -> bool:
+    slot = zlib.crc32(term.encode()) % SLOTS
+    return bool(asked[slot >> 3] >> (slot & 7) & 1)
+
+
+class _Words(dict):
+    """The numbers of terms of runs of word characters; ``terms`` has those that are kept, of runs that have any."""
 
-    def counted(found: Counter) -> Counter:
-        out: Counter = Counter()
-        for token, n in found.items():
-            terms = known.get(token)
-            if terms is None:
-                if len(known) >= KNOWN:
-                    known.clear()
-                terms = known[token] = _terms_of(token)
-            for t in terms:
-                out[t] += n
-        return out
+    def __init__(self, asked: bytes | None):
+        self.asked, self.terms = asked, {}
 
-    def flushed(number: int, docs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    def __missing__(self, word: bytes) -> int:
+        if word.isalpha() and word[1:].islower():  # a plain word is its own term
+            own = word.decode().lower()
+            every = () if own in _STOP else (own,)
+        else:
+            every = tuple(t for token in _IDENTIFIERS.findall(word.decode()) for t in _terms_of(token))
+        kept = every if self.asked is None else tuple(t for t in every if _in_slots(t, self.asked))
+        if kept:
+            self.terms[word] = kept
+        self[word] = len(every)
+        return len(every)
+
+
+def _range_builder(asked: bytes | None = None):
+    """Batches of texts in the order of ranges and ids to the blocks of each range, those of ``asked`` terms if given; rows that repeat an id are one document."""
+
+    def flushed(number: int, docs: list[list], kind: pa.DataType) -> pa.RecordBatch:
         codes: dict[str, int] = {}
-        sizes = np.array([len(c) for _, c in docs], np.int64)
-        of_term = np.fromiter((codes.setdefault(t, len(codes)) for _, c in docs for t in c), np.int64, sizes.sum())
-        tf = np.fromiter((n for _, c in docs for n in c.values()), np.int64, sizes.sum())
+        sizes = np.array([len(c) for _, _, c in docs], np.int64)
+        lengths = np.array([n for _, n, _ in docs], np.int64)
+        of_term = np.fromiter((codes.setdefault(t, len(codes)) for _, _, c in docs for t in c), np.int64, sizes.sum())
+        tf = np.fromiter((n for _, _, c in docs for n in c.values()), np.int64, sizes.sum())
         at = np.repeat(np.arange(len(docs)), sizes)
-        dl = np.bincount(at, tf, len(docs)).astype(np.int64)[at]
         order = np.argsort(of_term, kind="stable")
-        tf, dl, at = tf[order], dl[order], at[order]
+        tf, at = tf[order], at[order]
+        dl = lengths[at]
         n = np.bincount(of_term, minlength=len(codes))
         begins = np.cumsum(n) - n
-        offsets = pa.array(np.append(begins, len(tf)).astype(np.int32))
+        # the last row is the range's own: no term, no document, all its tokens
+        offsets = pa.array(np.append(begins, [len(tf), len(tf)]).astype(np.int32))
         listed = lambda values: pa.ListArray.from_arrays(offsets, values)
-        ids = pa.array([i for i, _ in docs], kind).take(pa.array(at))
+        ids = pa.array([i for i, _, _ in docs], kind).take(pa.array(at))
         lists = pa.StructArray.from_arrays([listed(ids), listed(pa.array(tf.astype(np.int32))), listed(pa.array(dl.astype(np.int32)))], names=["ids", "tfs", "dls"])
-        whole = lambda values: pa.array(values.astype(np.int64))
-        columns = [pa.array(list(codes), pa.string()), pa.array(np.full(len(codes), number, np.int32)), whole(n), whole(np.maximum.reduceat(tf, begins)), whole(np.minimum.reduceat(dl, begins)), whole(np.add.reduceat(tf, begins)), lists]
+        whole = lambda values, last=0: pa.array(np.append(values, last).astype(np.int64))
+        over = lambda f, values: f.reduceat(values, begins) if len(begins) else values
+        columns = [pa.array([*codes, ""], pa.string()), pa.array(np.full(len(codes) + 1, number, np.int32)), whole(n), whole(over(np.maximum, tf)), whole(over(np.minimum, dl)), whole(over(np.add, tf), lengths.sum()), lists]
         return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "max_tf", "min_dl", "tfs", "docs"])
 
-    number, docs, kind = None, [], None
-    for batch in batches:
-        kind = batch.schema.field("id").type
-        for r, i, text in zip(batch.column("range").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
-            if r != number:
-                if docs:
-                    yield flushed(number, docs, kind)
-                number, docs = r, []
-            found = counted(Counter(identifiers.findall(text.as_py() or "")))
-            if docs and docs[-1][0] == i:
-                docs[-1][1].update(found)
-            elif found:
-                docs.append((i, found))
-    if docs:
-        yield flushed(number, docs, kind)
-
-
-def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Bm25Index:
-    """An index below ``path``, or in the shared folder: texts are shuffled once, to their ranges, and the blocks that are made of them once, to their buckets."""
+    def run(batches):
+        known = _Words(asked)
+
+        def counted(words: list[bytes]) -> tuple[int, dict[str, int]]:
+            if len(known) >= KNOWN:
+                known.clear()
+                known.terms.clear()
+            length, out = sum(map(known.__getitem__, words)), {}
+            for word, n in Counter(filter(known.terms.__contains__, words)).items():
+                for t in known.terms[word]:
+                    out[t] = out.get(t, 0) + n
+            return length, out
+
+        number, docs, kind = None, [], None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for r, i, text in zip(batch.column("range").to_pylist(), batch.column("id").to_pylist(), batch.column("text").cast(pa.binary())):
+                if r != number:
+                    if docs:
+                        yield flushed(number, docs, kind)
+                    number, docs = r, []
+                length, found = counted((text.as_py() or b"").translate(_BETWEEN).split())
+                if docs and docs[-1][0] == i:
+                    docs[-1][1] += length
+                    for t, n in found.items():
+                        docs[-1][2][t] = docs[-1][2].get(t, 0) + n
+                elif length:
+                    docs.append([i, length, found])
+        if docs:
+            yield flushed(number, docs, kind)
+
+    return run
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, asked: DataFrame | None = None) -> Bm25Index:
+    """An index below ``path``, or in the shared folder: texts are shuffled once, to their ranges, and the blocks that are made of them once, to their buckets.
+
+    With ``asked``, a table with a column ``term``, the index is for these terms: it
+    answers them as the whole one does, its blocks stay in the files of the tasks that
+    made them, and it holds few other terms.
+    """
     spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "bm25")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     documents, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -167,10 +235,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None =
     tasks = max(min(ranges, spark.sparkContext.defaultParallelism), -(-ranges // TASK_RANGES), min(ranges, -(-size // TASK_BYTES)))
     kind = own.schema["id"].dataType.simpleString()
     ranged = own.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")).repartition(tasks, "range").sortWithinPartitions("range", "id")
-    blocks = ranged.mapInArrow(_range_blocks, _BLOCKS.format(id=kind).removesuffix(", bucket int"))
-    _written(blocks.select("*", _bucket(buckets)), f"{path}/blocks", tasks)
+    blocks = ranged.mapInArrow(_range_builder(None if asked is None else asked_slots(asked)), _BLOCKS.format(id=kind).removesuffix(", bucket int")).select("*", _bucket(buckets))
+    if asked is None:
+        _written(blocks, f"{path}/blocks", tasks)
+    else:
+        blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     index = Bm25Index(spark, path, documents, 1.0, ranges, buckets, kind)
-    total = index.lists.agg(F.coalesce(F.sum("tfs"), F.lit(0))).first()[0]
+    total = index.tokens
     index.avgdl = float(total / documents if documents and total else 1.0)
     _written(index.lists.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("tfs").alias("total")), f"{path}/terms", buckets)
     # last: an index without this row isn't whole
@@ -270,10 +341,13 @@ def _range_scorer(avgdl: float, k1: float, b: float, limit: int):
         place[order] = np.arange(len(names))  # places in the order of ids, so that a stable sort leaves equal scores in it
         at = place[ids.indices.to_numpy(zero_copy_only=False)]
         scores = np.zeros((1 + max(int(h[3].max()) for h in held), len(names)))
+        tf, dl = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        parts = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * dl / avgdl), 1e-9)
         begin = 0
-        for docs, tf, dl, asks, weights in held:
-            part = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * dl / avgdl), 1e-9)
-            scores[asks[:, None], at[None, begin : begin + len(docs)]] += weights[:, None] * part
+        for docs, _, _, asks, weights in held:
+            own, part = at[begin : begin + len(docs)], parts[begin : begin + len(docs)]
+            for q, w in zip(asks.tolist(), weights.tolist()):
+                scores[q, own] += w * part
             begin += len(docs)
         found: list[tuple] = []
         for q in np.flatnonzero(scores.any(axis=1)).tolist():
@@ -297,15 +371,16 @@ def _range_scorer(avgdl: float, k1: float, b: float, limit: int):
     def run(batches):
         key, held, least = None, [], {}
         for batch in batches:
-            lists = {n: batch.column(n) for n in ("ids", "tfs", "dls", "asking", "weights")}
+            lists = [batch.column(n) for n in ("ids", "tfs", "dls", "asking", "weights")]
+            begins = [c.offsets.to_pylist() for c in lists]
+            values = [c.values if n == 0 else c.values.to_numpy(zero_copy_only=False) for n, c in enumerate(lists)]
             parts, ranges = batch.column("part").to_pylist(), batch.column("range").to_pylist()
             for i in range(batch.num_rows):
                 if key != (parts[i], ranges[i]):
                     if held:
                         yield flushed(key, held, least)
                     key, held = (parts[i], ranges[i]), []
-                numbers = (lists[n][i].values.to_numpy(zero_copy_only=False) for n in ("tfs", "dls", "asking", "weights"))
-                held.append((lists["ids"][i].values, *numbers))
+                held.append(tuple(v[b[i] : b[i + 1]] for v, b in zip(values, begins)))
         if held:
             yield flushed(key, held, least)
 
@@ -349,5 +424,8 @@ def best(index: Bm25Index, terms: DataFrame, limit: int = LIMIT, k1: float = K1,
 
 def bm25_search(docs: DataFrame | Bm25Index, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, limit: int = LIMIT) -> DataFrame:
     """``query_id, id, score, rank``: the best documents of every query; ``docs`` can be an index that was built before."""
-    index = docs if isinstance(docs, Bm25Index) else build_index(docs, doc_id, doc_text)
-    return best(index, query_terms(queries, query_id, query_text), limit)
+    if isinstance(docs, Bm25Index):
+        return best(docs, query_terms(queries, query_id, query_text), limit)
+    # read twice
+    terms = stored(query_terms(queries, query_id, query_text), "query-terms")
+    return best(build_index(docs, doc_id, doc_text, asked=terms), terms, limit)
