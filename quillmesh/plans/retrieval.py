@@ -375,10 +375,14 @@ res AS (SELECT b.query_id AS item_id, b.id AS doc_id, b.score, lower(d.source ||
 EVIDENCE = f"WITH {bm25_sql('documents', 'doc_id', 'benchmark', 'item_id', 10)}, {TERM_ROWS}"
 
 
+def _found(spark, sf_dir):
+    """The ten best documents of every passage."""
+    return bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 10)
+
+
 def _results(spark, sf_dir):
     """The ten best documents of every passage, with their texts."""
-    docs = documents(spark, sf_dir)
-    found = bm25.bm25_search(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 10)
+    docs, found = documents(spark, sf_dir), _found(spark, sf_dir)
     # ten rows a query, which the queries below read more than once
     return stored(found.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("code")), "id"), "results")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import evaluation, extract, paths, retrieval, safety, summaries
 from quillmesh.plans.corpus import PAGE_SEARCH, SQL_PATTERNS, _injected, _with_orders, page_index_search
-from quillmesh.plans.retrieval import COS, HYBRID, _metrics_sql, _results, bm25_sql, cos_sql, defined, fuse_sql, several_sql
+from quillmesh.plans.retrieval import COS, HYBRID, _found, _metrics_sql, _results, bm25_sql, cos_sql, defined, fuse_sql, several_sql
 from quillmesh.plans.tables import chunks, documents, numbered, table, text_index, text_queries
 from quillmesh.sources.index_store import pending
 from quillmesh.workspace import stored
@@ -62,7 +62,7 @@ def baseline_context(spark, sf_dir):
     """Every benchmark passage as a question for an overview."""
     k = F.col("doc_id") % 50
     chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.when(k == 0, "README.md").when(k == 1, "package.json").when(k == 2, "readme.md").otherwise(F.col("source")).alias("file"), F.col("doc_id").alias("ord"))
-    found = _results(spark, sf_dir).select("query_id", "id", "score").join(chunks.select("id", "file"), "id").select("query_id", "id", "file", "score")
+    found = _found(spark, sf_dir).select("query_id", "id", "score").join(chunks.select("id", "file"), "id").select("query_id", "id", "file", "score")
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     out = retrieval.inject_baseline(found, wanted, chunks)
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "file", F.round("score", 6).alias("score"))
