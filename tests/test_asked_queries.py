@@ -48,3 +48,7 @@ def test_baseline_context_indexes_what_is_asked_and_stores_no_texts(spark, odd,
     monkeypatch.setattr(retrieval, "stored", lambda df, name, real=retrieval.stored: (names.append(name), real(df, name))[1])
     _checked(spark, "baseline_context", odd, held)
     assert "results" not in names
+
+
+def test_correlated_citations_indexes_what_is_asked(spark, odd, held):
+    _checked(spark, "correlated_citations", odd, held)
