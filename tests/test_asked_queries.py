@@ -52,3 +52,7 @@ def test_baseline_context_indexes_what_is_asked_and_stores_no_texts(spark, odd,
 
 def test_correlated_citations_indexes_what_is_asked(spark, odd, held):
     _checked(spark, "correlated_citations", odd, held)
+
+
+def test_evidence_coverage_indexes_what_is_asked(spark, odd, held):
+    _checked(spark, "evidence_coverage", odd, held)
