@@ -56,3 +56,7 @@ def test_correlated_citations_indexes_what_is_asked(spark, odd, held):
 
 def test_evidence_coverage_indexes_what_is_asked(spark, odd, held):
     _checked(spark, "evidence_coverage", odd, held)
+
+
+def test_context_raw_indexes_what_is_asked(spark, tmp_path, held):
+    _checked(spark, "context_raw", _tables(spark, str(tmp_path), "s9"), held)
